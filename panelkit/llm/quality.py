@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, whole_text
+from .common import WORD, whole_text
 
 
 @dataclass(frozen=True)
@@ -61,15 +61,10 @@ def compile_rules(rules: tuple[Rule, ...]) -> str:
     return " AND ".join(parts) or "true"
 
 
-def _repeated_words(words: Column, width: int = 5) -> Column:
-    """Words that lie in a window of `width` words which the text holds twice or more.
-
-    Windows are joined strings (a word holds no space). Only where a window repeats are they sorted with their
-    places; the union of equal-length intervals with sorted starts s is then width + sum(min(width, s[i+1] - s[i])).
-    """
-    n = F.size(words)
-    grams = F.when(n >= width, F.transform(F.sequence(F.lit(1), n - F.lit(width - 1)), lambda i: F.concat_ws(" ", F.slice(words, i, width)))).otherwise(F.array().cast("array<string>"))
-    return grams
+def _windows(words: Column, width: int) -> Column:
+    """A 64-bit hash of each window of `width` words, chained word by word, so that word borders count."""
+    hashed = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, width)]))
+    return F.slice(hashed, 1, F.greatest(F.size(words) - F.lit(width - 1), F.lit(0)))
 
 
 def measure(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -77,6 +72,10 @@ def measure(docs: DataFrame, width: int = 5) -> DataFrame:
 
     Null and empty texts measure 0 everywhere. Rows are judged alone: repeated rows give repeated results, and other
     columns of docs are ignored. One projection, no shuffle.
+
+    n_repeat_words counts the words that lie in a window of `width` words which the text holds twice or more. Only
+    where some window repeats are the windows sorted with their places; the union of equal intervals with sorted
+    starts s is then width + sum(min(width, s[i+1] - s[i])).
     """
     text = docs.select("doc_id", whole_text().alias("_t"))
     cols = text.select(
@@ -84,10 +83,9 @@ def measure(docs: DataFrame, width: int = 5) -> DataFrame:
         F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("_w"),
         F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD)).alias("_l"),
         F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace("_t", SPACE, "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit("[A-Z]")).cast("long").alias("n_upper"),
     )
-    grams = cols.select("*", _repeated_words(F.col("_w"), width).alias("_g"))
+    grams = cols.select("*", _windows(F.col("_w"), width).alias("_g"))
     starts = grams.select(
         "*",
         F.when(
@@ -115,7 +113,7 @@ def measure(docs: DataFrame, width: int = 5) -> DataFrame:
     return again.select(
         "doc_id",
         F.size("_w").cast("long").alias("n_words"),
-        "word_chars",
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         "n_symbols",
         F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         "n_upper",
