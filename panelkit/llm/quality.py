@@ -31,7 +31,6 @@ METRICS: dict[str, str] = {
     "stop_word_ratio": "n_stop_words / greatest(n_words, 1)",
     "repeated_word_ratio": "n_repeat_words / greatest(n_words, 1)",
     "repeated_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
-    "upper_case_ratio": "n_upper / greatest(word_chars, 1)",
 }
 
 #: Frequent function words of English, German, French and Spanish.
@@ -47,7 +46,6 @@ DEFAULT_RULES: tuple[Rule, ...] = (
     Rule("symbols_per_word", high=0.5),
     Rule("stop_word_ratio", low=0.02, only_from=100),
     Rule("repeated_line_ratio", high=0.5),
-    Rule("upper_case_ratio", high=0.6, only_from=20),
 )
 
 
@@ -68,7 +66,7 @@ def _windows(words: Column, width: int) -> Column:
 
 
 def measure(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id and the measured columns of each row: n_words, word_chars, n_symbols, n_stop_words, n_upper, n_lines, n_dup_lines, n_repeat_words.
+    """doc_id and the measured columns of each row: n_words, word_chars, n_symbols, n_stop_words, n_lines, n_dup_lines, n_repeat_words.
 
     Null and empty texts measure 0 everywhere. Rows are judged alone: repeated rows give repeated results, and other
     columns of docs are ignored. One projection, no shuffle.
@@ -83,20 +81,19 @@ def measure(docs: DataFrame, width: int = 5) -> DataFrame:
         F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("_w"),
         F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD)).alias("_l"),
         F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.regexp_count("_t", F.lit("[A-Z]")).cast("long").alias("n_upper"),
     )
     grams = cols.select("*", _windows(F.col("_w"), width).alias("_g"))
     starts = grams.select(
         "*",
         F.when(
             F.size(F.array_distinct("_g")) < F.size("_g"),
-            F.array_sort(F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i")))),
+            F.sort_array(F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i")))),
         ).alias("_s"),
     )
     # a window repeats if a neighbour in sorted order is the same
     again = starts.select(
         "*",
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.filter(
                     F.transform("_s", lambda x, k: F.struct(x["i"].alias("i"), ((F.get("_s", k - 1)["g"] == x["g"]) | (F.get("_s", k + 1)["g"] == x["g"])).alias("twice"))),
@@ -116,7 +113,6 @@ def measure(docs: DataFrame, width: int = 5) -> DataFrame:
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         "n_symbols",
         F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-        "n_upper",
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
