@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import mixing, quality
+from .common import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +42,33 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM f"""
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(mixing.keyed(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"))
+    return mixing.mix(rows, mixing.plan(rows)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+MIXING_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols,
+                  (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':0'), 1, 13))::BIGINT + 0.5) / pow(2, 52) AS u FROM documents),
+k AS (SELECT *, -ln(u) / (1.0::DOUBLE / (1 + n_symbols / greatest(size, 1))) AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 + 1)::BIGINT] AS w FROM d GROUP BY source),
+c AS (SELECT *, 2.0 * source_size AS most, 2.0 * source_size / w AS ratio FROM s),
+l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(most) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM c
+      WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(most, w * (SELECT arg_min(level, ratio) FROM l WHERE ratio > level)) AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
+j AS (SELECT k.*, source_size, target, epochs, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size, r) AS upto
+      FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (size * (epochs + (upto - size / 2 <= target - epochs * source_size)::INT))::BIGINT AS taken FROM j"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_mixing": op5_mixing,
 }
 
 ORACLE: dict[str, str] = {
     "op4_quality_rules": _quality_sql(),
+    "op5_mixing": MIXING_SQL,
 }
