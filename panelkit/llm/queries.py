@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, secrets
+from . import licenses, mixing, neardup, quality, secrets
 from .common import cut
 
 
@@ -76,14 +76,35 @@ j AS (SELECT k.*, source_size, target, epochs, sum(size) OVER (PARTITION BY k.so
 SELECT doc_id, size, source_size, target, (size * (epochs + (upto - size / 2 <= target - epochs * source_size)::INT))::BIGINT AS taken FROM j"""
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+NEAR_DEDUP_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+c AS (SELECT reach.x AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.y GROUP BY reach.x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_secret_scans": op2_secret_scans,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op4_quality_rules": _quality_sql(),
     "op5_mixing": MIXING_SQL,
+    "op8_minhash_near_dedup": NEAR_DEDUP_SQL,
 }
