@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, neardup, quality, secrets
+from . import bpe, licenses, mixing, neardup, quality, secrets
 from .common import cut
 
 
@@ -28,6 +28,21 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def tokens_and_digests(docs: DataFrame, rank_file: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; the ids go through the decoder."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(rank_file)
+    coded = bpe.encode(docs, path, public_tokenizers.PATTERN)
+    ids_sha256 = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    decoded = bpe.decode(coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256.alias("ids_sha256"), "ids"), path)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_and_digests(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = quality.judge(_table(spark, sf_dir, "documents"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -98,6 +113,7 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_secret_scans": op2_secret_scans,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
