@@ -1,15 +1,63 @@
-"""A corpus pipeline of the operators in panelkit.llm."""
+"""A corpus pipeline of the operators in panelkit.llm: quality, near duplicates, secrets, mixture, tokens.
+
+run(spark, sf_dir) applies STAGES to the documents table. Each stage's rows are written as Parquet to the shared folder
+and reread as the next one's documents. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelkit.llm import classifier, mixing, neardup, secrets
+from panelkit.llm.common import cut
+from panelkit.llm.queries import tokens_and_digests
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling keeps."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classifier.classify(docs, labels).where("kept").select(*docs.columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more)."""
+    return neardup.first_of_each(docs, width=5, percent=80).select(*docs.columns)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret in their texts replaced by a mark and n_chars to match."""
+    model = secrets.fit(secrets.labelled_samples(docs.select("doc_id", "text")))
+    return secrets.redact(secrets.scan(docs, model)).select(*docs.columns)
+
+
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it."""
+    plan = mixing.plan(mixing.keyed(docs.select("doc_id", "source", "text")).drop("text"))
+    mixed = mixing.mix(mixing.keyed(docs), plan).where("taken > 0")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.expr("taken div size")))
+    return mixed.withColumn("_time", times).select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, and digests of its ids and of the bytes that decoding them gives."""
+    return tokens_and_digests(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("secret scans", secret_scans),
+    ("mixing sources to target weights", mixing_to_weights),
+    ("byte-level BPE", byte_bpe),
+]
 
-STAGES: list = []
+#: SQL cannot express the first two stages' models; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

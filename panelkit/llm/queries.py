@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licenses, mixing, neardup, quality, secrets
+from . import ann, bpe, classifier, langid, licenses, mixing, neardup, quality, secrets
 from .common import cut
 
 
@@ -91,6 +91,15 @@ j AS (SELECT k.*, source_size, target, epochs, sum(size) OVER (PARTITION BY k.so
 SELECT doc_id, size, source_size, target, (size * (epochs + (upto - size / 2 <= target - epochs * source_size)::INT))::BIGINT AS taken FROM j"""
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "pages"), langid.fit(_table(spark, sf_dir, "documents")))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classifier.classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", "score", "key", "kept")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -120,6 +129,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
+    "op6_language_id": op6_language_id,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
 }
