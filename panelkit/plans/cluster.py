@@ -159,7 +159,7 @@ def ward(df: DataFrame, key: str, vector: str, ks: list[int], most_rows: int = 2
         tree = ward_tree(np.array(group[vector].tolist(), dtype=float))
         return pd.concat([pd.DataFrame({key: group[key], "k": k, "cluster": cut_tree(tree, min(k, len(group)))}) for k in ks])
 
-    return df.select(key, vector).groupBy(F.lit(0)).applyInPandas(fit, f"`{key}` {dict(df.dtypes)[key]}, k int, cluster int")
+    return df.select(key, vector, F.lit(0).alias("_one")).groupBy("_one").applyInPandas(fit, f"`{key}` {dict(df.dtypes)[key]}, k int, cluster int")
 
 
 def silhouettes(df: DataFrame, key: str, vector: str, cluster: str = "cluster") -> DataFrame:
