@@ -14,29 +14,43 @@ from panelkit.llm.common import cut
 from panelkit.llm.queries import tokens_and_digests
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns that a stage works on, and all others in one struct, so that no name of theirs can clash."""
+    others = [c for c in docs.columns if c not in needed]
+    return docs.select(*needed, (F.struct(*others) if others else F.lit(None)).alias("_rest"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], *needed: str) -> DataFrame:
+    return rows.select(*[F.col(c) if c in needed else F.col("_rest")[c].alias(c) for c in columns])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classifier.classify(docs, labels).where("kept").select(*docs.columns)
+    kept = classifier.classify(packed(docs, "doc_id", "text"), labels).where("kept")
+    return unpacked(kept, docs.columns, "doc_id", "text")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more)."""
-    return neardup.first_of_each(docs, width=5, percent=80).select(*docs.columns)
+    kept = neardup.first_of_each(packed(docs, "doc_id", "text"), width=5, percent=80)
+    return unpacked(kept, docs.columns, "doc_id", "text")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in their texts replaced by a mark and n_chars to match."""
     model = secrets.fit(secrets.labelled_samples(docs.select("doc_id", "text")))
-    return secrets.redact(secrets.scan(docs, model)).select(*docs.columns)
+    needed = ("text", "n_chars")
+    return unpacked(secrets.redact(secrets.scan(packed(docs, *needed), model)), docs.columns, *needed)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it."""
-    plan = mixing.plan(mixing.keyed(docs.select("doc_id", "source", "text")).drop("text"))
-    mixed = mixing.mix(mixing.keyed(docs), plan).where("taken > 0")
+    needed = ("doc_id", "source", "text")
+    plan = mixing.plan(mixing.keyed(docs.select(*needed)).drop("text"))
+    mixed = mixing.mix(mixing.keyed(packed(docs, *needed)), plan).where("taken > 0")
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.expr("taken div size")))
-    return mixed.withColumn("_time", times).select(*docs.columns)
+    return unpacked(mixed.withColumn("_time", times), docs.columns, *needed)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

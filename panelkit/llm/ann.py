@@ -187,7 +187,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", em
 
     n = entries.count()
     sample = entries.where(F.pmod(F.xxhash64("vid"), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, sample_rows / max(n, 1)))).select("v").limit(2 * sample_rows).collect()
-    hashing = Hashing(np.array([r["v"] for r in sample], dtype=np.float64).reshape(len(sample), -1), n, k, success, occupancy)
+    hashing = Hashing(np.array([r["v"] for r in sample], dtype=np.float64) if sample else np.zeros((0, 1)), n, k, success, occupancy)
 
     index = cut(entries.mapInArrow(lambda b: _indexed(b, hashing), "t int, bucket bigint, vid bigint, v array<double>"))
     crowded = cut(index.groupBy("t", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > block).select("t", "bucket", F.ceil(F.col("n") / block).cast("int").alias("p")))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, salted_left_join, whole_text
 
-ADDED = ("size", "quality_weight", "key", "bucket")
+ADDED = ("size", "quality_weight", "key", "bucket", "source_size", "target", "taken")
 
 
 def quality_weight(text: Column, size: Column) -> Column:
