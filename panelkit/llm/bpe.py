@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, whole_text
 
+#: Texts whose ids a Python worker holds at once.
+ROWS_AT_ONCE = 500
 _loaded: dict[tuple, object] = {}
 
 
@@ -60,14 +62,27 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(values))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    coder = _coder(path, pattern)
+def _bytes_of(ids: pa.ListArray, vocabulary: pa.Array) -> pa.BinaryArray:
+    """Each list's ids as bytes: one take of the vocabulary, cut at the lists' borders."""
+    at = np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))]).astype(np.int64)
+    joined = vocabulary.take(ids.flatten())
+    if joined.null_count:
+        raise ValueError("an id is not in the vocabulary")
+    _, offsets, data = joined.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[joined.offset : joined.offset + len(joined) + 1] if len(joined) else np.zeros(1, np.int64)
+    borders = pa.py_buffer(np.ascontiguousarray(ends[at]))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, borders, data or pa.py_buffer(b"")]).cast(pa.binary())
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, decoded: bool) -> Iterator[pa.RecordBatch]:
+    coder, vocabulary = _coder(path, pattern), _vocabulary(path)
     for batch in batches:
-        for begin in range(0, len(batch), 2000):  # a list of ids holds fewer than 2^31
-            part = batch.slice(begin, 2000)
-            ids = [coder.encode_to_numpy(t, disallowed_special=()) for t in part.column("_t").to_pylist()]
+        for begin in range(0, len(batch), ROWS_AT_ONCE):
+            part = batch.slice(begin, ROWS_AT_ONCE)
+            ids = _lists([coder.encode_to_numpy(t, disallowed_special=()) for t in part.column("_t").to_pylist()])
             kept = [c for c in part.schema.names if c != "_t"]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), _lists(ids)], [*kept, "ids"])
+            more = [ids, _bytes_of(ids, vocabulary)] if decoded else [ids]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *more], [*kept, "ids", "bytes"][: len(kept) + len(more)])
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], pattern: str, chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
@@ -92,26 +107,24 @@ def _scanned(batches: Iterator[pa.RecordBatch], pattern: str, chunk: int, overla
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     vocabulary = _vocabulary(path)
-    for batch in batches:
-        ids = batch.column("ids")
-        at = np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))]).astype(np.int64)
-        joined = vocabulary.take(ids.flatten())
-        if joined.null_count:
-            raise ValueError("an id is not in the vocabulary")
-        _, offsets, data = joined.buffers()
-        ends = np.frombuffer(offsets, dtype=np.int64)[joined.offset : joined.offset + len(joined) + 1] if len(joined) else np.zeros(1, np.int64)
-        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(ends[at])), data or pa.py_buffer(b"")])
-        kept = [c for c in batch.schema.names if c != "ids"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), whole.cast(pa.binary())], [*kept, "bytes"])
-
-
-def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), chunk: int = 32_768, overlap: int = 2_048) -> DataFrame:
-    """The `keep` columns of every row and `ids`, those of the whole text."""
+    for whole in batches:
+        for begin in range(0, len(whole), ROWS_AT_ONCE):
+            batch = whole.slice(begin, ROWS_AT_ONCE)
+            kept = [c for c in batch.schema.names if c != "ids"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _bytes_of(batch.column("ids"), vocabulary)], [*kept, "bytes"])
+
+
+def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), chunk: int = 32_768, overlap: int = 2_048, decoded: bool = False) -> DataFrame:
+    """The `keep` columns of every row and `ids`, those of the whole text.
+
+    decoded adds `bytes`, what decode() gives for the ids, made by the same Python workers.
+    """
     kinds = dict(docs.dtypes)
     kept = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
     rows = docs.select(*keep, whole_text().alias("_t"))
-    run = lambda batches: _encoded(batches, path, pattern)
-    short = rows.where(F.length("_t") <= chunk).mapInArrow(run, f"{kept}, ids array<int>")
+    run = lambda batches: _encoded(batches, path, pattern, decoded)
+    made = "ids array<int>, bytes binary" if decoded else "ids array<int>"
+    short = rows.where(F.length("_t") <= chunk).mapInArrow(run, f"{kept}, {made}")
 
     long = rows.where(F.length("_t") > chunk).withColumn("rid", F.monotonically_increasing_id())
     chunks = cut(long.mapInArrow(lambda b: _scanned(b, pattern, chunk, overlap), f"{kept}, rid bigint, k bigint, s bigint, last boolean, body string, head array<bigint>, tail array<bigint>"))
@@ -130,9 +143,12 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
     rest = placed.where(F.col("lost") | F.col("open")).withColumn("part", F.substring(F.col("body"), F.when(F.col("lost"), F.lit(1)).otherwise(first + 1).cast("int"), F.when(F.col("last"), F.lit(1 << 30)).when(F.col("lost"), F.lit(chunk)).otherwise(F.lit(chunk) - first).cast("int")))
     merged = rest.groupBy("rid", "piece").agg(*[F.first(c).alias(c) for c in keep], F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"]), "").alias("_t"))
     pieces = direct.unionByName(merged.select(*keep, "rid", "piece", "_t"))
-    coded = pieces.mapInArrow(run, f"{kept}, rid bigint, piece bigint, ids array<int>")
-    joined = coded.groupBy("rid").agg(*[F.first(c).alias(c) for c in keep], F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return short.unionByName(joined.select(*keep, "ids"))
+    coded = pieces.mapInArrow(run, f"{kept}, rid bigint, piece bigint, {made}")
+    in_order = lambda value: F.array_sort(F.collect_list(F.struct("piece", value.alias("v"))))
+    whole_ids = F.flatten(F.transform(in_order(F.col("ids")), lambda x: x["v"])).alias("ids")
+    whole_bytes = [F.unhex(F.array_join(F.transform(in_order(F.hex("bytes")), lambda x: x["v"]), "")).alias("bytes")] if decoded else []
+    joined = coded.groupBy("rid").agg(*[F.first(c).alias(c) for c in keep], whole_ids, *whole_bytes)
+    return short.unionByName(joined.drop("rid"))
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:

@@ -33,11 +33,9 @@ def tokens_and_digests(docs: DataFrame, rank_file: str = "byte_bpe_multi_50k.tik
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; the ids go through the decoder."""
     import public_tokenizers
 
-    path = public_tokenizers.path(rank_file)
-    coded = bpe.encode(docs, path, public_tokenizers.PATTERN)
+    coded = bpe.encode(docs, public_tokenizers.path(rank_file), public_tokenizers.PATTERN, decoded=True)
     ids_sha256 = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    decoded = bpe.decode(coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256.alias("ids_sha256"), "ids"), path)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256.alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,7 +95,7 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else h[:0]), offsets
 
 
-def pieces(column: pa.Array, most_bytes: int = 2_000_000) -> list[tuple[int, int]]:
+def pieces(column: pa.Array, most_bytes: int = 1_000_000) -> list[tuple[int, int]]:
     """Row ranges of about most_bytes of text (one text at least), to keep numpy's work in cache."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     out, begin, held = [], 0, 0

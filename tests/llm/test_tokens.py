@@ -38,7 +38,8 @@ def test_stitched_chunks_equal_whole_texts(spark):
     texts = {i: "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 300))) for i in range(120)}
     texts |= {1000: "a" * 5000, 1001: " " * 3000 + "b", 1002: None, 1003: "", 1004: ("ab " * 20 + "q" * 300) * 10}
     rows = spark.createDataFrame(list(texts.items()), "doc_id int, text string").repartition(3)
-    got = bpe.encode(rows, RANKS, public_tokenizers.PATTERN, chunk=64, overlap=16).collect()
+    got = bpe.encode(rows, RANKS, public_tokenizers.PATTERN, chunk=64, overlap=16, decoded=True).collect()
+    assert {r.doc_id: bytes(r["bytes"]) for r in got} == {i: (t or "").encode() for i, t in texts.items()}
     assert {r.doc_id: r.ids for r in got} == {i: CODER.encode_ordinary(t or "") for i, t in texts.items()}
 
 
