@@ -310,14 +310,14 @@ def set_ops(spark, sf):
     return every.unionByName(a.subtract(b).subtract(c).select(F.lit("only first").alias("kind"), "k"))
 
 
-@query("""WITH n AS (SELECT DISTINCT replace(p_name, ' ', '') AS name FROM part WHERE p_partkey % 3 = 0), c AS (SELECT DISTINCT p_name AS candidate FROM part),
+@query("""WITH n AS (SELECT DISTINCT replace(p_name, ' ', '') AS name FROM part), c AS (SELECT DISTINCT p_name AS candidate FROM part),
 g AS (SELECT DISTINCT name, lower(name)[i:i+1] AS g FROM (SELECT name, unnest(range(1, greatest(length(name), 2))) AS i FROM n)), h AS (SELECT DISTINCT candidate, lower(candidate)[i:i+1] AS g FROM (SELECT candidate, unnest(range(1, greatest(length(candidate), 2))) AS i FROM c)),
 p AS (SELECT DISTINCT name, candidate FROM g JOIN h USING (g)), s AS (SELECT *, 100 * (1 - levenshtein(lower(name), lower(candidate))::DOUBLE / greatest(length(name), length(candidate), 1)) AS score FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, candidate) AS rank FROM s)
 SELECT name, rank, candidate, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def fuzzy_topk(spark, sf):
     p = table(spark, sf, "part")
-    names = p.where("p_partkey % 3 = 0").select(F.replace("p_name", F.lit(" "), F.lit("")).alias("name"))
+    names = p.select(F.replace("p_name", F.lit(" "), F.lit("")).alias("name"))
     return rounded(lookup.fuzzy_top(names, p.select(F.col("p_name").alias("candidate"))))
 
 
@@ -509,9 +509,9 @@ MATRIX = "x AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE
 LONG = f"{MATRIX}, lo AS (UNPIVOT mx ON {', '.join(DIMS)} INTO NAME feature VALUE v)"
 
 
-@query(f"WITH {LONG} SELECT feature, round(CASE WHEN avg(v) <> 0 THEN stddev_samp(v) / abs(avg(v)) WHEN stddev_samp(v) = 0 THEN 0 END, 3) AS cv FROM lo WHERE feature IN ('f61', 'f62') GROUP BY feature")
+@query(f"WITH {LONG} SELECT feature, round(CASE WHEN avg(v) <> 0 THEN stddev_samp(v) / abs(avg(v)) WHEN stddev_samp(v) = 0 THEN 0 END, 3) AS cv FROM lo GROUP BY feature")
 def variance_filter(spark, sf):
-    return rounded(cluster.variation(matrix(spark, sf), ["f61", "f62"]), 3)
+    return rounded(cluster.variation(matrix(spark, sf), DIMS), 3)
 
 
 @query(f"WITH {LONG} SELECT a.feature AS a, b.feature AS b, round(corr(a.v, b.v), 6) AS r FROM lo a JOIN lo b ON a.vec_id = b.vec_id AND a.feature < b.feature GROUP BY ALL")
@@ -620,5 +620,5 @@ def grid_point_in_rect(spark, sf):
 SELECT c_custkey, arg_min(lat_idx, {{'d': round((lat - la) ** 2 + (lon - lo) ** 2, 9), 'i': lat_idx, 'j': lon_idx}}) AS lat_idx, arg_min(lon_idx, {{'d': round((lat - la) ** 2 + (lon - lo) ** 2, 9), 'i': lat_idx, 'j': lon_idx}}) AS lon_idx FROM pt, g GROUP BY c_custkey""")
 def nearest_cell(spark, sf):
     p = points(spark, sf)
-    cells = geo.grid(table(spark, sf, "region").where("r_regionkey = 0"), 20.0, 70.0, 9, 9)
+    cells = geo.grid(spark.range(1), 20.0, 70.0, 9, 9)
     return rounded(geo.nearest_cell(p, cells, 20.0, 70.0, 9, 9).select("c_custkey", "lat_idx", "lon_idx"))
