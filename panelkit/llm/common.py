@@ -47,10 +47,6 @@ def whole_text(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def hexed_sha256(column: Column) -> Column:
-    return F.sha2(column, 256)
-
-
 def salted_left_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, salts: int = 16) -> DataFrame:
     """Left join whose hot keys go to several tasks: big is dealt by (keys, salt), small is repeated for each salt."""
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))

@@ -56,12 +56,17 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
 FREQUENT = frozenset("0 2 3 4 a and any are as by can for in is it may met mit not of or person sa source the that this to under use v with work you nc charge general program fee free".split())
 
 
-def _index() -> list[tuple[int, str, str, int, str]]:
+def index() -> list[tuple[int, str, str, int, str]]:
     """(template, label, mandatory phrase, position, word); base phrases are templates too."""
     rows = [*((label, phrase, phrase) for phrase, label in PHRASES.items()), *TEMPLATES]
     return [(t, label, phrase, at, word) for t, (label, phrase, notice) in enumerate(rows) for at, word in enumerate(notice.split()) if word not in FREQUENT]
 
 
+def phrases() -> list[str]:
+    """Base and mandatory phrases."""
+    return sorted({*PHRASES, *(mandatory for _, mandatory, _ in TEMPLATES)})
+
+
 def _anchor(phrase: str) -> int:
     """Place of the phrase's first word that is indexed, else 0."""
     return next((i for i, w in enumerate(phrase.split()) if w not in FREQUENT), 0)
@@ -79,8 +84,8 @@ def _starts(phrase: str) -> Column:
 
 def reduce_texts(docs: DataFrame) -> DataFrame:
     """Row id, doc_id, n_words, starts of each base phrase, phrases that stand in the text, and hits (word, pos)."""
-    indexed = sorted({r[4] for r in _index()})
-    every = sorted({p for p in [*PHRASES, *(t[1] for t in TEMPLATES)]})
+    indexed = sorted({r[4] for r in index()})
+    every = phrases()
     wanted = sorted({*indexed, *(p.split()[_anchor(p)] for p in every)})
     words = docs.select("doc_id", F.regexp_extract_all(F.lower(whole_text()), F.lit(WORDS), F.lit(0)).alias("_w"))
     found = words.select("doc_id", "_w", F.array_compact(F.transform("_w", lambda w, i: F.when(w.isin(*wanted), i))).alias("_at"))
@@ -112,8 +117,8 @@ def align(reduced: DataFrame, rarest: int = 8, least: float = 0.5) -> DataFrame:
     n = reduced.count()
     with_hits = reduced.where(F.size("hits") > 0)
     df = with_hits.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    index = spark.createDataFrame(_index(), "template int, label string, phrase string, tpos int, word string")
-    weighed = index.join(df, "word", "left").withColumn("idf", F.log((F.lit(n) + 1.0) / (F.coalesce("df", F.lit(0)) + 0.5)))
+    postings = spark.createDataFrame(index(), "template int, label string, phrase string, tpos int, word string")
+    weighed = postings.join(df, "word", "left").withColumn("idf", F.log((F.lit(n) + 1.0) / (F.coalesce("df", F.lit(0)) + 0.5)))
     idf = weighed.groupBy("word").agg(F.max("idf").alias("idf"))
     whole = weighed.groupBy("template").agg(F.sum("idf").alias("whole"))
     postings = weighed.join(whole, "template").select("template", "label", "phrase", "tpos", "word", "idf", "whole")
