@@ -1,8 +1,8 @@
-"""Price features of an entity: 64 columns from its dense monthly panel, in one pass of windows and three groupings."""
+"""Price features of an entity: 64 columns from its dense monthly panel, in one pass of windows and two groupings."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -31,20 +31,35 @@ def with_series(panel: DataFrame, entity: str, value: str) -> DataFrame:
     return p.withColumns({"up": series.streak(F.col("diff") > 0, w, F.col("t")), "down": series.streak(F.col("diff") < 0, w, F.col("t")), "turn": series.turning(F.col("diff"), w)})
 
 
+def month_columns(value: str) -> list[Column]:
+    """Aggregates: mean and deviation of the value in each calendar month (24)."""
+    of = lambda m: F.when(F.col("month") == m, F.col(value))
+    return [F.avg(of(i + 1)).alias(f"{m}_avg_price") for i, m in enumerate(MONTHS)] + [F.stddev_samp(of(i + 1)).alias(f"{m}_std_price") for i, m in enumerate(MONTHS)]
+
+
+def with_season(wide: DataFrame) -> DataFrame:
+    """wide with what its twelve monthly means say: amplitude, cv (%), variance, peak to trough, and both months (first on tie)."""
+    known = F.array_compact(F.array(*[F.when(F.col(f"{m}_avg_price").isNotNull(), F.struct(F.col(f"{m}_avg_price").alias("x"), F.lit(i + 1).alias("m"))) for i, m in enumerate(MONTHS)]))
+    w = wide.withColumn("_k", known).withColumn("_x", F.transform("_k", lambda p: p["x"]))
+    total = lambda f: F.aggregate("_x", F.lit(0.0), lambda a, x: a + f(x))
+    w = w.withColumn("_mean", F.try_divide(total(lambda x: x), F.size("_x")))
+    w = w.withColumn("_month_var", F.try_divide(total(lambda x: (x - F.col("_mean")) * (x - F.col("_mean"))), F.size("_x") - 1))
+    low, high = F.array_min("_x"), F.array_max("_x")
+    at = lambda x: F.get(F.filter("_k", lambda p: p["x"] == x), 0)["m"]
+    return w.withColumns(
+        {
+            "seasonal_amplitude": high - low,
+            "seasonal_cv": stats.ratio(F.sqrt("_month_var"), F.col("_mean")) * 100,
+            "peak_to_trough_ratio": stats.ratio(high, low),
+            "peak_price_month": at(high),
+            "trough_price_month": at(low),
+        }
+    ).drop("_k", "_x", "_mean")
+
+
 def seasonal(panel: DataFrame, entity: str, value: str) -> DataFrame:
-    """Calendar-month means and deviations (24 columns) and what they say: amplitude, cv, peak and trough."""
-    by_month = panel.groupBy(entity, "month").agg(F.avg(value).alias("avg"), F.stddev_samp(value).alias("std"))
-    pick = lambda m, c: F.max(F.when(F.col("month") == m, F.col(c)))
-    return by_month.groupBy(entity).agg(
-        *[pick(i + 1, "avg").alias(f"{m}_avg_price") for i, m in enumerate(MONTHS)],
-        *[pick(i + 1, "std").alias(f"{m}_std_price") for i, m in enumerate(MONTHS)],
-        (F.max("avg") - F.min("avg")).alias("seasonal_amplitude"),
-        stats.cv(F.col("avg"), percent=True).alias("seasonal_cv"),
-        F.var_samp("avg").alias("_month_var"),
-        stats.ratio(F.max("avg"), F.min("avg")).alias("peak_to_trough_ratio"),
-        F.max_by("month", F.struct("avg", -F.col("month"))).cast("int").alias("peak_price_month"),
-        F.min_by("month", F.struct("avg", "month")).cast("int").alias("trough_price_month"),
-    )
+    """Calendar-month means and deviations (24 columns) and what they say, from one grouping."""
+    return with_season(panel.groupBy(entity).agg(*month_columns(value)))
 
 
 def yearly(panel: DataFrame, entity: str, value: str) -> DataFrame:
@@ -84,7 +99,7 @@ def price_features(panel: DataFrame, entity: str) -> DataFrame:
         F.var_samp(v).alias("_var"),
         stats.slope(x, F.col("t")).alias("price_trend_linear_slope"),
         stats.quadratic(x, u).alias("price_trend_quadratic_coef"),
-        stats.ordered(F.col("t"), x).alias("_x"),
+        stats.ordered(F.col("t"), x).alias("_o"),
         F.sum("shift").cast("int").alias("structural_break_count"),
         F.avg("ret").alias("monthly_return_mean"),
         F.median("ret").alias("monthly_return_median"),
@@ -96,15 +111,17 @@ def price_features(panel: DataFrame, entity: str) -> DataFrame:
         (-F.min("fall") * 100).alias("max_drawdown"),
         (F.avg("is_imputed") * 100).alias("pct_imputed"),
         (F.avg(outside.cast("int")) * 100).alias("fraction_extrapolated"),
+        *month_columns(v),
     )
-    level = level.withColumns({"mann_kendall_tau": stats.kendall_tau(F.col("_x")), "mann_kendall_pvalue": stats.two_sided_p(stats.kendall_z(F.col("_x")))}).drop("_x")
-    years = yearly(panel, entity, v).join(seasonal(panel, entity, v), entity)
-    by_year = years.groupBy(entity).agg(
+    level = with_season(level).withColumns({"mann_kendall_tau": stats.kendall_tau(F.col("_o")), "mann_kendall_pvalue": stats.two_sided_p(stats.kendall_z(F.col("_o")))}).drop("_o")
+    by_year = yearly(panel, entity, v).groupBy(entity).agg(
         F.when(F.count("*") > 1, stats.growth(F.min_by("avg", "year"), F.max_by("avg", "year"), (F.count("*") - 1))).alias("price_cagr"),
-        (F.avg((F.col("peak") == F.col("peak_price_month")).cast("int")) * 100).alias("peak_month_consistency"),
+        F.collect_list("peak").alias("_peaks"),
         F.count_if(~F.col("all_imputed")).cast("int").alias("observed_years"),
         F.count_if("any_imputed").cast("int").alias("imputed_years"),
         F.count_if("all_imputed").cast("int").alias("missing_years_before_imputation"),
     )
-    out = level.join(seasonal(panel, entity, v), entity).join(by_year, entity)
-    return out.withColumn("seasonal_strength", stats.ratio(F.col("_month_var"), F.col("_var"))).drop("_month_var", "_var")
+    out = level.join(by_year, entity)
+    same = F.size(F.filter("_peaks", lambda p: p == F.col("peak_price_month")))
+    out = out.withColumns({"seasonal_strength": stats.ratio(F.col("_month_var"), F.col("_var")), "peak_month_consistency": F.try_divide(same, F.size("_peaks")) * 100})
+    return out.drop("_month_var", "_var", "_peaks")
