@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text
+from .common import cut, small_batches, whole_text
 
 #: Texts whose ids a Python worker holds at once.
 ROWS_AT_ONCE = 500
@@ -121,7 +121,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
     """
     kinds = dict(docs.dtypes)
     kept = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    rows = docs.select(*keep, whole_text().alias("_t"))
+    rows = small_batches(docs).select(*keep, whole_text().alias("_t"))
     run = lambda batches: _encoded(batches, path, pattern, decoded)
     made = "ids array<int>, bytes binary" if decoded else "ids array<int>"
     short = rows.where(F.length("_t") <= chunk).mapInArrow(run, f"{kept}, {made}")

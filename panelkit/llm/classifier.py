@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .shingles import mixed, pieces, text_bytes, word_hashes, words
 
 BUCKETS = 1 << 15
@@ -71,7 +71,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Log ratio of target to raw for each bucket. labels: doc_id, quality, bounded; docs: all raw text."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id", "left").select("text", "quality")
+    marked = small_batches(docs).select("doc_id", "text").join(F.broadcast(labels), "doc_id", "left").select("text", "quality")
     counts = marked.mapInArrow(_counted, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.collect():  # BUCKETS rows at most, whatever the corpus
@@ -94,7 +94,7 @@ def _weighed(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[p
 
 def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """docs with score: the mean log ratio of the text's n-grams."""
-    docs = docs.drop(*ADDED)
+    docs = small_batches(docs).drop(*ADDED)
     schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
     return docs.mapInArrow(lambda b: _weighed(b, ratio), f"{schema}, score double")
 

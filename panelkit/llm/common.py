@@ -42,6 +42,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """df, with the session's Arrow batches at `rows` rows at most: texts are long, and a batch is held twice in a worker and in its executor."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def whole_text(column: str | Column = "text") -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

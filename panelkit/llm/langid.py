@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, salted_left_join
+from .common import cut, salted_left_join, small_batches
 from .shingles import mixed, pieces, text_bytes
 
 BUCKETS = 1 << 15
@@ -63,7 +63,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(documents: DataFrame, labelled_rows: int = 20_000) -> dict[str, np.ndarray]:
     """Language -> log probability of each bucket, from about labelled_rows documents chosen by hash of doc_id."""
     n = max(1, documents.count())
-    few = documents.where("lang is not null and text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, labelled_rows / n)))
+    few = small_batches(documents).where("lang is not null and text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, labelled_rows / n)))
     counts = few.select("lang", "text").mapInArrow(_counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table: dict[str, np.ndarray] = {}
     for r in counts.collect():  # languages x BUCKETS rows at most
@@ -103,7 +103,7 @@ def identify(pages: DataFrame, models: dict[str, np.ndarray], keep: tuple[str, .
     strength: how many pages a prior's parent counts for.
     """
     langs = list(models)
-    kept = pages.select(*keep, "url", "html")
+    kept = small_batches(pages).select(*keep, "url", "html")
     if not langs:
         return kept.select(*keep, *[F.lit(None).cast("string").alias(c) for c in ("host", "declared", "text_lang", "lang")], F.lit(None).cast("double").alias("probability")).where("false")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))

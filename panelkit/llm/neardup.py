@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, salted_left_join
+from .common import components, cut, salted_left_join, small_batches
 from .shingles import mixed, pieces, shingle_sets
 
 BANDS, ROWS = 40, 6
@@ -109,7 +109,7 @@ def summarise(docs: DataFrame, width: int) -> DataFrame:
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("jk"))
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, jk bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary"
-    return rows.mapInArrow(lambda batches: _summaries(batches, width), schema)
+    return small_batches(rows).mapInArrow(lambda batches: _summaries(batches, width), schema)
 
 
 def _linked(sets: list[np.ndarray], sketch: np.ndarray, left: range, right: range, percent: int) -> list[tuple[int, int]]:
