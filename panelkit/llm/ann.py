@@ -8,8 +8,9 @@ find is merged, and distances are exact, in double precision, on the original ve
 
 Equal vectors are one entry with its smallest ids (more than k can never be asked for), so copies cost nothing. Buckets
 of over `block` entries are split over several groups, to which their visits are repeated. A group's entries are held
-by one task, visits stream past them, and a task keeps only its best k for each query. Queries that found fewer than k
-visit every bucket. Whatever does not depend on the sample - index, visits, distances - covers all rows.
+by one task, visits stream past them, and a task keeps only its best k for each query. There are only so many projections
+that most sampled queries reach their success in `most` visits a table. Queries that do not, and those that found fewer
+than k, are compared with every entry, dealt into blocks by hash. Whatever does not depend on the sample - index, visits, distances - covers all rows.
 
 Defined results: rows take no part whose id or vector is null, or whose vector is zero or empty, holds null or
 non-finite components, or has another length than most; a repeated (id, vector) counts once; ties go to the smaller id;
@@ -43,12 +44,13 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 class Hashing:
     """Projections fitted to a sample: the cell width, and how a near vector's projection spreads around the query's."""
 
-    def __init__(self, sample: np.ndarray, n: int, k: int, success: float, occupancy: int, seed: int = 7) -> None:
+    def __init__(self, sample: np.ndarray, n: int, k: int, success: float, occupancy: int, seed: int = 7, most: int = 20_000) -> None:
         rng = np.random.RandomState(seed)
         dims = sample.shape[1]
         self.m = min(12, max(0, round(math.log(max(1.0, n / occupancy), 3)))) if n > 4 * occupancy else 0
         self.a = rng.normal(size=(TABLES, self.m, dims))
         self.b = rng.uniform(size=(TABLES, self.m))
+        self.most = most
         self.each = 1 - (1 - success) ** (1 / TABLES)
         if self.m:
             few = sample[:200]
@@ -61,6 +63,7 @@ class Hashing:
             self.rho = np.clip(1 - r2 / (2 * variance), 0, 1)
             self.sd = np.sqrt(np.maximum(variance * (1 - self.rho**2), 1e-12))
             self.w = 1.2 * np.sqrt(variance)
+            self.shorten(few[:20])
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """(n x TABLES) bucket numbers."""
@@ -76,30 +79,47 @@ class Hashing:
             out = out * np.int64(1_000_003) + cells[..., i]
         return out
 
-    def visits(self, q: np.ndarray, most: int = 20_000) -> Iterator[tuple[int, np.ndarray]]:
-        """(table, buckets in the order of estimated success) for one query."""
-        if not self.m:
-            yield 0, np.zeros(1, dtype=np.int64)
-            return
+    def _ranked(self, q: np.ndarray, t: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """After each projection of table t: the best `most` (chances, cells) of the projections so far, best first."""
         from statistics import NormalDist
 
         cdf = NormalDist().cdf
+        chance, cells = np.ones(1), np.zeros((1, 0), dtype=np.int64)
+        for i in range(self.m):
+            y = float(self.a[t, i] @ q)
+            centre = self.mean[t, i] + self.rho[t, i] * (y - self.mean[t, i])
+            middle = math.floor(centre / self.w[t, i] + self.b[t, i])
+            near = np.arange(middle - CELLS, middle + CELLS + 1)
+            edge = [cdf(((c - self.b[t, i]) * self.w[t, i] - centre) / self.sd[t, i]) for c in [*near, near[-1] + 1]]
+            p = np.diff(edge)
+            near, p = near[p > 1e-4], p[p > 1e-4]
+            chance = (chance[:, None] * p[None]).ravel()
+            cells = np.concatenate([np.repeat(cells, len(near), axis=0), np.tile(near, len(cells))[:, None]], axis=1)
+            best = np.argsort(-chance, kind="stable")[:most]
+            chance, cells = chance[best], cells[best]
+            yield chance, cells
+
+    def shorten(self, queries: np.ndarray, share: float = 0.9) -> None:
+        """Keep only so many projections that `share` of the queries reach their success in every table."""
+        if not self.m or not len(queries):
+            return
+        least = np.array([np.min([[chance.sum() for chance, _ in self._ranked(q, t, self.most)] for t in range(TABLES)], axis=0) for q in queries])
+        good = np.flatnonzero((least >= self.each).mean(axis=0) >= share)
+        self.m = int(good[-1]) + 1 if len(good) else 0
+        self.a, self.b, self.mean, self.rho, self.sd, self.w = (x[:, : self.m] for x in (self.a, self.b, self.mean, self.rho, self.sd, self.w))
+
+    def visits(self, q: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(table, buckets in the order of estimated success) for one query; none if `most` buckets of a table don't reach it."""
+        if not self.m:
+            return [(0, np.zeros(1, dtype=np.int64))]
+        out = []
         for t in range(TABLES):
-            chance, cells = np.ones(1), np.zeros((1, 0), dtype=np.int64)
-            for i in range(self.m):
-                y = float(self.a[t, i] @ q)
-                centre = self.mean[t, i] + self.rho[t, i] * (y - self.mean[t, i])
-                middle = math.floor(centre / self.w[t, i] + self.b[t, i])
-                near = np.arange(middle - CELLS, middle + CELLS + 1)
-                edge = [cdf(((c - self.b[t, i]) * self.w[t, i] - centre) / self.sd[t, i]) for c in [*near, near[-1] + 1]]
-                p = np.diff(edge)
-                near, p = near[p > 1e-4], p[p > 1e-4]
-                chance = (chance[:, None] * p[None]).ravel()
-                cells = np.concatenate([np.repeat(cells, len(near), axis=0), np.tile(near, len(cells))[:, None]], axis=1)
-                best = np.argsort(-chance, kind="stable")[:most]
-                chance, cells = chance[best], cells[best]
-            enough = int(np.searchsorted(np.cumsum(chance), self.each)) + 1
-            yield t, self._numbers(cells[:enough])
+            *_, (chance, cells) = self._ranked(q, t, self.most)
+            sums = np.cumsum(chance)
+            if not len(sums) or sums[-1] < self.each:
+                return []
+            out.append((t, self._numbers(cells[: int(np.searchsorted(sums, self.each)) + 1])))
+        return out
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -171,11 +191,11 @@ def _nearest(batches: Iterator[pa.RecordBatch], k: int, hold: int = 50_000) -> I
         yield flush()
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", success: float = 0.97, occupancy: int = 200, block: int = 4096, sample_rows: int = 4000) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", success: float = 0.97, occupancy: int = 200, block: int = 4096, sample_rows: int = 4000, most: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for whose id `is_query` (a function of a Column) holds.
 
     sample_rows bounds the rows on which R and the spread of projections are measured. success: the share of true
-    neighbours that the visits are to reach.
+    neighbours that the visits are to reach. most: buckets of a table that a query may visit to reach it.
     """
     spark = vectors.sparkSession
     rows = cut(usable(vectors, vec_id, embedding))
@@ -187,25 +207,27 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", em
 
     n = entries.count()
     sample = entries.where(F.pmod(F.xxhash64("vid"), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, sample_rows / max(n, 1)))).select("v").limit(2 * sample_rows).collect()
-    hashing = Hashing(np.array([r["v"] for r in sample], dtype=np.float64) if sample else np.zeros((0, 1)), n, k, success, occupancy)
+    hashing = Hashing(np.array([r["v"] for r in sample], dtype=np.float64) if sample else np.zeros((0, 1)), n, k, success, occupancy, most=most)
 
     index = cut(entries.mapInArrow(lambda b: _indexed(b, hashing), "t int, bucket bigint, vid bigint, v array<double>"))
     crowded = cut(index.groupBy("t", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > block).select("t", "bucket", F.ceil(F.col("n") / block).cast("int").alias("p")))
     spread = salted_left_join(index, crowded, ["t", "bucket"], F.col("vid")).withColumn("salt", F.pmod(F.xxhash64("vid"), F.coalesce("p", F.lit(1))).cast("int")).drop("p")
 
-    def found(visits: DataFrame) -> DataFrame:
-        to = salted_left_join(visits, crowded, ["t", "bucket"], F.col("vid")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("p", F.lit(1)) - 1))).drop("p")
-        both = spread.withColumn("kind", F.lit(0)).unionByName(to.withColumn("kind", F.lit(1)))
+    def found(entries: DataFrame, visits: DataFrame) -> DataFrame:
+        both = entries.withColumn("kind", F.lit(0)).unionByName(visits.withColumn("kind", F.lit(1)))
         dealt = both.repartition("t", "bucket", "salt").sortWithinPartitions("t", "bucket", "salt", "kind")
         return dealt.mapInArrow(lambda b: _nearest(b, k + 1), "qvid bigint, cvid bigint, score double")
 
     visits = asked.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(lambda b: _visited(b, hashing), "t int, bucket bigint, vid bigint, v array<double>")
-    hits = cut(found(visits))
+    to = salted_left_join(visits, crowded, ["t", "bucket"], F.col("vid")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("p", F.lit(1)) - 1))).drop("p")
+    hits = cut(found(spread, to))
     enough = hits.groupBy("qvid").agg(F.count_distinct("cvid").alias("n")).where(F.col("n") >= min(k + 1, n))
     starved = cut(asked.join(enough, F.col("vid") == F.col("qvid"), "left_anti"))
     if not starved.isEmpty():
-        everywhere = index.where("t = 0").select("t", "bucket").distinct()
-        hits = hits.unionByName(cut(found(starved.withColumn("t", F.lit(0)).join(everywhere, "t").select("t", "bucket", "vid", "v"))))
+        blocks = math.ceil(n / block)
+        at = lambda bucket: (F.lit(0).alias("t"), bucket.alias("bucket"), "vid", "v", F.lit(0).alias("salt"))
+        everywhere = starved.select(*at(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))))
+        hits = hits.unionByName(cut(found(entries.select(*at(F.pmod(F.xxhash64("vid"), F.lit(blocks)))), everywhere)))
 
     best = hits.distinct().withColumn("n", F.row_number().over(Window.partitionBy("qvid").orderBy("score", "cvid"))).where(F.col("n") <= k + 1)
     itself = asked.select(F.col("vid").alias("qvid"), F.col("vid").alias("cvid"), F.lit(0.0).alias("score"))

@@ -209,6 +209,19 @@ def test_neighbours_edge_cases(spark):
     assert ann.search(few.where("vec_id < 0"), lambda i: i % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("shortened", [True, False])
+def test_neighbours_beyond_the_most_visits(spark, monkeypatch, shortened):
+    """Too few visits for the success asked for: fewer projections, and exact answers for queries that still fall short."""
+    if not shortened:
+        monkeypatch.setattr(ann.Hashing, "shorten", lambda self, queries: None)
+    x = np.random.RandomState(8).normal(size=(1500, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = ann.search(df, lambda i: i % 20 == 0, occupancy=10, block=256, most=12).collect()
+    want = {(q, int(j)) for q in range(0, 1500, 20) for j in np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable")[1:11]}
+    found = {(r.query_id, r.vec_id) for r in got}
+    assert len(got) == len(want) and len(found & want) >= (0.9 if shortened else 1) * len(want)
+
+
 def test_language_on_held_out_pages(spark):
     pages, docs = spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     models = langid.fit(docs)
