@@ -1,10 +1,10 @@
 """License scans by a positional rare-token index (operator 1).
 
 One pass reduces each text to its word count, the places of base phrases, and its hits: words of the license index with
-their positions. Document frequencies of the index's words over the whole corpus give their IDF. A file's rarest index
-words are then looked up in the templates' postings; postings that agree on (word position - template position) add up
-their IDF, and a template whose mandatory phrase stands in the text and whose best alignment holds enough of its weight
-gives its label.
+their positions. Document frequencies of the index's words over the whole corpus give their IDF. All hits of a file that
+holds some mandatory phrase are then looked up in the templates' postings; postings that agree on (word position -
+template position) add up their IDF, and a template whose mandatory phrase stands in the text and whose best alignment
+holds enough of its weight gives its label.
 
 The index is as large as TEMPLATES and PHRASES (a few hundred postings, whatever the corpus), so its join is broadcast.
 Texts are read once and never shuffled: only hits of documents that have some are.
@@ -107,11 +107,10 @@ def reduce_texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def align(reduced: DataFrame, rarest: int = 8, least: float = 0.5) -> DataFrame:
-    """(rid, found labels, score) of rows whose rarest index words align with some template.
+def align(reduced: DataFrame, least: float = 0.5) -> DataFrame:
+    """(rid, found labels, score) of rows whose index words align with some template.
 
-    rarest: how many of a file's highest-IDF index words are looked up. least: the share of a template's IDF that its
-    best alignment must hold.
+    least: the share of a template's IDF that its best alignment must hold.
     """
     spark: SparkSession = reduced.sparkSession
     n = reduced.count()
@@ -119,14 +118,11 @@ def align(reduced: DataFrame, rarest: int = 8, least: float = 0.5) -> DataFrame:
     df = with_hits.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     postings = spark.createDataFrame(index(), "template int, label string, phrase string, tpos int, word string")
     weighed = postings.join(df, "word", "left").withColumn("idf", F.log((F.lit(n) + 1.0) / (F.coalesce("df", F.lit(0)) + 0.5)))
-    idf = weighed.groupBy("word").agg(F.max("idf").alias("idf"))
     whole = weighed.groupBy("template").agg(F.sum("idf").alias("whole"))
     postings = weighed.join(whole, "template").select("template", "label", "phrase", "tpos", "word", "idf", "whole")
 
-    # a file's highest-IDF words: at most as many rows a file as the index has words
-    own = with_hits.select("rid", F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word")).join(F.broadcast(idf), "word")
-    rare = own.groupBy("rid").agg(F.slice(F.sort_array(F.collect_list(F.struct("idf", "word")), asc=False), 1, rarest).alias("rare"))
-    looked = with_hits.join(rare, "rid").select("rid", "phrases", F.explode(F.filter("hits", lambda h: F.exists("rare", lambda r: r["word"] == h["word"]))).alias("h"))
+    # every hit of a text in which some mandatory phrase stands meets the postings of its word
+    looked = with_hits.where(F.size("phrases") > 0).select("rid", "phrases", F.explode("hits").alias("h"))
     looked = looked.select("rid", "phrases", F.col("h.word").alias("word"), F.col("h.pos").alias("pos")).join(F.broadcast(postings), "word")
     looked = looked.where(F.array_contains("phrases", F.col("phrase")))
     # each posting counts once at an offset, so the weights that agree on it just add up

@@ -62,6 +62,16 @@ def test_license_notice_without_base_phrase(spark):
     assert got[3].base_labels == "cc-by" and got[3].labels == "cc-by,cc-by-nc"
 
 
+def test_licenses_of_several_notices_in_one_file(spark):
+    """Each of three whole notices counts by its own words, whatever other rare words the file holds."""
+    notice = {t[0]: t[2] for t in licenses.TEMPLATES if t[0] in ("lgpl", "bsd", "isc")}
+    prose = "mozilla affero unencumbered attribution international domain creative commons compliance released"
+    rows = [(1, " and then ".join(notice.values())), (2, f"{notice['bsd']} {prose}"), (3, prose)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert [got[i].labels for i in (1, 2, 3)] == ["bsd,isc,lgpl", "bsd", ""]
+    assert abs(got[1].score - 1) < 1e-9 and abs(got[2].score - 1) < 1e-9
+
+
 def test_secrets_equal_brute_force(spark, documents):
     want = {i: base_spans(t) for i, t in documents}
     for r in queries.op2_secret_scans(spark, SF).collect():
