@@ -1,16 +1,19 @@
 """From a wide feature table to clusters and their profiles: selection, scaling, PCA, Ward, silhouette, profiles.
 
-Per-feature work (variation, correlation, scaling, means) is Spark aggregation over all rows. Ward linkage needs every
-pair of rows: it takes the rows of one task, so it is for entities (districts, shops), not for events; `most_rows`
-makes larger inputs an error instead of a surprise.
+Per-feature work (variation, correlation, scaling, means) is Spark aggregation over all rows. Ward linkage and
+silhouettes need every pair of rows: rows are dealt into blocks, and a task holds two blocks. Work grows with the square
+of the rows, so they are for entities (districts, shops), not for events.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
@@ -108,12 +111,16 @@ def principal(df: DataFrame, features: list[str], share: float = 0.90) -> tuple[
     return out.withColumn("pc", F.zip_with("pc", signs, lambda a, b: a * b)), pc * sign, explained[:m]
 
 
-def ward_tree(x: np.ndarray) -> np.ndarray:
-    """Merges (left, right, height, size) of Ward's method on Euclidean distances (Lance-Williams updates)."""
+def ward_tree(x: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+    """Merges (left, right, height, size) of Ward's method on Euclidean distances (Lance-Williams updates).
+
+    size: how many rows each of x, their mean, stands for (one if not given).
+    """
     n = len(x)
-    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    size = np.ones(n) if size is None else np.array(size, dtype=float)
+    d = sum((np.square(c[:, None] - c[None]) for c in x.T), np.zeros((n, n))) * (2 * size[:, None] * size / (size[:, None] + size))
     np.fill_diagonal(d, np.inf)
-    size, name, out = np.ones(n), np.arange(n), np.zeros((max(n - 1, 0), 4))
+    name, out = np.arange(n), np.zeros((max(n - 1, 0), 4))
     alive = np.ones(n, dtype=bool)
     for step in range(n - 1):
         i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
@@ -148,10 +155,101 @@ def dendrogram_k(tree: np.ndarray, last: int = 10) -> int:
     return int(np.clip(bend.argmax() + 2, 2, 10)) if len(bend) else 2
 
 
-def ward(df: DataFrame, key: str, vector: str, ks: list[int], most_rows: int = 20_000) -> DataFrame:
-    """key, k, cluster for each k of ks, rows taken in order of key."""
+def _cut(df: DataFrame) -> DataFrame:
+    """df without its lineage."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def _pairs_of_blocks(df: DataFrame, spread: Column, n: int, block: int) -> DataFrame:
+    """df's rows, n in all, dealt into blocks by hash and repeated for each unordered pair (_i, _j) of blocks; _b is the row's."""
+    p = max(1, math.ceil(n / block))
+    dealt = df.withColumn("_b", F.pmod(F.xxhash64(spread), F.lit(p)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
+    return dealt.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_o")
+
+
+def _sides(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places of rows and of those that they meet: all of one block, or two blocks both ways."""
+    b, i, j = t["_b"].to_numpy(), t["_i"][0].as_py(), t["_j"][0].as_py()
+    one, two = np.flatnonzero(b == i), np.flatnonzero(b == j)
+    return [(one, two)] if i == j else [(one, two), (two, one)] if len(one) and len(two) else []
+
+
+def _squares(x: np.ndarray, y: np.ndarray, held: int = 2_000_000) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, squared distances of some rows of x to all of y)."""
+    step = max(1, held // max(1, y.size))
+    for a in range(0, len(x), step):
+        yield a, ((x[a : a + step, None] - y[None]) ** 2).sum(axis=2)
+
+
+def _nearest(t: pa.Table) -> pa.Table:
+    """Each cluster's nearest one (ties to the smaller number) in a pair of blocks, by Ward's squared height."""
+    c, size, x = t["c"].to_numpy(), t["size"].to_numpy(), np.array(t["v"].to_pylist(), dtype=float)
+    out = [(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+    for rows, met in _sides(t):
+        met = met[np.argsort(c[met])]
+        for a, d in _squares(x[rows], x[met]):
+            some = rows[a : a + len(d)]
+            d = d * (2 * size[some][:, None] * size[met] / (size[some][:, None] + size[met]))
+            d[c[some][:, None] == c[met]] = np.inf
+            at = d.argmin(axis=1)
+            cost = d[np.arange(len(d)), at]
+            out.append((c[some][cost < np.inf], cost[cost < np.inf], c[met][at][cost < np.inf]))
+    return pa.table([np.concatenate(x) for x in zip(*out)], ["c", "cost", "other"])
+
+
+def _blocked_ward(rows: DataFrame, n: int, local: int, block: int) -> np.ndarray:
+    """All n - 1 merges (a, b, squared height) of rows (c, v); a cluster is called by its smallest c.
+
+    Ward's method is reducible: clusters that are each other's nearest merge in every order. So each round merges all such
+    pairs; the last `local` clusters are merged by the driver.
+    """
+    state = _cut(rows.select("c", F.lit(1.0).alias("size"), "v"))
+    merges = [np.empty((0, 3))]
+    while n > local:
+        near = _pairs_of_blocks(state, F.col("c"), n, block).groupBy("_i", "_j").applyInArrow(_nearest, "c bigint, cost double, other bigint")
+        best = _cut(near.groupBy("c").agg(F.min(F.struct("cost", "other")).alias("m")).select("c", "m.cost", "m.other"))
+        mutual = best.join(best.select(F.col("c").alias("other"), F.col("other").alias("c")), ["c", "other"]).where("c < other")
+        some = mutual.toPandas()
+        merges.append(some[["c", "other", "cost"]].to_numpy(dtype=float))
+        n -= len(some)
+        into = state.join(mutual.select(F.col("other").alias("c"), F.col("c").alias("a")), "c", "left")
+        both = into.groupBy(F.coalesce("a", "c").alias("c")).agg(F.sum("size").alias("size"), F.array_sort(F.collect_list(F.struct("c", "size", "v"))).alias("x"))  # one or two
+        one, two = F.get("x", F.lit(0)), F.get("x", F.lit(1))
+        mean = F.zip_with(one["v"], two["v"], lambda p, q: (one["size"] * p + two["size"] * q) / (one["size"] + two["size"]))
+        state = _cut(both.select("c", "size", F.when(F.size("x") > 1, mean).otherwise(one["v"]).alias("v")))
+    rest = state.orderBy("c").collect()  # `local` rows at most
+    tree = ward_tree(np.array([r["v"] for r in rest], dtype=float), np.array([r["size"] for r in rest]))
+    name = [r["c"] for r in rest]
+    for left, right, height, _ in tree:
+        a, b = sorted((name[int(left)], name[int(right)]))
+        merges.append(np.array([[a, b, height**2]], dtype=float))
+        name.append(a)
+    return np.concatenate(merges)
+
+
+def _labels(n: int, merges: np.ndarray, k: int) -> np.ndarray:
+    """Labels 1..k of rows 0..n-1 after all but the k - 1 highest merges, numbered by their first member."""
+    to = list(range(n))
+
+    def root(i: int) -> int:
+        while to[i] != i:
+            to[i] = i = to[to[i]]
+        return i
+
+    for a, b in merges[np.argsort(merges[:, 2], kind="stable")[: n - k], :2].astype(int):
+        a, b = sorted((root(a), root(b)))
+        to[b] = a
+    return np.unique([root(i) for i in range(n)], return_inverse=True)[1] + 1
+
+
+def ward(df: DataFrame, key: str, vector: str, ks: list[int], most_rows: int | None = None, local: int = 2000, block: int = 2048) -> DataFrame:
+    """key, k, cluster for each k of ks, rows taken in order of key.
+
+    most_rows: refuse more rows, if given. local: rows that one task links; more are linked in blocks of `block`, and the
+    driver holds the tree, three numbers a row.
+    """
     n = df.count()
-    if n > most_rows:
+    if most_rows is not None and n > most_rows:
         raise ValueError(f"Ward linkage of {n} rows; most_rows is {most_rows}")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -159,19 +257,53 @@ def ward(df: DataFrame, key: str, vector: str, ks: list[int], most_rows: int = 2
         tree = ward_tree(np.array(group[vector].tolist(), dtype=float))
         return pd.concat([pd.DataFrame({key: group[key], "k": k, "cluster": cut_tree(tree, min(k, len(group)))}) for k in ks])
 
-    return df.select(key, vector, F.lit(0).alias("_one")).groupBy("_one").applyInPandas(fit, f"`{key}` {dict(df.dtypes)[key]}, k int, cluster int")
-
-
-def silhouettes(df: DataFrame, key: str, vector: str, cluster: str = "cluster") -> DataFrame:
+    if n <= local:
+        return df.select(key, vector, F.lit(0).alias("_one")).groupBy("_one").applyInPandas(fit, f"`{key}` {dict(df.dtypes)[key]}, k int, cluster int")
+    # numbers rise with the key: a global sort's partitions are in order
+    rows = _cut(df.select(F.col(key).alias("_k"), F.col(vector).alias("v")).orderBy("_k").select("_k", "v", F.monotonically_increasing_id().alias("c")))
+    c = np.sort(rows.select("c").toPandas()["c"].to_numpy())
+    merges = _blocked_ward(rows, n, local, block)
+    merges[:, :2] = np.searchsorted(c, merges[:, :2])
+    labels = df.sparkSession.createDataFrame(pd.concat([pd.DataFrame({"c": c, "k": k, "cluster": _labels(n, merges, min(k, n))}) for k in ks]), "c bigint, k int, cluster int")
+    return rows.join(labels, "c").select(F.col("_k").alias(key), "k", "cluster")
+
+
+def _summed(t: pa.Table) -> pa.Table:
+    """Sums and counts of the distances of each row of a pair of blocks to the other rows' clusters; null vectors have no distances."""
+    known = np.array([v is not None and None not in v for v in t["_v"].to_pylist()])
+    x = np.array([v for v, k in zip(t["_v"].to_pylist(), known) if k], dtype=float)
+    place = np.cumsum(known) - 1
+    codes = t["_c"].combine_chunks().dictionary_encode(null_encoding="encode")
+    code = codes.indices.to_numpy()
+    parts = []
+    for rows, met in _sides(t):
+        met = met[np.argsort(code[met], kind="stable")]
+        clusters, n = np.unique(code[met], return_counts=True)
+        with_v = met[known[met]]
+        some, begin = np.unique(code[with_v], return_index=True)
+        sums = np.full((len(rows), len(clusters)), np.nan)
+        asked = np.flatnonzero(known[rows])
+        if len(some) and len(asked):
+            for a, d in _squares(x[place[rows[asked]]], x[place[with_v]]):
+                sums[np.ix_(asked[a : a + len(d)], np.searchsorted(clusters, some))] = np.add.reduceat(np.sqrt(d), begin, axis=1)
+        each = pa.array(np.repeat(rows, len(clusters)))
+        far = sums.ravel()
+        kinds = codes.dictionary.take(pa.array(np.tile(clusters, len(rows))))
+        parts.append(pa.table([t["_k"].take(each), t["_c"].take(each), kinds, pa.array(far, mask=np.isnan(far)), pa.array(np.tile(n, len(rows)))], ["_k", "_c", "_c2", "d", "n"]))
+    return pa.concat_tables(parts) if parts else pa.table([t["_k"][:0], t["_c"][:0], t["_c"][:0], pa.array([], pa.float64()), pa.array([], pa.int64())], ["_k", "_c", "_c2", "d", "n"])
+
+
+def silhouettes(df: DataFrame, key: str, vector: str, cluster: str = "cluster", block: int = 2048) -> DataFrame:
     """key, cluster, silhouette by Euclidean distances (0 for a cluster of one).
 
-    All rows meet all rows, as the measure demands; both sides are entities. Distances are summed by (row, cluster)
-    before the shuffle.
+    All rows meet all rows, as the measure demands: in pairs of blocks of about `block` rows, whose distances are summed by
+    (row, cluster) before the shuffle.
     """
-    a = df.select(F.col(key).alias("_k"), F.col(vector).alias("_v"), F.col(cluster).alias("_c"), F.lit(0).alias("_j"))
-    b = df.select(F.col(key).alias("_k2"), F.col(vector).alias("_v2"), F.col(cluster).alias("_c2"), F.lit(0).alias("_j"))
-    far = F.sqrt(F.aggregate(F.zip_with("_v", "_v2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    sums = a.join(b, "_j").groupBy("_k", "_c", "_c2").agg(F.sum(far).alias("d"), F.count("*").alias("n"))
+    rows = df.select(F.col(key).alias("_k"), F.col(vector).alias("_v"), F.col(cluster).alias("_c"))
+    kinds = dict(rows.dtypes)
+    dealt = _pairs_of_blocks(rows, F.struct("_k", "_v"), df.count(), block)
+    part = dealt.groupBy("_i", "_j").applyInArrow(_summed, f"_k {kinds['_k']}, _c {kinds['_c']}, _c2 {kinds['_c']}, d double, n bigint")
+    sums = part.groupBy("_k", "_c", "_c2").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     own, other = F.col("_c") == F.col("_c2"), F.col("_c") != F.col("_c2")
     near = sums.groupBy("_k", "_c").agg(F.max(F.when(own, F.try_divide(F.col("d"), F.col("n") - 1))).alias("a"), F.min(F.when(other, F.col("d") / F.col("n"))).alias("b"))
     s = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))

@@ -240,6 +240,22 @@ def brute_ward(x, k):
     return out
 
 
+def test_clustering_in_blocks(spark):
+    """Rows beyond one task's: Ward and silhouettes in pairs of blocks equal those of one array, outliers and null vectors included."""
+    rnd = np.random.RandomState(9)
+    x = np.concatenate([rnd.normal(c, 0.5, size=(30, 3)) for c in (0, 4, 9)] + [[[40, 0, 0], [43, 0, 0]]])[rnd.permutation(92)]
+    v = spark.createDataFrame([(100 - i, p.tolist()) for i, p in enumerate(x)], "id int, v array<double>").repartition(3)
+    tree = cluster.ward_tree(x[::-1])
+    got = cluster.ward(v, "id", "v", [2, 4, 5], local=7, block=16).collect()
+    for k in (2, 4, 5):
+        assert [r.cluster for r in sorted(got) if r.k == k] == cluster.cut_tree(tree, k).tolist()
+    with_null = v.withColumn("c", F.pmod("id", F.lit(3)).cast("string")).withColumn("v", F.when(F.col("id") % 10 > 0, F.col("v")))
+    one, many = (sorted(map(tuple, cluster.silhouettes(with_null, "id", "v", "c", block=b).collect())) for b in (1000, 10))
+    assert len(one) == 92 and [r[:2] for r in one] == [r[:2] for r in many] and [r[2] for r in one] == pytest.approx([r[2] for r in many])
+    plan = cluster.silhouettes(v.withColumn("c", F.lit(1)), "id", "v", "c")._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Cartesian" not in plan
+
+
 def test_clustering(spark):
     rnd = np.random.RandomState(8)
     x = np.concatenate([rnd.normal(c, 0.4, size=(8, 3)) for c in (0, 3, 7)])
