@@ -13,7 +13,8 @@ that most sampled queries reach their success in `most` visits a table. Queries
 than k, are compared with every entry, dealt into blocks by hash. Whatever does not depend on the sample - index, visits, distances - covers all rows.
 
 Defined results: rows take no part whose id or vector is null, or whose vector is zero or empty, holds null or
-non-finite components, or has another length than most; a repeated (id, vector) counts once; ties go to the smaller id;
+non-finite components, or has another length than most; a repeated (id, vector) counts once; ties, of copies or not, go
+to the smaller id;
 an empty table gives an empty result.
 """
 
@@ -201,7 +202,9 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", em
     rows = cut(usable(vectors, vec_id, embedding))
     own = Window.partitionBy("v").orderBy("id")
     first = rows.withColumn("n", F.row_number().over(own)).where(F.col("n") <= k + 1)  # limited before the shuffle, too
-    entries = cut(first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.monotonically_increasing_id().alias("vid"), "v", "ids"))
+    # a global sort's partitions are in order, so vid rises with an entry's smallest id, and ties by vid are ties by that
+    named = first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).orderBy(F.get("ids", F.lit(0)))
+    entries = cut(named.select(F.monotonically_increasing_id().alias("vid"), "v", "ids"))
     queries = cut(rows.where(is_query(F.col("id"))).join(entries.select("v", "vid"), "v").select(F.col("id").alias("query_id"), "vid"))
     asked = entries.join(queries.select("vid").distinct(), "vid", "left_semi").select("vid", "v")
 
@@ -231,8 +234,8 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", em
 
     best = hits.distinct().withColumn("n", F.row_number().over(Window.partitionBy("qvid").orderBy("score", "cvid"))).where(F.col("n") <= k + 1)
     itself = asked.select(F.col("vid").alias("qvid"), F.col("vid").alias("cvid"), F.lit(0.0).alias("score"))
-    named = best.select("qvid", "cvid", "score").union(itself).distinct().join(entries.select(F.col("vid").alias("cvid"), "ids"), "cvid")
-    pairs = named.select("qvid", F.explode(F.transform("ids", lambda i: F.struct(F.col("score").alias("score"), i.alias("id")))).alias("x"))
+    answers = best.select("qvid", "cvid", "score").union(itself).distinct().join(entries.select(F.col("vid").alias("cvid"), "ids"), "cvid")
+    pairs = answers.select("qvid", F.explode(F.transform("ids", lambda i: F.struct(F.col("score").alias("score"), i.alias("id")))).alias("x"))
     lists = pairs.groupBy("qvid").agg(F.array_sort(F.collect_list("x")).alias("x"))  # (k + 2) * (k + 1) pairs at most
     out = queries.join(lists, queries["vid"] == lists["qvid"]).select("query_id", F.slice(F.filter("x", lambda x: x["id"] != F.col("query_id")), 1, k).alias("x"))
     return out.select("query_id", F.posexplode("x").alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -209,6 +209,16 @@ def test_neighbours_edge_cases(spark):
     assert ann.search(few.where("vec_id < 0"), lambda i: i % 20 == 0).count() == 0
 
 
+def test_neighbours_in_ties_have_the_smallest_ids(spark):
+    """One-hot vectors: all are equally far from each other, and the query's ten are the smallest ids."""
+    one_hot = [(int(i), [float(i == k) for k in range(48)]) for i in np.random.RandomState(4).permutation(48)]
+    df = spark.createDataFrame(one_hot, "vec_id bigint, embedding array<double>").repartition(7)
+    got = defaultdict(list)
+    for r in ann.search(df, lambda i: i % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == {q: [i for i in range(12) if i != q][:10] for q in (0, 20, 40)}
+
+
 @pytest.mark.parametrize("shortened", [True, False])
 def test_neighbours_beyond_the_most_visits(spark, monkeypatch, shortened):
     """Too few visits for the success asked for: fewer projections, and exact answers for queries that still fall short."""
