@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,18 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _folders: dict[str, str] = {}
+_tables: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir (a fresh temporary one only where that is unset)."""
+    """This application's folder below spark.checkpoint.dir. Where that is unset, a local session gets a fresh temporary
+    folder; on a cluster no folder of one machine would do, so there it is an error."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = root or tempfile.mkdtemp(prefix="spark-")
         _folders[app] = f"{root.rstrip('/')}/panelkit-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _folders[app])
     return _folders[app]
@@ -39,7 +45,17 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that cut() gave and that no later job will read."""
+    for table in tables:
+        made, path = _tables.pop(id(table), (None, ""))
+        if made is not None and made() is table:
+            _remove(table.sparkSession, path)
 
 
 def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
@@ -65,18 +81,31 @@ def salted_left_join(big: DataFrame, small: DataFrame, keys: list[str], spread:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links of long ids -> (node, root): root is the smallest id that can be reached.
 
-    Minimum labels move along the links and each round then follows the label of the label, so rounds grow with the
-    logarithm of a component's diameter. Links and labels stay distributed; only a count of changes reaches the driver.
-    Every step is a join or a grouped minimum that is combined before its shuffle, so a hub does not fill one task.
+    Every node points at the smallest of itself and its neighbours; the pointers are followed to their ends, which are
+    smaller than all around them; then both ends of every link are replaced by these, loops dropped and equal links
+    merged. At most half of the nodes are left for the next round, and links only get fewer. Nodes, links and pointers
+    stay distributed; only whether any are left reaches the driver. Every join's other side has one row a node, so a
+    hub's links can be split over tasks.
     """
-    e = edges.where("a <> b").select("a", "b")
-    both = cut(e.union(e.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        moved = labels.join(near, "node").select("node", F.least("root", "near").alias("to"), F.col("root").alias("was"))
-        jump = labels.select(F.col("node").alias("to"), F.col("root").alias("far"))
-        after = cut(moved.join(jump, "to", "left").select("node", F.least("to", "far").alias("root"), F.col("was")))
-        if after.where("root <> was").isEmpty():
-            return after.select("node", "root")
-        labels = after.select("node", "root")
+    links = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rounds = []
+    while not rounds or not links.isEmpty():
+        both = links.union(links.select("b", "a"))
+        ends = cut(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("root")))
+        moving = True
+        while moving:
+            further = ends.select(F.col("node").alias("root"), F.col("root").alias("far"))
+            after = cut(ends.join(further, "root").select("node", F.col("far").alias("root"), (F.col("root") > F.col("far")).alias("moved")))
+            moving = not after.where("moved").isEmpty()
+            discard(ends)
+            ends = after
+        rounds.append(ends)
+        at = lambda end: ends.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        moved = links.join(at("a"), "a").join(at("b"), "b").where("a_root <> b_root")
+        fewer = cut(moved.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct())
+        discard(links)
+        links = fewer
+    found = rounds[0].select("node", "root")
+    for later in rounds[1:]:
+        found = found.join(later.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+    return found
