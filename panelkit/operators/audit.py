@@ -10,6 +10,7 @@ from ..functions.numbers import to_number
 from . import series
 
 PRICES = ("min_price", "max_price", "modal_price")
+#: Flags by severity.
 CRITICAL = ("F1_unreadable", "F2_empty_file", "F3_header_only", "F4_year_mismatch", "C1_missing_cols", "D1_date_unparseable", "D2_invalid_dates", "D3_dates_out_of_range", "D5_duplicate_dates", "P1_non_numeric_prices", "P2_negative_prices", "P5_price_inversion", "P6_modal_out_of_range")
 WARNING = ("C2_nonstandard_names", "C3_extra_cols", "D4_mixed_date_formats", "P3_zero_prices", "P4_price_outliers", "K1_suspicious_jumps")
 
@@ -59,11 +60,10 @@ def audit(rows: DataFrame, first: int = 2006, last: int = 2025, key: tuple[str,
         F.count_if(low > high).alias("n_price_inversions"),
         F.count_if(series.any_of(F.coalesce(modal < low, F.lit(False)), F.coalesce(modal > high, F.lit(False)))).alias("n_modal_violations"),
     )
-    outliers = [outlier_bounds(r.select(*key, F.col(f"_{p}").alias("v")), key, "v").withColumnRenamed("n_outliers", f"_o{i}") for i, p in enumerate(PRICES)]
-    for o in outliers:
-        checks = checks.join(o, key)
-    jumped = jumps(r.select(*key, "market_id", "_date", "_modal_price"), [*key, "market_id"], ["_date"], "_modal_price").groupBy(*key).agg(F.sum("n_jumps").alias("n_suspicious_jumps"))
-    checks = checks.join(jumped, key, "left").withColumns({"n_suspicious_jumps": F.coalesce("n_suspicious_jumps", F.lit(0)), "n_price_outliers": F.col("_o0") + F.col("_o1") + F.col("_o2")}).drop("_o0", "_o1", "_o2")
+    priced = r.select(*key, F.explode(F.array(*[F.struct(F.lit(p).alias("kind"), F.col(f"_{p}").alias("v")) for p in PRICES])).alias("x")).select(*key, "x.*")
+    checks = checks.join(outlier_bounds(priced, [*key, "kind"], "v").groupBy(*key).agg(F.sum("n_outliers").alias("n_price_outliers")), key)
+    jumped = jumps(r.select(*key, "market_id", "_date", "_modal_price"), [*key, "market_id"], ["_date", "_modal_price"], "_modal_price").groupBy(*key).agg(F.sum("n_jumps").alias("n_suspicious_jumps"))
+    checks = checks.join(jumped, key, "left").withColumns({"n_suspicious_jumps": F.coalesce("n_suspicious_jumps", F.lit(0))})
     flags = {
         "D3_dates_out_of_range": F.col("n_out_of_range_dates") > 0,
         "D4_mixed_date_formats": F.contains("date_formats_detected", F.lit("|")),
@@ -73,10 +73,81 @@ def audit(rows: DataFrame, first: int = 2006, last: int = 2025, key: tuple[str,
         "P6_modal_out_of_range": F.col("n_modal_violations") > 0,
         "K1_suspicious_jumps": F.col("n_suspicious_jumps") > 0,
     }
-    out = checks.withColumns(flags)
-    have = set(out.columns)
-    total = lambda names: sum((F.col(n).cast("int") for n in names if n in have), F.lit(0))
-    return out.withColumns({"critical_issues": total(CRITICAL), "warning_issues": total(WARNING)}).withColumn("total_issues", F.col("critical_issues") + F.col("warning_issues"))
+    return with_totals(checks.withColumns(flags))
+
+
+def with_totals(audited: DataFrame) -> DataFrame:
+    """audited with critical_issues, warning_issues and total_issues of the flags that it has."""
+    have = set(audited.columns)
+    total = lambda names: sum((F.coalesce(F.col(n), F.lit(False)).cast("int") for n in names if n in have), F.lit(0))
+    return audited.withColumns({"critical_issues": total(CRITICAL), "warning_issues": total(WARNING)}).withColumn("total_issues", F.col("critical_issues") + F.col("warning_issues"))
+
+
+def complete(audited: DataFrame, files: DataFrame, heads: DataFrame) -> DataFrame:
+    """One row for every listed file (district, filename, size): the audit of its rows, what its header shows, and, if it
+    gave no rows, why; issue totals over all flags.
+
+    heads: district, filename, columns (array of names; null if the file cannot be read). A file without rows is unreadable
+    (F1), empty (F2) or has a header only (F3).
+    """
+    key = ["district", "filename"]
+    shown = heads.select(*key, "columns", F.lit(True).alias("_listed")).join(header_table(heads.select("columns").distinct()), "columns", "left")
+    out = files.select(*key, "size").join(shown, key, "left").join(audited.drop("critical_issues", "warning_issues", "total_issues"), key, "left")
+    silent = F.coalesce("n_rows", F.lit(0)) == 0
+    unread = silent & F.col("columns").isNull() & (F.col("size") > 0)
+    out = out.withColumns({"F1_unreadable": unread, "F2_empty_file": F.col("size") == 0, "F3_header_only": silent & (F.col("size") > 0) & ~unread})
+    return with_totals(out.drop("_listed", "columns"))
+
+
+def header_table(headers: DataFrame) -> DataFrame:
+    """columns -> C1 to C3 of each different header: as many rows as there are layouts of files."""
+    spark = headers.sparkSession
+    fields = "C1_missing_cols boolean, missing_cols string, C2_nonstandard_names boolean, nonstandard_cols string, C3_extra_cols boolean, extra_cols string"
+    found = [(list(r["columns"]), *header_flags(list(r["columns"])).values()) for r in headers.where("columns is not null").distinct().collect()]
+    return spark.createDataFrame(found, f"columns array<string>, {fields}")
+
+
+def column_variants(heads: DataFrame) -> DataFrame:
+    """column_as_found, maps_to_canonical (UNKNOWN if none), file_count over all files' headers (column `columns`)."""
+    from ..resolve import canonical_names
+
+    counted = heads.select(F.explode("columns").alias("column_as_found")).groupBy("column_as_found").agg(F.count("*").alias("file_count"))
+    canonical = {c: next(iter(canonical_names([c])), "UNKNOWN") for c in (r[0] for r in counted.select("column_as_found").collect())}  # one a spelling
+    names = heads.sparkSession.createDataFrame(list(canonical.items()), "column_as_found string, maps_to_canonical string")
+    return counted.join(names, "column_as_found").select("column_as_found", "maps_to_canonical", "file_count")
+
+
+def worst_files(audited: DataFrame, k: int = 20) -> DataFrame:
+    """The k files with most critical, then warning issues (ties by name), of those that have any."""
+    some = audited.where((F.col("critical_issues") > 0) | (F.col("warning_issues") > 0))
+    return some.orderBy(F.desc("critical_issues"), F.desc("warning_issues"), "district", "filename").limit(k).select("district", "filename", "total_issues")
+
+
+def worst_entities(audited: DataFrame, k: int = 15) -> DataFrame:
+    """The k districts with most issues in all (ties by name)."""
+    return audited.groupBy("district").agg(F.sum("total_issues").alias("total_issues")).orderBy(F.desc("total_issues"), "district").limit(k)
+
+
+def report(audited: DataFrame) -> str:
+    """The audit as text: files by flag, the worst files and districts (as many lines as these lists have)."""
+    flags = sorted(summary(audited).collect(), key=lambda r: r["flag"])
+    lines = [f"Files audited: {audited.count()}", "", "Files by flag", *[f"  {r['flag']:30s} {r['files']:6d}" for r in flags], "", "Worst files"]
+    lines += [f"  {r['district']:30s} {r['filename']:12s} {r['total_issues']} issue(s)" for r in worst_files(audited).collect()]
+    return "\n".join([*lines, "", "Districts with most issues", *[f"  {r['district']:35s} {r['total_issues']:4d}" for r in worst_entities(audited).collect()]])
+
+
+def sampled_formats(rows: DataFrame, keys: list[str], order: str, k: int = 200) -> DataFrame:
+    """keys, formats: the date formats among the first k given dates (by `order`) of each group, joined by |."""
+    given = rows.where(F.trim(F.coalesce("date", F.lit(""))) != "")
+    first = given.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("_n") <= k)
+    return first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(date_format(F.col("date")))), "|").alias("formats"))
+
+
+def mismatched_names(rows: DataFrame, name: str = "district_name") -> DataFrame:
+    """district, names: what files call their district (trimmed) where that is not the district's name, whatever the case."""
+    said = F.trim(name)
+    other = rows.where(said.isNotNull() & (F.lower(said) != F.lower("district")))
+    return other.groupBy("district").agg(F.array_join(F.array_sort(F.collect_set(said)), "|").alias("names"))
 
 
 def header_flags(columns: list[str]) -> dict[str, object]:

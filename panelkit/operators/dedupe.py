@@ -16,6 +16,13 @@ def repeats(keys: list[str], order: list[str]) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) > 1
 
 
+def without_zero_prices(rows: DataFrame, low: str, high: str, strict: bool = False) -> DataFrame:
+    """Rows but those whose lowest or highest price is 0; prices that are missing stay, unless strict."""
+    if strict:
+        return rows.where((F.col(low) != 0) & (F.col(high) != 0))  # null compares as unknown, so it goes
+    return rows.where(F.coalesce(F.col(low) != 0, F.lit(True)) & F.coalesce(F.col(high) != 0, F.lit(True)))
+
+
 def _present(columns: list[str]) -> Column:
     return sum((F.col(c).isNotNull().cast("int") for c in columns[1:]), F.col(columns[0]).isNotNull().cast("int"))
 

@@ -12,6 +12,14 @@ def grid(anchors: DataFrame, lat0: float, lon0: float, rows: int, columns: int,
     return cells.withColumns({"lat": lat0 + step * F.col("lat_idx"), "lon": lon0 + step * F.col("lon_idx")})
 
 
+def in_box(places: DataFrame, lon: tuple[float, float], lat: tuple[float, float], name: str, homonyms: tuple[tuple[str, Column], ...] = ()) -> DataFrame:
+    """Places strictly inside a box of columns lon and lat, but for homonyms: (name, condition) of places meant to be elsewhere."""
+    kept = (F.col("lon") > lon[0]) & (F.col("lon") < lon[1]) & (F.col("lat") > lat[0]) & (F.col("lat") < lat[1])
+    for other, where in homonyms:
+        kept &= ~((F.col(name) == other) & where)
+    return places.where(kept)
+
+
 def inside(lon: Column, lat: Column, ring: Column) -> Column:
     """Whether a point is in a ring (array of struct<lon, lat>, closed or not): crossings of a ray to the east are odd."""
     n = F.size(ring)

@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions.stats import ratio
 
 
@@ -111,6 +112,49 @@ def principal(df: DataFrame, features: list[str], share: float = 0.90) -> tuple[
     return out.withColumn("pc", F.zip_with("pc", signs, lambda a, b: a * b)), pc * sign, explained[:m]
 
 
+def loadings_table(spark: SparkSession, features: list[str], loadings: np.ndarray) -> DataFrame:
+    """feature, component (PC1, ...), loading: what principal() gives, as a table that can be written and read again."""
+    rows = [(c, f"PC{j + 1}", float(loadings[i, j])) for i, c in enumerate(features) for j in range(loadings.shape[1])]
+    return spark.createDataFrame(rows, "feature string, component string, loading double")
+
+
+def strongest_loadings(table: DataFrame, k: int = 5) -> DataFrame:
+    """The k features of each component with the largest |loading| (ties by name), with rank."""
+    w = Window.partitionBy("component").orderBy(F.desc(F.abs("loading")), "feature")
+    return table.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def scaler_table(df: DataFrame, features: list[str]) -> DataFrame:
+    """feature, mean, deviation (population's): what standardise() uses, as a table that can be written and read again."""
+    both = df.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("deviation")).alias(c) for c in features])
+    return both.unpivot([], features, "feature", "x").select("feature", "x.mean", "x.deviation")
+
+
+def project(df: DataFrame, scaler: DataFrame, loadings: DataFrame) -> DataFrame:
+    """df with array `pc` by a stored scaler and stored loadings: new rows in the components of an earlier fit.
+
+    Both tables have one row a feature (and component), whatever the rows of df, so they are read into the plan.
+    """
+    scale = {r["feature"]: (r["mean"], r["deviation"] or 1.0) for r in scaler.collect()}
+    by: dict[str, list[Column]] = {}
+    for r in loadings.collect():
+        mean, deviation = scale[r["feature"]]
+        by.setdefault(r["component"], []).append((F.col(r["feature"]) - F.lit(mean)) / F.lit(deviation) * F.lit(r["loading"]))
+    names = sorted(by, key=lambda c: int(c[2:]))
+    return df.withColumn("pc", F.array(*[reduce(lambda a, b: a + b, by[c]) for c in names]))
+
+
+def small_clusters(assigned: DataFrame, least: int = 3, cluster: str = "cluster") -> DataFrame:
+    """cluster, n of the clusters with fewer than `least` members: a profile of so few means little."""
+    return assigned.groupBy(cluster).agg(F.count("*").alias("n")).where(F.col("n") < least)
+
+
+def on_map(places: DataFrame, assigned: DataFrame, place: str, entity: str, renamed: dict[str, str]) -> DataFrame:
+    """places (a map's shapes) inner-joined with the clusters of entities, whose names on the map may differ."""
+    name = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair]), F.col(entity)), F.col(entity)) if renamed else F.col(entity)
+    return places.join(assigned.withColumn(place, name), place)
+
+
 def ward_tree(x: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
     """Merges (left, right, height, size) of Ward's method on Euclidean distances (Lance-Williams updates).
 
@@ -155,11 +199,6 @@ def dendrogram_k(tree: np.ndarray, last: int = 10) -> int:
     return int(np.clip(bend.argmax() + 2, 2, 10)) if len(bend) else 2
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def _pairs_of_blocks(df: DataFrame, spread: Column, n: int, block: int) -> DataFrame:
     """df's rows, n in all, dealt into blocks by hash and repeated for each unordered pair (_i, _j) of blocks; _b is the row's."""
     p = max(1, math.ceil(n / block))
@@ -203,11 +242,11 @@ def _blocked_ward(rows: DataFrame, n: int, local: int, block: int) -> np.ndarray
     Ward's method is reducible: clusters that are each other's nearest merge in every order. So each round merges all such
     pairs; the last `local` clusters are merged by the driver.
     """
-    state = _cut(rows.select("c", F.lit(1.0).alias("size"), "v"))
+    state = cut(rows.select("c", F.lit(1.0).alias("size"), "v"))
     merges = [np.empty((0, 3))]
     while n > local:
         near = _pairs_of_blocks(state, F.col("c"), n, block).groupBy("_i", "_j").applyInArrow(_nearest, "c bigint, cost double, other bigint")
-        best = _cut(near.groupBy("c").agg(F.min(F.struct("cost", "other")).alias("m")).select("c", "m.cost", "m.other"))
+        best = cut(near.groupBy("c").agg(F.min(F.struct("cost", "other")).alias("m")).select("c", "m.cost", "m.other"))
         mutual = best.join(best.select(F.col("c").alias("other"), F.col("other").alias("c")), ["c", "other"]).where("c < other")
         some = mutual.toPandas()
         merges.append(some[["c", "other", "cost"]].to_numpy(dtype=float))
@@ -216,7 +255,7 @@ def _blocked_ward(rows: DataFrame, n: int, local: int, block: int) -> np.ndarray
         both = into.groupBy(F.coalesce("a", "c").alias("c")).agg(F.sum("size").alias("size"), F.array_sort(F.collect_list(F.struct("c", "size", "v"))).alias("x"))  # one or two
         one, two = F.get("x", F.lit(0)), F.get("x", F.lit(1))
         mean = F.zip_with(one["v"], two["v"], lambda p, q: (one["size"] * p + two["size"] * q) / (one["size"] + two["size"]))
-        state = _cut(both.select("c", "size", F.when(F.size("x") > 1, mean).otherwise(one["v"]).alias("v")))
+        state = cut(both.select("c", "size", F.when(F.size("x") > 1, mean).otherwise(one["v"]).alias("v")))
     rest = state.orderBy("c").collect()  # `local` rows at most
     tree = ward_tree(np.array([r["v"] for r in rest], dtype=float), np.array([r["size"] for r in rest]))
     name = [r["c"] for r in rest]
@@ -260,7 +299,7 @@ def ward(df: DataFrame, key: str, vector: str, ks: list[int], most_rows: int | N
     if n <= local:
         return df.select(key, vector, F.lit(0).alias("_one")).groupBy("_one").applyInPandas(fit, f"`{key}` {dict(df.dtypes)[key]}, k int, cluster int")
     # numbers rise with the key: a global sort's partitions are in order
-    rows = _cut(df.select(F.col(key).alias("_k"), F.col(vector).alias("v")).orderBy("_k").select("_k", "v", F.monotonically_increasing_id().alias("c")))
+    rows = cut(df.select(F.col(key).alias("_k"), F.col(vector).alias("v")).orderBy("_k").select("_k", "v", F.monotonically_increasing_id().alias("c")))
     c = np.sort(rows.select("c").toPandas()["c"].to_numpy())
     merges = _blocked_ward(rows, n, local, block)
     merges[:, :2] = np.searchsorted(c, merges[:, :2])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,19 @@ def _hdd(base: int) -> Column:
     return F.coalesce(F.sum(F.greatest(F.lit(0.0), base - F.col("tmean"))), F.lit(0.0)).alias(f"HDD_{base}")
 
 
+def daily_weather(tmax: DataFrame, tmin: DataFrame, rain: DataFrame, entity: str) -> DataFrame:
+    """entity, date, year, month, day, tmax, tmin, tmean, rainfall of the days that all three series have.
+
+    The series (entity, date, value; one row a day) are stacked and grouped once instead of joined twice. Negative rain
+    is an artefact of interpolation and counts as none.
+    """
+    kinds = {"tmax": tmax, "tmin": tmin, "rainfall": rain}
+    stacked = reduce(DataFrame.unionByName, [df.select(entity, "date", F.lit(k).alias("kind"), F.lit(1 << i).alias("bit"), "value") for i, (k, df) in enumerate(kinds.items())])
+    days = stacked.groupBy(entity, "date").agg(F.bit_or("bit").alias("_kinds"), *[F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k) for k in kinds])
+    mean, rainfall = (F.col("tmax") + F.col("tmin")) / 2, F.when(F.col("rainfall") < 0, 0.0).otherwise(F.col("rainfall"))
+    return days.where(F.col("_kinds") == 7).select(entity, "date", F.year("date").alias("year"), F.month("date").alias("month"), F.day("date").alias("day"), "tmax", "tmin", mean.alias("tmean"), rainfall.alias("rainfall"))
+
+
 def monthly_weather(daily: DataFrame, entity: str) -> DataFrame:
     """Means of the temperatures, rain, rainy days and degree days of each month: one grouping."""
     return daily.groupBy(entity, "year", "month").agg(

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import dates, numbers, stats
 from .functions.rates import INFLATION
-from .operators import audit, breaks, dedupe, gaps, geo, lookup, series, spi
+from .operators import audit, breaks, dedupe, gaps, geo, lookup, series, spi, validate
 from .plans import apy, cluster, price, weather
+from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -384,11 +385,90 @@ def audit_file_flags(spark, sf):
     return rounded(found.select("district", "filename", "n_rows", "F4_year_mismatch", "D1_date_unparseable", "D2_invalid_dates", "n_invalid_dates", "n_out_of_range_dates", "n_duplicate_dates", "P1_non_numeric_prices", "P2_negative_prices", "P3_zero_prices", "n_price_inversions", "n_modal_violations", "D4_mixed_date_formats"))
 
 
-@query()
+FLAGS = ("F4_year_mismatch", "D1_date_unparseable", "D2_invalid_dates", "D3_dates_out_of_range", "D5_duplicate_dates", "P1_non_numeric_prices", "P2_negative_prices", "P5_price_inversion", "P6_modal_out_of_range", "D4_mixed_date_formats", "P3_zero_prices", "P4_price_outliers", "K1_suspicious_jumps")
+AUDITED = f"""{FILES}, v AS (SELECT district, filename, 1 AS kind, lo AS v FROM z UNION ALL SELECT district, filename, 2, hi FROM z UNION ALL SELECT district, filename, 3, mo FROM z),
+q AS (SELECT district, filename, kind, count(v) AS n, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM v GROUP BY ALL),
+o AS (SELECT district, filename, count(*) FILTER (n >= 4 AND (v < a - 3 * (b - a) OR v > b + 3 * (b - a))) AS n_out FROM v JOIN q USING (district, filename, kind) GROUP BY ALL),
+d AS (SELECT district, filename, market_id, pd, mo, abs(mo - lag(mo) OVER w) AS d, count(*) OVER (PARTITION BY district, filename, market_id) AS n FROM z WINDOW w AS (PARTITION BY district, filename, market_id ORDER BY pd NULLS FIRST, mo)),
+m AS (SELECT *, CASE WHEN count(d) OVER w >= 3 THEN quantile_cont(d, 0.5) OVER w END AS m FROM d WINDOW w AS (PARTITION BY district, filename, market_id ORDER BY pd NULLS FIRST, mo ROWS 6 PRECEDING)),
+k AS (SELECT district, filename, count(*) FILTER (n >= 5 AND m > 0 AND d > 3 * m) AS n_jumps FROM m GROUP BY ALL),
+a AS (SELECT district, filename, count(pd) > 0 AND NOT coalesce(bool_or(year(pd) = fy), false) AS "F4_year_mismatch", count(pd) = 0 AS "D1_date_unparseable", count(pd) > 0 AND count(pd) < count(*) AS "D2_invalid_dates",
+ count(*) FILTER (year(pd) NOT BETWEEN 1995 AND 2000) > 0 AS "D3_dates_out_of_range", count(*) FILTER (twice) > 0 AS "D5_duplicate_dates", bool_or(k % 97 = 0) AS "P1_non_numeric_prices", coalesce(bool_or(lo < 0), false) AS "P2_negative_prices",
+ count(*) FILTER (lo > hi) > 0 AS "P5_price_inversion", count(*) FILTER (mo < lo OR mo > hi) > 0 AS "P6_modal_out_of_range", bool_or(k % 7 = 0 AND k % 101 <> 0) AND bool_or(k % 7 <> 0 AND k % 101 <> 0) AS "D4_mixed_date_formats", bool_or(hi = 0) AS "P3_zero_prices" FROM z GROUP BY ALL),
+f AS (SELECT a.*, n_out > 0 AS "P4_price_outliers", n_jumps > 0 AS "K1_suspicious_jumps" FROM a JOIN o USING (district, filename) JOIN k USING (district, filename)),
+t AS (SELECT *, {" + ".join(f'"{c}"::INT' for c in FLAGS[:9])} AS critical, {" + ".join(f'"{c}"::INT' for c in FLAGS[9:])} AS warning FROM f)"""
+
+
+@query(f"""WITH {AUDITED} {" UNION ALL ".join(f"SELECT '{c}' AS flag, count(*) FILTER ({chr(34)}{c}{chr(34)}) AS files FROM f" for c in FLAGS)}""")
 def audit_summary(spark, sf):
     return audit.summary(audit.audit(price_files(spark, sf), 1995, 2000))
 
 
+@query(f"WITH {AUDITED} SELECT district, filename, (critical + warning)::BIGINT AS total_issues FROM t WHERE critical + warning > 0 ORDER BY critical DESC, warning DESC, district, filename LIMIT 20")
+def audit_worst_files(spark, sf):
+    return rounded(audit.worst_files(audit.audit(price_files(spark, sf), 1995, 2000)))
+
+
+@query(f"WITH {AUDITED} SELECT district, sum(critical + warning)::BIGINT AS total_issues FROM t GROUP BY district ORDER BY total_issues DESC, district LIMIT 15")
+def audit_worst_entities(spark, sf):
+    return audit.worst_entities(audit.audit(price_files(spark, sf), 1995, 2000))
+
+
+@query("""WITH d AS (SELECT o_custkey % 50 AS k, o_orderkey AS i, CASE WHEN o_orderkey % 97 = 0 THEN ' ' WHEN o_orderkey % 31 = 0 THEN 'soon' WHEN o_custkey % 50 < 25 AND o_orderkey % 5 = 0 THEN 'dd/MM/yyyy' WHEN o_orderkey % 11 = 0 THEN 'yyyy/MM/dd' ELSE 'yyyy-MM-dd' END AS f FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i) AS n FROM d WHERE trim(f) <> '')
+SELECT k, coalesce(string_agg(DISTINCT f, '|' ORDER BY f) FILTER (f <> 'soon'), '') AS formats FROM n WHERE n <= 200 GROUP BY k""")
+def date_format_sample(spark, sf):
+    k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    shape = lambda p: F.date_format(d, p)
+    date = F.when(k % 97 == 0, " ").when(k % 31 == 0, "soon").when((F.col("o_custkey") % 50 < 25) & (k % 5 == 0), shape("dd/MM/yyyy")).when(k % 11 == 0, shape("yyyy/MM/dd")).otherwise(shape("yyyy-MM-dd"))
+    return audit.sampled_formats(table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("k"), k.alias("i"), date.alias("date")), ["k"], "i")
+
+
+@query("""WITH d AS (SELECT c_mktsegment AS district, trim(CASE WHEN c_custkey % 10 = 0 THEN ' other ' || c_custkey % 3 WHEN c_custkey % 10 = 1 THEN lower(c_mktsegment) WHEN c_custkey % 10 > 2 THEN c_mktsegment END) AS name FROM customer)
+SELECT district, string_agg(DISTINCT name, '|' ORDER BY name) AS names FROM d WHERE lower(name) <> lower(district) GROUP BY district""")
+def mismatched_names(spark, sf):
+    k = F.col("c_custkey") % 10
+    name = F.when(k == 0, F.concat(F.lit(" other "), (F.col("c_custkey") % 3).cast("string"))).when(k == 1, F.lower("c_mktsegment")).when(k > 2, F.col("c_mktsegment"))
+    return audit.mismatched_names(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("district"), name.alias("district_name")))
+
+
+@query("""WITH v AS (SELECT l_suppkey AS k, CASE WHEN l_orderkey % 7 > 0 THEN l_discount END AS lo, CASE WHEN l_orderkey % 5 > 0 THEN l_tax END AS hi FROM lineitem)
+SELECT k, 'lenient' AS kind, count(*) AS n FROM v WHERE coalesce(lo <> 0, true) AND coalesce(hi <> 0, true) GROUP BY k UNION ALL SELECT k, 'strict', count(*) FROM v WHERE lo <> 0 AND hi <> 0 GROUP BY k""")
+def zero_price_filters(spark, sf):
+    v = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.when(F.col("l_orderkey") % 7 > 0, F.col("l_discount")).alias("lo"), F.when(F.col("l_orderkey") % 5 > 0, F.col("l_tax")).alias("hi"))
+    parts = [dedupe.without_zero_prices(v, "lo", "hi", strict).withColumn("kind", F.lit("strict" if strict else "lenient")) for strict in (False, True)]
+    return parts[0].unionByName(parts[1]).groupBy("k", "kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {MONTHLY}, s AS (SELECT entity, year, month, CASE WHEN month <> 7 THEN mean_modal_price - 150000 END AS a, mean_min_price AS b, mean_max_price AS c, reporting_days - 2 AS r, month % 2 AS i FROM monthly WHERE entity % 4 > 0 OR month <> 3),
+p AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE month = 5 AND entity % 3 = 0)
+SELECT 'incomplete_years' AS "check", count(*) AS n FROM (SELECT 1 FROM p GROUP BY entity, year HAVING count(DISTINCT month) <> 12)
+UNION ALL SELECT 'repeated_months', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM p GROUP BY entity, year, month)
+UNION ALL SELECT 'missing_prices', count(*) FILTER (a IS NULL) + count(*) FILTER (b IS NULL) + count(*) FILTER (c IS NULL) FROM p
+UNION ALL SELECT 'negative_prices', count(*) FILTER (a < 0) + count(*) FILTER (b < 0) + count(*) FILTER (c < 0) FROM p
+UNION ALL SELECT 'negative_reports', count(*) FILTER (r < 0) FROM p UNION ALL SELECT 'unmarked_imputations', count(*) FILTER (r = 0 AND i IS DISTINCT FROM 1) FROM p""")
+def panel_checks(spark, sf):
+    m = price.monthly_panel(daily(spark, sf), "entity").where((F.col("entity") % 4 > 0) | (F.col("month") != 3))
+    s = m.select("entity", "year", "month", F.when(F.col("month") != 7, F.col("mean_modal_price") - 150000).alias("a"), F.col("mean_min_price").alias("b"), F.col("mean_max_price").alias("c"), (F.col("reporting_days") - 2).alias("reporting_days"), (F.col("month") % 2).alias("is_imputed"))
+    return validate.panel_checks(s.unionByName(s.where((F.col("month") == 5) & (F.col("entity") % 3 == 0))), "entity", ("a", "b", "c"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS entity, year(o_orderdate) * 12 + month(o_orderdate) AS t, lag(year(o_orderdate) * 12 + month(o_orderdate)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders)
+SELECT entity, count(*) FILTER (t < b) AS n FROM o GROUP BY entity""")
+def months_out_of_order(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("entity"), "o_orderkey", "o_orderdate")
+    return validate.out_of_order(o, "entity", "o_orderkey", F.year("o_orderdate") * 12 + F.month("o_orderdate"))
+
+
+@query("""WITH p AS (SELECT DISTINCT c_nationkey AS entity, year(o_orderdate)::BIGINT AS year, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+SELECT entity::BIGINT AS entity, year FROM p WHERE entity % 5 = 0 OR year % 3 = 0""")
+def writable_targets(spark, sf):
+    o = daily(spark, sf).select("entity", F.year("date").alias("year"))
+    planned = o.distinct()
+    files = planned.where(F.col("year") % 3 != 0)
+    return rounded(tables.writable(planned, files, o.where(F.col("entity") % 5 != 0), ["entity", "year"]))
+
+
 @query("""WITH v AS (SELECT l_suppkey % 50 AS k, l_extendedprice * CASE WHEN l_partkey % 200 = 0 THEN 10 ELSE 1 END AS v FROM lineitem), q AS (SELECT k, count(*) AS n, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM v GROUP BY k)
 SELECT k, count(*) FILTER (n >= 4 AND (v < a - 3 * (b - a) OR v > b + 3 * (b - a))) AS n_outliers FROM v JOIN q USING (k) GROUP BY k""")
 def iqr_outliers(spark, sf):
@@ -489,6 +569,72 @@ def weather_features(spark, sf):
     return weather.weather_features(d, spi.spi(weather.monthly_weather(d, "entity"), "entity", "monthly_rainfall"), "entity")
 
 
+def _weather_sql() -> str:
+    """All features but those of the SPI, by plain groupings of days, months and years."""
+    cv = lambda x: f"stddev_samp({x}) / nullif(avg({x}), 0)"
+    positive = lambda x: f"CASE WHEN avg({x}) > 0 THEN {cv(x)} END"
+    slope = lambda x: f"CASE WHEN count({x}) >= 3 THEN regr_slope({x}, i) END"
+    growth = lambda x: f"CASE WHEN arg_min({x}, year) > 0 AND arg_max({x}, year) > 0 AND count(*) > 1 THEN pow(arg_max({x}, year) / arg_min({x}, year), 1.0::DOUBLE / (count(*) - 1)) - 1 END"
+    months = lambda name: "month IN (" + ", ".join(map(str, getattr(weather, name))) + ")"
+    within = lambda name, x: f"CASE WHEN {months(name)} THEN {x} END"
+    temps = ("tmax", "tmin", "tmean")
+    by_year = {
+        **{f"temperature_{n}_{c}": f"{f}(avg_{c})" for n, f in (("mean", "avg"), ("median", "median"), ("std", "stddev_samp")) for c in temps},
+        **{f"temperature_cv_{c}": cv(f"avg_{c}") for c in temps},
+        "temperature_max_tmax": "max(max_tmax)", "temperature_min_tmin": "min(min_tmin)", "temperature_max_tmean": "max(avg_tmean)", "temperature_min_tmean": "min(avg_tmean)",
+        "temperature_trend": slope("avg_tmean"), "temperature_cagr": growth("avg_tmean"),
+        "rainfall_mean_annual": "avg(rain)", "rainfall_median_annual": "median(rain)", "rainfall_std_annual": "stddev_samp(rain)", "rainfall_cv_annual": positive("rain"), "rainfall_max_annual": "max(rain)",
+        "rainfall_avg_rainy_days": "avg(rainy)", "rainfall_trend": slope("rain"), "rainfall_cagr": growth("rain"), "rainfall_anomaly_index": "0.0::DOUBLE",
+        "climate_temp_variance": "var_samp(avg_tmean)", "climate_rain_variance": "var_samp(rain)", "climate_hdd_variance": "var_samp(HDD_18)",
+        "climate_warmest_year": "(list(year ORDER BY avg_tmean DESC, year))[1]::BIGINT", "climate_coldest_year": "(list(year ORDER BY avg_tmean, year))[1]::BIGINT",
+        "climate_wettest_year": "(list(year ORDER BY rain DESC, year))[1]::BIGINT", "climate_driest_year": "(list(year ORDER BY rain, year))[1]::BIGINT",
+        "climate_temp_stability": f"1 / (1 + {cv('avg_tmean')})", "climate_rain_stability": f"1 / (1 + ({positive('rain')}))", "climate_hdd_stability": f"1 / (1 + ({positive('HDD_18')}))",
+    }
+    by_month = {
+        "temperature_avg_diurnal_range": "avg(avg_tmax - avg_tmin)",
+        **{f"temperature_mean_{n.lower()}": f"avg({within(n, 'avg_tmean')})" for n in ("WINTER", "SUMMER")},
+        **{f"temperature_cv_{n.lower()}": cv(within(n, "avg_tmean")) for n in ("WINTER", "SUMMER")},
+        "temperature_summer_winter_diff": f"avg({within('SUMMER', 'avg_tmean')}) - avg({within('WINTER', 'avg_tmean')})",
+        "rainfall_mean_monthly": "avg(rain)", "rainfall_std_monthly": "stddev_samp(rain)", "rainfall_cv_monthly": positive("rain"), "rainfall_max_monthly": "max(rain)", "rainfall_min_monthly": "min(rain)",
+    }
+    for b in weather.HDD_BASES:
+        x, p = f"HDD_{b}", f"hdd{b}_"
+        by_year |= {
+            p + "mean": f"avg({x})", p + "median": f"median({x})", p + "std": f"stddev_samp({x})", p + "cv": positive(x), p + "max": f"max({x})", p + "min": f"min({x})",
+            p + "nonzero_freq": f"count(*) FILTER ({x} > 0) / count(*)", p + "high_freq": f"count(*) FILTER ({x} > m_{b}) / count(*)", p + "trend": slope(x), p + "variability_index": positive(x),
+            p + "persistence": f"max(s_{b})::BIGINT", p + "anomaly": "0.0::DOUBLE",
+        }
+        by_month |= {f"{p}{n.lower()}_share": f"CASE WHEN sum({x}) > 0 THEN coalesce(sum({within(n, x)}), 0) / sum({x}) END" for n in ("WINTER", "SUMMER")}
+    by_season = {"rainfall_mean_monsoon": "avg(m)", "rainfall_mean_non_monsoon": "avg(o)", "rainfall_monsoon_cv": positive("m")}
+    by_climate = {"rainfall_peak_month": "(list(month ORDER BY p DESC, month))[1]::BIGINT", "rainfall_concentration_index": "CASE WHEN sum(p) > 0 THEN 12 * sum(p * p) / (sum(p) * sum(p)) END"}
+    by_day = {"rainfall_wet_day_frequency": "count(*) FILTER (rainfall >= 2.5) / count(*)", "rainfall_heavy_rain_frequency": "count(*) FILTER (rainfall >= 64.5) / count(*)", "rainfall_very_heavy_frequency": "count(*) FILTER (rainfall >= 115.6) / count(*)", "rainfall_longest_dry_spell": "max(s)::BIGINT"}
+    # a run's rows differ from their numbers among all rows that hold by a constant
+    run = lambda holds, order, keep: f"CASE WHEN {holds} THEN row_number() OVER (PARTITION BY entity, g{keep}, coalesce({holds}, false) ORDER BY {order}) ELSE 0 END AS s{keep}"
+    island = lambda holds, order, keep: f"row_number() OVER (PARTITION BY entity ORDER BY {order}) - row_number() OVER (PARTITION BY entity, coalesce({holds}, false) ORDER BY {order}) AS g{keep}"
+    hdd = ", ".join(f"sum(greatest(0, {b} - tmean)) AS HDD_{b}" for b in weather.HDD_BASES)
+    listed = lambda d: ", ".join(f"{x} AS {c}" for c, x in d.items())
+    whole = {c: c if x.endswith("::BIGINT") else f"round({c}, 6)" for d in (by_year, by_month, by_season, by_climate, by_day) for c, x in d.items()}
+    whole["rainfall_monsoon_share"] = "round(CASE WHEN rainfall_mean_annual > 0 THEN rainfall_mean_monsoon / rainfall_mean_annual END, 6)"
+    return f"""WITH {USER_DAYS},
+mo AS (SELECT entity, year, month, avg(tmax) AS avg_tmax, avg(tmin) AS avg_tmin, avg(tmean) AS avg_tmean, coalesce(sum(rainfall), 0) AS rain, {hdd} FROM w GROUP BY ALL),
+ye AS (SELECT entity, year, avg(tmax) AS avg_tmax, avg(tmin) AS avg_tmin, avg(tmean) AS avg_tmean, max(tmax) AS max_tmax, min(tmin) AS min_tmin, coalesce(sum(rainfall), 0) AS rain, count(*) FILTER (rainfall >= 2.5) AS rainy, {hdd} FROM w GROUP BY ALL),
+y1 AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY year) - 1 AS i, {", ".join(f"avg(HDD_{b}) OVER (PARTITION BY entity) AS m_{b}" for b in weather.HDD_BASES)} FROM ye),
+y2 AS (SELECT *, {", ".join(island(f"HDD_{b} > m_{b}", "year", f"_{b}") for b in weather.HDD_BASES)} FROM y1),
+y3 AS (SELECT *, {", ".join(run(f"HDD_{b} > m_{b}", "year", f"_{b}") for b in weather.HDD_BASES)} FROM y2),
+d2 AS (SELECT *, {island("rainfall < 2.5", "date", "")} FROM w), d3 AS (SELECT *, {run("rainfall < 2.5", "date", "")} FROM d2),
+sh AS (SELECT entity, year, sum({within("MONSOON", "rain")}) AS m, sum({within("NON_MONSOON", "rain")}) AS o FROM mo GROUP BY ALL),
+cl AS (SELECT entity, month, avg(rain) AS p FROM mo GROUP BY ALL),
+a AS (SELECT entity, {listed(by_year)} FROM y3 GROUP BY entity), b AS (SELECT entity, {listed(by_month)} FROM mo GROUP BY entity), c AS (SELECT entity, {listed(by_season)} FROM sh GROUP BY entity),
+d AS (SELECT entity, {listed(by_climate)} FROM cl GROUP BY entity), e AS (SELECT entity, {listed(by_day)} FROM d3 GROUP BY entity)
+SELECT entity, {listed(whole)} FROM a JOIN b USING (entity) JOIN c USING (entity) JOIN d USING (entity) JOIN e USING (entity)"""
+
+
+@query(_weather_sql())
+def weather_features_without_spi(spark, sf):
+    found = weather_features(spark, sf)
+    return rounded(found.select(*[c for c in found.columns if not c.startswith("spi1_") and c not in ("climate_spi_stability", "climate_variability_score")]))
+
+
 @query()
 def spi_spells(spark, sf):
     return weather.spi_features(user_spi(spark, sf), "entity")
@@ -622,3 +768,39 @@ def nearest_cell(spark, sf):
     p = points(spark, sf)
     cells = geo.grid(spark.range(1), 20.0, 70.0, 9, 9)
     return rounded(geo.nearest_cell(p, cells, 20.0, 70.0, 9, 9).select("c_custkey", "lat_idx", "lon_idx"))
+
+
+# --- days of weather out of three series, clusters on a map --------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT user_id % 50 AS entity, ts::DATE AS date, event_id % 3 AS kind, value FROM events),
+x AS (SELECT entity, date, max(value) AS v FROM e WHERE kind = 0 GROUP BY ALL), n AS (SELECT entity, date, min(value) AS v FROM e WHERE kind = 1 GROUP BY ALL), r AS (SELECT entity, date, sum(value) - 100 AS v FROM e WHERE kind = 2 GROUP BY ALL)
+SELECT entity, date::VARCHAR AS date, year(date) AS year, month(date) AS month, day(date) AS day, round(x.v, 6) AS tmax, round(n.v, 6) AS tmin, round((x.v + n.v) / 2, 6) AS tmean, round(greatest(r.v, 0), 6) AS rainfall FROM x JOIN n USING (entity, date) JOIN r USING (entity, date)""")
+def daily_weather_join(spark, sf):
+    e = table(spark, sf, "events").select((F.col("user_id") % 50).alias("entity"), F.col("ts").cast("date").alias("date"), (F.col("event_id") % 3).alias("kind"), "value")
+    series_of = lambda k, value: e.where(F.col("kind") == k).groupBy("entity", "date").agg(value.alias("value"))
+    days = weather.daily_weather(series_of(0, F.max("value")), series_of(1, F.min("value")), series_of(2, F.sum("value") - 100), "entity")
+    return rounded(days.withColumn("date", F.col("date").cast("string")))
+
+
+@query("""WITH s AS (SELECT 'e' || s_suppkey AS e, s_nationkey + 1 AS cluster, CASE WHEN s_suppkey = 7 THEN 's7' ELSE 'e' || s_suppkey END AS place, 75 + (s_suppkey % 120) / 10.0::DOUBLE AS lon, 23 + (s_suppkey % 90) / 10.0::DOUBLE AS lat FROM supplier WHERE s_suppkey % 11 > 0)
+SELECT place, cluster::BIGINT AS cluster, round(lon, 6) AS lon, round(lat, 6) AS lat FROM s WHERE lon > 76 AND lon < 85.5 AND lat > 23.5 AND lat < 31.5 AND NOT (place = 'e50' AND lat > 27) AND NOT (place = 'e60' AND lon < 77)""")
+def clusters_on_map(spark, sf):
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    entity = F.concat(F.lit("e"), k.cast("string"))
+    places = s.select(F.when(k == 7, "s7").otherwise(entity).alias("place"), (75 + (k % 120) / 10).alias("lon"), (23 + (k % 90) / 10).alias("lat"))
+    joined = cluster.on_map(places, s.where(k % 11 > 0).select(entity.alias("entity"), (F.col("s_nationkey") + 1).alias("cluster")), "place", "entity", {"e7": "s7"})
+    kept = geo.in_box(joined, (76, 85.5), (23.5, 31.5), "place", (("e50", F.col("lat") > 27), ("e60", F.col("lon") < 77)))
+    return rounded(kept.select("place", "cluster", "lon", "lat"))
+
+
+@query("SELECT c_nationkey::BIGINT AS cluster, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) < 60")
+def small_clusters(spark, sf):
+    return rounded(cluster.small_clusters(table(spark, sf, "customer").select(F.col("c_nationkey").alias("cluster")), 60))
+
+
+@query("""WITH e AS (SELECT unnest(embedding) AS x, unnest(range(0, 64)) AS i FROM embeddings), s AS (SELECT 'f' || i AS feature, avg(x::DOUBLE) AS mean, stddev_pop(x::DOUBLE) AS deviation FROM e GROUP BY i)
+SELECT feature, round(mean, 6) AS mean, round(deviation, 6) AS deviation FROM s""")
+def feature_scales(spark, sf):
+    e = table(spark, sf, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(64)])
+    return rounded(cluster.scaler_table(e, [f"f{i}" for i in range(64)]))

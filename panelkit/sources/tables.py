@@ -25,23 +25,43 @@ def listed(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
 
 
 def headers(spark: SparkSession, root: str) -> dict[tuple[str, ...], list[str]]:
-    """Header -> paths of the CSV files under root that have it: a bounded read of each file's first line."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root, wholetext=False).select("value", F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("i"))
-    first = lines.groupBy("path").agg(F.min_by("value", "i").alias("header"))
+    """Header -> paths of the CSV files under root that have it. Only a file's first split is looked at for its first line."""
     out: dict[tuple[str, ...], list[str]] = {}
-    for r in first.collect():  # one row a file
-        out.setdefault(tuple(c.strip().strip('"').lstrip("﻿") for c in r["header"].split(",")), []).append(r["path"])
+    for r in heads(spark, root).collect():  # one row a file
+        out.setdefault(tuple(r["columns"]), []).append(r["path"])
     return out
 
 
+def heads(spark: SparkSession, root: str) -> DataFrame:
+    """path, columns of the CSV files under root that are not empty; the header is read as CSV, quotes and all."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root, wholetext=False)
+    # a split's rows are numbered in order, and the first split of a file holds its first line
+    first = lines.where(F.col("_metadata.file_block_start") == 0).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("i"))
+    header = first.groupBy("path").agg(F.regexp_replace(F.min_by("value", "i"), "^\ufeff", "").alias("header"))
+    fields = F.regexp_extract_all("header", F.lit(r'(?:^|,)(?:[^",]*"(?:[^"]|"")*"[^,]*|[^,]*)'), F.lit(0))
+    name = lambda f: F.replace(F.regexp_replace(F.trim(F.regexp_replace(f, "^,", "")), '^"|"$', ""), F.lit('""'), F.lit('"'))
+    return header.select("path", F.transform(fields, lambda f: F.trim(name(f))).alias("columns"))
+
+
+def encodings(spark: SparkSession, root: str) -> dict[str, str]:
+    """path -> encoding of the CSV files under root: UTF-8 where every byte of the file is, else ISO-8859-1.
+
+    All lines are looked at, since the first byte that is not UTF-8 may come late.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root)
+    checked = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+    return {r["path"]: "UTF-8" if r["utf8"] else "ISO-8859-1" for r in checked.collect()}  # one row a file
+
+
 def read_prices(spark: SparkSession, root: str) -> DataFrame:
     """Text rows of all price files, whatever their headers call the columns; files without a date or modal price are skipped."""
-    parts = []
-    for header, paths in sorted(headers(spark, root).items()):
+    parts, coded = [], encodings(spark, root)
+    layouts = {(h, e): [p for p in paths if coded.get(p, "UTF-8") == e] for h, paths in headers(spark, root).items() for e in ("UTF-8", "ISO-8859-1")}
+    for (header, encoding), paths in sorted(layouts.items()):
         found = {k: find_column(list(header), v) for k, v in CANDIDATES.items()}
-        if found["date"] is None or found["modal_price"] is None:
+        if found["date"] is None or found["modal_price"] is None or not paths:
             continue
-        raw = spark.read.option("header", "true").option("mode", "PERMISSIVE").csv(paths)
+        raw = spark.read.option("header", "true").option("mode", "PERMISSIVE").option("encoding", encoding).csv(paths)
         name, folder = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1), F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
         columns = [(F.col(f"`{found[k]}`") if found[k] else F.lit(None)).cast("string").alias(k) for k in ("market_id", "date", "min_price", "max_price", "modal_price")]
         parts.append(raw.select(F.when(name.rlike(r"^\d{4}\."), folder).otherwise(F.regexp_replace(name, r"\.[^.]*$", "")).alias("district"), name.alias("filename"), *columns))
@@ -96,7 +116,7 @@ def with_crop_year(rows: DataFrame, column: str) -> DataFrame:
 def read_raster(spark: SparkSession, root: str, rows: int, columns: int, missing_from: float = 90.0, plausible: tuple[float, float] = (-30.0, 60.0)) -> DataFrame:
     """year, day, lat_idx, lon_idx, value of float32 rasters (days x rows x columns), one file a year; files of a wrong size are skipped.
 
-    Byte order is the one in which more of the first values are plausible.
+    Byte order is the one in which more of the values are plausible.
     """
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,7 +125,7 @@ def read_raster(spark: SparkSession, root: str, rows: int, columns: int, missing
                 if len(content) != 4 * days * rows * columns:
                     continue
                 ways = [np.frombuffer(content, dtype=t) for t in ("<f4", ">f4")]
-                good = [np.mean((w[:5000] >= plausible[0]) & (w[:5000] <= 100)) for w in ways]
+                good = [np.mean((w >= plausible[0]) & (w <= 100)) for w in ways]
                 x = ways[int(good[1] > good[0])].astype(np.float64).reshape(days, rows, columns)
                 for d in range(days):
                     lat, lon = np.nonzero(x[d] < missing_from)
@@ -153,6 +173,18 @@ def write_new(df: DataFrame, path: str, keys: list[str], existing: DataFrame) ->
     df.join(existing.select(*keys).distinct(), keys, "left_anti").write.mode("append").parquet(path)
 
 
+def writable(planned: DataFrame, files: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Planned units that may be written: without a file, or with one that gives no rows (header only, or unreadable)."""
+    real = files.select(*keys).join(rows.select(*keys).distinct(), keys, "left_semi")
+    return planned.join(real.distinct(), keys, "left_anti")
+
+
+def write_units(df: DataFrame, path: str, keys: list[str], existing: DataFrame) -> None:
+    """Write the units (partitions by keys) of df of which `existing` has no row, replacing what stands there; units with real rows stay."""
+    fresh = df.join(existing.select(*keys).distinct(), keys, "left_anti")
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
 def write_metadata(spark: SparkSession, path: str, **values: object) -> None:
     """A run's counts and parameters as one JSON row."""
     from pyspark.sql import Row

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelkit import resolve
 from panelkit.functions import dates, numbers, stats
 from panelkit.functions.rates import INFLATION
-from panelkit.operators import audit, breaks, dedupe, gaps, geo, lookup, series, spi
+from panelkit.operators import audit, breaks, dedupe, gaps, geo, lookup, series, spi, validate
 from panelkit.plans import apy, cluster, price, weather
 
 
@@ -283,3 +283,59 @@ def test_clustering(spark):
     with pytest.raises(ValueError):
         cluster.merge(v, v.union(v), key="id")
     assert cluster.flag_rows(df, ["a", "f", "e"]).where("flagged").count() == 10
+
+
+def test_panel_checks_and_order(spark):
+    rows = [("a", 2000, m, 1.0, 2, 0) for m in range(1, 13)] + [("a", 2000, 3, -1.0, -2, 0), ("b", 2000, 1, None, 0, 0), ("b", 2000, 2, 1.0, 0, None), ("b", 2000, 3, 1.0, 0, 1)]
+    panel = spark.createDataFrame(rows, "entity string, year int, month int, p double, reporting_days int, is_imputed int")
+    want = {"incomplete_years": 1, "repeated_months": 1, "missing_prices": 1, "negative_prices": 1, "negative_reports": 1, "unmarked_imputations": 2}
+    assert {r.check: r.n for r in validate.panel_checks(panel, "entity", ("p",)).collect()} == want
+    assert all(r.n == 0 for r in validate.panel_checks(panel.where("month > 90"), "entity", ("p",)).collect())
+    placed = spark.createDataFrame([("a", 1, 5), ("a", 2, 4), ("a", 3, 4), ("b", 1, 1)], "entity string, place int, t int")
+    assert {r.entity: r.n for r in validate.out_of_order(placed, "entity", "place", F.col("t")).collect()} == {"a": 1, "b": 0}
+
+
+def test_complete_audit(spark):
+    files = spark.createDataFrame([("a", "2000.csv", 90), ("a", "2001.csv", 0), ("a", "2002.csv", 20), ("b", "2000.csv", 50)], "district string, filename string, size bigint")
+    heads = spark.createDataFrame([("a", "2000.csv", ["date", "Market ID", "Min Price", "Max Price", "Modal Price", "notes"]), ("a", "2002.csv", ["Price Date"])], "district string, filename string, columns array<string>")
+    rows = spark.createDataFrame([("a", "2000.csv", "1", "2000-01-02", "5", "4", "4")], "district string, filename string, market_id string, date string, min_price string, max_price string, modal_price string")
+    got = {(r.district, r.filename): r for r in audit.complete(audit.audit(rows, 1995, 2005), files, heads).collect()}
+    assert len(got) == 4
+    flags = lambda r: [c for c in (*audit.CRITICAL, *audit.WARNING) if r[c]]
+    assert flags(got["a", "2000.csv"]) == ["P5_price_inversion", "P6_modal_out_of_range", "C2_nonstandard_names", "C3_extra_cols"] and got["a", "2000.csv"].total_issues == 4
+    assert flags(got["a", "2001.csv"]) == ["F2_empty_file"] and flags(got["b", "2000.csv"]) == ["F1_unreadable"]
+    assert flags(got["a", "2002.csv"]) == ["F3_header_only", "C1_missing_cols", "C2_nonstandard_names"] and got["a", "2002.csv"].critical_issues == 2
+    variants = {r.column_as_found: (r.maps_to_canonical, r.file_count) for r in audit.column_variants(heads).collect()}
+    assert variants["notes"] == ("UNKNOWN", 1) and variants["Market ID"] == ("market_id", 1) and variants["Price Date"] == ("date", 1)
+    done = audit.complete(audit.audit(rows, 1995, 2005), files, heads)
+    assert [r.filename for r in audit.worst_files(done, 2).collect()] == ["2000.csv", "2002.csv"]
+    assert [tuple(r) for r in audit.worst_entities(done, 1).collect()] == [("a", 8)]
+    assert "2000.csv" in audit.report(done) and "F2_empty_file" in audit.report(done)
+
+
+def test_components_explain_what_eigenvalues_say(spark):
+    """Explained shares against NumPy's eigenvalues; a stored scaler and stored loadings give the same components again."""
+    x = np.random.RandomState(0).normal(size=(60, 4)) @ np.diag([5, 2, 1, 0.5]) + 3
+    x[:, 3] += x[:, 0]
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "k int, " + ", ".join(f"{c} double" for c in names))
+    scaled = cluster.standardise(df, names)
+    fitted, loadings, explained = cluster.principal(scaled, names, 0.9)
+    values = np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1]
+    assert np.allclose(explained, (values / values.sum())[: len(explained)]) and explained.sum() >= 0.9 > explained[:-1].sum()
+    table, scaler = cluster.loadings_table(spark, names, loadings), cluster.scaler_table(df, names)
+    again = {r.k: r.pc for r in cluster.project(df, scaler, table).collect()}
+    assert all(np.allclose(again[r.k], r.pc) for r in fitted.collect())
+    top = cluster.strongest_loadings(table, 2).where("component = 'PC1'").orderBy("rank").collect()
+    assert [r.feature for r in top] == [names[i] for i in np.argsort(-np.abs(loadings[:, 0]), kind="stable")[:2]]
+    assigned = spark.createDataFrame([(1,), (1,), (1,), (2,)], "cluster int")
+    assert [tuple(r) for r in cluster.small_clusters(assigned).collect()] == [(2, 1)]
+
+
+def test_daily_weather_keeps_days_that_all_series_have(spark):
+    series_of = lambda *x: spark.createDataFrame(list(x), "entity string, date string, value double").withColumn("date", F.to_date("date"))
+    tmax = series_of(("a", "2020-02-29", 30.0), ("a", "2020-03-01", 31.0), ("a", "2020-03-02", None))
+    tmin = series_of(("a", "2020-02-29", 10.0), ("a", "2020-03-02", 9.0))
+    rain = series_of(("a", "2020-02-29", -0.5), ("a", "2020-03-01", 1.0), ("a", "2020-03-02", 2.0))
+    got = weather.daily_weather(tmax, tmin, rain, "entity").orderBy("date").collect()
+    assert [(r.day, r.tmax, r.tmin, r.tmean, r.rainfall) for r in got] == [(29, 30.0, 10.0, 20.0, 0.0), (2, None, 9.0, None, 2.0)]

@@ -69,3 +69,28 @@ def test_sinks_and_ingest(spark, tmp_path):
         spark.createDataFrame([(n, 0)], "k int, year int").write.parquet(str(tmp_path / f"in/{n}"))
         arrivals.append_available(arrivals.new_rows(spark, str(tmp_path / "in"), "k int, year int"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_headers_quotes_and_encodings(spark, tmp_path):
+    """A quoted header with a comma in a name, a byte order mark, and a file that is not UTF-8."""
+    put(tmp_path / "A/2010.csv", '﻿"Price Date","odd, name","Modal ""Price"""\n2010-01-02,x,5\n')
+    (tmp_path / "B").mkdir()
+    (tmp_path / "B/2011.csv").write_bytes("Price Date,Market ID,Modal Price\n2011-01-02,café,7\n".encode("latin-1"))
+    put(tmp_path / "C/2012.csv", "Price Date,Market ID,Modal Price\n2012-01-02,thé,8\n")
+    heads = {r.path.rsplit("/", 2)[-2]: r.columns for r in tables.heads(spark, str(tmp_path)).collect()}
+    assert heads == {"A": ["Price Date", "odd, name", 'Modal "Price"'], "B": ["Price Date", "Market ID", "Modal Price"], "C": ["Price Date", "Market ID", "Modal Price"]}
+    assert {p.rsplit("/", 2)[-2]: e for p, e in tables.encodings(spark, str(tmp_path)).items()} == {"A": "UTF-8", "B": "ISO-8859-1", "C": "UTF-8"}
+    (tmp_path / "A/2010.csv").unlink()
+    assert sorted((r.district, r.market_id, r.modal_price) for r in tables.read_prices(spark, str(tmp_path)).collect()) == [("B", "café", "7"), ("C", "thé", "8")]
+
+
+def test_units_are_written_unless_real(spark, tmp_path):
+    path = str(tmp_path / "panel")
+    rows = lambda *x: spark.createDataFrame(list(x), "district string, year int, value int")
+    tables.write_units(rows(("a", 2000, 1), ("b", 2000, 2)), path, ["district", "year"], rows().limit(0))
+    tables.write_units(rows(("a", 2000, 9), ("b", 2001, 3)), path, ["district", "year"], spark.read.parquet(path))
+    assert sorted((r.district, r.year, r.value) for r in spark.read.parquet(path).collect()) == [("a", 2000, 1), ("b", 2000, 2), ("b", 2001, 3)]
+    files = spark.createDataFrame([("a", 1), ("b", 1)], "district string, year int")
+    planned = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "district string, year int")
+    got = tables.writable(planned, files, files.where("district = 'a'"), ["district", "year"])
+    assert sorted(r.district for r in got.collect()) == ["b", "c"]
