@@ -2,6 +2,9 @@
 
 run(spark, sf_dir) applies STAGES to the documents table. Each stage's rows are written as Parquet to the shared folder
 and reread as the next one's documents. All but the last return the columns of documents.
+
+In every stage: an empty table gives an empty result; a null text counts as an empty one (and stays null); a text of any
+length is worked on whole; columns of any name beside those of documents are carried along.
 """
 
 from __future__ import annotations
@@ -25,27 +28,40 @@ def unpacked(rows: DataFrame, columns: list[str], *needed: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling keeps."""
+    """Documents that importance resampling keeps.
+
+    Null and empty texts score 0 and are judged by that; repeated rows are judged each for itself; ties at the border go
+    to the smaller doc_id; without labels of both kinds all documents stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     kept = classifier.classify(packed(docs, "doc_id", "text"), labels).where("kept")
     return unpacked(kept, docs.columns, "doc_id", "text")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more)."""
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more): the smallest doc_id.
+
+    Texts without words are no duplicates of each other and stay; of repeated rows one stays; null ids come last.
+    """
     kept = neardup.first_of_each(packed(docs, "doc_id", "text"), width=5, percent=80)
     return unpacked(kept, docs.columns, "doc_id", "text")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret in their texts replaced by a mark and n_chars to match."""
+    """All documents, with every secret in their texts replaced by a mark and n_chars to match.
+
+    Overlapping secrets give one mark; repeated rows are each redacted; null texts stay null.
+    """
     model = secrets.fit(secrets.labelled_samples(docs.select("doc_id", "text")))
     needed = ("text", "n_chars")
     return unpacked(secrets.redact(secrets.scan(packed(docs, *needed), model)), docs.columns, *needed)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
+    """Each document as often as the mixture takes it.
+
+    Texts without words are never taken; null sources are one source; repeated rows and ties count by (key, id, size).
+    """
     needed = ("doc_id", "source", "text")
     plan = mixing.plan(mixing.keyed(docs.select(*needed)).drop("text"))
     mixed = mixing.mix(mixing.keyed(packed(docs, *needed)), plan).where("taken > 0")
@@ -54,7 +70,10 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, and digests of its ids and of the bytes that decoding them gives."""
+    """Per document: doc_id, n_tokens, and digests of its ids and of the bytes that decoding them gives.
+
+    Null and empty texts have no ids; repeated rows are encoded each for itself.
+    """
     return tokens_and_digests(docs)
 
 
