@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import stats
 from ..operators import series
 
@@ -215,9 +216,9 @@ def climate_features(yearly: DataFrame, features: DataFrame, entity: str) -> Dat
 
 
 def weather_features(daily: DataFrame, spi: DataFrame, entity: str) -> DataFrame:
-    """One row an entity: 116 features."""
-    monthly = monthly_weather(daily, entity)
-    yearly = yearly_weather(daily, monthly, entity)
+    """One row an entity: 116 features. The panels that all of them read are computed once."""
+    monthly = cut(monthly_weather(daily, entity))
+    yearly = cut(yearly_weather(daily, monthly, entity))
     four = temperature_features(yearly, monthly, entity)
     for part in (rainfall_features(yearly, monthly, daily, entity), hdd_features(yearly, monthly, entity), spi_features(spi, entity)):
         four = four.join(part, entity, "left")

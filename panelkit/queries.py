@@ -224,19 +224,24 @@ def structural_breaks_pelt(spark, sf):
 
 
 def supplier_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Supplier-year metrics from three subsets of lineitem, so that each lacks some keys."""
-    l = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("entity"), F.year("l_shipdate").alias("year"), "l_returnflag", "l_quantity", "l_extendedprice", "l_linenumber")
-    part = lambda cond, v: l.where(cond).groupBy("entity", "year").agg(v.alias("value"))
+    """Supplier-year metrics, each row of lineitem in one: by return flag, but that in some years one flag's rows go to the
+    next metric, so that each metric lacks some keys."""
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2)
+    year = F.year("l_shipdate")
+    metric = (flag + ((F.col("l_suppkey") + year) % 4 == flag).cast("int")) % 3
+    l = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("entity"), year.alias("year"), metric.alias("metric"), "l_quantity", "l_extendedprice")
+    part = lambda i, v: l.where(F.col("metric") == i).groupBy("entity", "year").agg(v.alias("value"))
     return apy.outer_merge(
         ["entity", "year"],
-        area=part((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 1), F.sum("l_quantity")),
-        production=part((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 2), F.sum("l_extendedprice")),
-        **{"yield": part((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 3), F.avg("l_extendedprice"))},
+        area=part(0, F.sum("l_quantity")),
+        production=part(1, F.sum("l_extendedprice")),
+        **{"yield": part(2, F.avg("l_extendedprice"))},
     )
 
 
-METRICS = """l AS (SELECT l_suppkey AS entity, year(l_shipdate) AS year, l_returnflag AS f, l_linenumber AS k, l_quantity AS q, l_extendedprice AS p FROM lineitem),
-m AS (SELECT entity, year, area, production, yield FROM (SELECT entity, year, sum(q) AS area FROM l WHERE f = 'A' AND k = 1 GROUP BY ALL) FULL JOIN (SELECT entity, year, sum(p) AS production FROM l WHERE f = 'R' AND k = 2 GROUP BY ALL) USING (entity, year) FULL JOIN (SELECT entity, year, avg(p) AS yield FROM l WHERE f = 'N' AND k = 3 GROUP BY ALL) USING (entity, year))"""
+METRICS = """f AS (SELECT l_suppkey AS entity, year(l_shipdate) AS year, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 1 ELSE 2 END AS f, l_quantity AS q, l_extendedprice AS p FROM lineitem),
+l AS (SELECT entity, year, q, p, (f + ((entity + year) % 4 = f)::INT) % 3 AS k FROM f),
+m AS (SELECT entity, year, area, production, yield FROM (SELECT entity, year, sum(q) AS area FROM l WHERE k = 0 GROUP BY ALL) FULL JOIN (SELECT entity, year, sum(p) AS production FROM l WHERE k = 1 GROUP BY ALL) USING (entity, year) FULL JOIN (SELECT entity, year, avg(p) AS yield FROM l WHERE k = 2 GROUP BY ALL) USING (entity, year))"""
 
 
 @query(f"WITH {METRICS} SELECT entity, year::BIGINT AS year, round(area, 2) AS area, round(production, 2) AS production, round(yield, 2) AS yield FROM m")
@@ -311,14 +316,16 @@ def set_ops(spark, sf):
     return every.unionByName(a.subtract(b).subtract(c).select(F.lit("only first").alias("kind"), "k"))
 
 
-@query("""WITH n AS (SELECT DISTINCT replace(p_name, ' ', '') AS name FROM part), c AS (SELECT DISTINCT p_name AS candidate FROM part),
+@query("""WITH n AS (SELECT DISTINCT CASE WHEN p_partkey % 500 = 0 THEN '#' || p_partkey ELSE replace(p_name, ' ', '') END AS name FROM part), c AS (SELECT DISTINCT p_name AS candidate FROM part),
 g AS (SELECT DISTINCT name, lower(name)[i:i+1] AS g FROM (SELECT name, unnest(range(1, greatest(length(name), 2))) AS i FROM n)), h AS (SELECT DISTINCT candidate, lower(candidate)[i:i+1] AS g FROM (SELECT candidate, unnest(range(1, greatest(length(candidate), 2))) AS i FROM c)),
-p AS (SELECT DISTINCT name, candidate FROM g JOIN h USING (g)), s AS (SELECT *, 100 * (1 - levenshtein(lower(name), lower(candidate))::DOUBLE / greatest(length(name), length(candidate), 1)) AS score FROM p),
+b AS (SELECT DISTINCT name, candidate FROM g JOIN h USING (g)), few AS (SELECT name FROM n LEFT JOIN b USING (name) GROUP BY name HAVING count(candidate) < 5),
+p AS (SELECT * FROM b UNION SELECT name, candidate FROM few, c), s AS (SELECT *, 100 * (1 - levenshtein(lower(name), lower(candidate))::DOUBLE / greatest(length(name), length(candidate), 1)) AS score FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, candidate) AS rank FROM s)
 SELECT name, rank, candidate, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def fuzzy_topk(spark, sf):
     p = table(spark, sf, "part")
-    names = p.select(F.replace("p_name", F.lit(" "), F.lit("")).alias("name"))
+    # a few names share no two letters with any candidate
+    names = p.select(F.when(F.col("p_partkey") % 500 == 0, F.concat(F.lit("#"), F.col("p_partkey").cast("string"))).otherwise(F.replace("p_name", F.lit(" "), F.lit(""))).alias("name"))
     return rounded(lookup.fuzzy_top(names, p.select(F.col("p_name").alias("candidate"))))
 
 
