@@ -9,13 +9,15 @@ holds enough of its weight gives its label.
 The index is as large as TEMPLATES and PHRASES (a few hundred postings, whatever the corpus), so its join is broadcast.
 Texts are read once and never shuffled: only hits of documents that have some are.
 
-Defined results: null and empty texts have no words and no labels; repeated rows are scanned each for itself; an empty
-table gives an empty result; other columns are ignored.
+Defined results: null and empty texts have no words and no labels; a text of any length is read whole, and all notices
+in it count; alignments that tie give all their labels; repeated rows are scanned each for itself; an empty table gives
+an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,7 +89,7 @@ def reduce_texts(docs: DataFrame) -> DataFrame:
     indexed = sorted({r[4] for r in index()})
     every = phrases()
     wanted = sorted({*indexed, *(p.split()[_anchor(p)] for p in every)})
-    words = docs.select("doc_id", F.regexp_extract_all(F.lower(whole_text()), F.lit(WORDS), F.lit(0)).alias("_w"))
+    words = docs.select("doc_id", F.regexp_extract_all(F.translate(whole_text(), ascii_uppercase, ascii_lowercase), F.lit(WORDS), F.lit(0)).alias("_w"))
     found = words.select("doc_id", "_w", F.array_compact(F.transform("_w", lambda w, i: F.when(w.isin(*wanted), i))).alias("_at"))
     placed = found.select(
         "doc_id",

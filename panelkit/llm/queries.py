@@ -32,10 +32,8 @@ h AS (SELECT rid, w[i] AS word, i - 1 AS pos FROM x WHERE w[i] IN (SELECT word F
 df AS (SELECT word, count(DISTINCT rid) AS df FROM h GROUP BY word),
 wt AS (SELECT idx.*, ln(((SELECT count(*) FROM d) + 1.0::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE)) AS idf FROM idx LEFT JOIN df USING (word)),
 whole AS (SELECT template, sum(idf) AS whole FROM wt GROUP BY template),
-idf AS (SELECT word, max(idf) AS idf FROM wt GROUP BY word),
-rare AS (SELECT rid, word FROM (SELECT rid, word, row_number() OVER (PARTITION BY rid ORDER BY idf DESC, word DESC) AS k FROM (SELECT DISTINCT rid, word FROM h) JOIN idf USING (word)) WHERE k <= 8),
 pl AS (SELECT rid, phrase, base, i - 1 AS start FROM x JOIN ph ON w[i] = p[1] WHERE w[i : i + len(p) - 1] = p),
-lk AS (SELECT h.rid, wt.template, wt.label, any_value(whole) AS whole, sum(wt.idf) AS held FROM h JOIN rare USING (rid, word) JOIN wt USING (word) JOIN whole USING (template)
+lk AS (SELECT h.rid, wt.template, wt.label, any_value(whole) AS whole, sum(wt.idf) AS held FROM h JOIN wt USING (word) JOIN whole USING (template)
        WHERE EXISTS (SELECT 1 FROM pl WHERE pl.rid = h.rid AND pl.phrase = wt.phrase) GROUP BY h.rid, wt.template, wt.label, h.pos - wt.tpos),
 f AS (SELECT rid, list(DISTINCT label) AS found, max(score) AS score FROM (SELECT rid, label, least(1, held / greatest(whole, 1e-9)) AS score FROM lk) WHERE score >= 0.5 GROUP BY rid),
 b AS (SELECT rid, count(*) AS n, min(start) AS lo, max(start) AS hi, list(DISTINCT base) AS labels FROM pl WHERE base IS NOT NULL GROUP BY rid)
