@@ -9,8 +9,9 @@ bucket in which the budget ends, and only that bucket's documents are ordered. S
 rows costs no more in one task than any other.
 
 Defined results: a null text counts 0 words and is never taken; null sources form one source, ranked last; repeated
-rows are mixed each for itself (equal keys are ordered by doc_id, then by size); an empty table gives an empty result;
-columns named like the added ones are replaced.
+rows are mixed each for itself (equal keys are ordered by doc_id, then by size; rows equal in all three count alike); a
+text of any length is one document, taken whole or not; an empty table gives an empty result; columns of any name are
+kept, but that those named like the added ones (ADDED) are replaced.
 """
 
 from __future__ import annotations
@@ -72,14 +73,15 @@ def mix(rows: DataFrame, plan_rows: DataFrame, broadcast_rows: int = 100_000) ->
 
     plan_rows is broadcast only up to `broadcast_rows` sources; beyond that a salted join deals hot sources out.
     """
-    p = cut(plan_rows.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_s"), "source_size", "target", "epochs", "rest", "edge", "edge_before"))
-    keyed_rows = rows.withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("name")
+    p = cut(plan_rows.select(name, "source_size", "target", "epochs", "rest", "edge", "edge_before"))
+    packed = rows.select(F.struct("*").alias("row"), name, "bucket", "size", "key", "doc_id")
     small = p.limit(broadcast_rows + 1).count() <= broadcast_rows
-    joined = keyed_rows.join(F.broadcast(p), "_s", "left") if small else salted_left_join(keyed_rows, p, ["_s"], F.struct("key", "doc_id"))
-    upto = F.sum("size").over(Window.partitionBy("_s").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    joined = packed.join(F.broadcast(p), "name", "left") if small else salted_left_join(packed, p, ["name"], F.struct("key", "doc_id"))
+    upto = F.sum("size").over(Window.partitionBy("name").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     at_edge = joined.where(F.col("bucket") == F.col("edge"))
-    at_edge = at_edge.withColumn("_more", (F.col("edge_before") + upto - F.col("size") / 2 <= F.col("rest")).cast("long"))
+    at_edge = at_edge.withColumn("more", (F.col("edge_before") + upto - F.col("size") / 2 <= F.col("rest")).cast("long"))
     others = joined.where(F.coalesce(F.col("bucket") != F.col("edge"), F.lit(True)))
-    others = others.withColumn("_more", (F.col("bucket") < F.coalesce(F.col("edge"), F.lit(1 << 30))).cast("long"))
-    out = at_edge.unionByName(others).withColumn("taken", F.col("size") * (F.col("epochs") + F.col("_more")))
-    return out.drop("_s", "_more", "epochs", "rest", "edge", "edge_before")
+    others = others.withColumn("more", (F.col("bucket") < F.coalesce(F.col("edge"), F.lit(1 << 30))).cast("long"))
+    taken = F.col("size") * (F.col("epochs") + F.col("more"))
+    return at_edge.unionByName(others).select("row.*", "source_size", "target", taken.alias("taken"))
