@@ -1,20 +1,25 @@
 """Quality classifier by importance resampling (operator 7).
 
 Two bag-of-n-gram models over hashed buckets, one of the target text (labelled good) and one of all raw text, give each
-document the importance weight log p(target) - log p(raw), here per n-gram so that long texts are not favoured. Gumbel
-noise of a small scale is added, and the k documents with the largest sums are sampled without replacement (Gumbel
-top-k); k is how many documents of the whole corpus reach the weight that separates the labelled sample best.
+document an importance score log p(target) - log p(raw), here per n-gram so that long texts are not favoured. With T the
+score that separates the labelled sample best, a document's log weight is (score - T) / temperature. Gumbel noise is added
+to it, and the k documents with the largest sums are sampled without replacement (Gumbel top-k). k is the weight mass: the
+sum of 1 - exp(-weight), the number of documents that a draw at this weight is expected to hold. The temperature is the
+largest at which the draw still keeps `keep` of the labelled good rows, so the noise decides near T as far as these allow:
+documents above T are hardly ever lost, and one below has a chance that falls with its distance.
 
 The n-grams are byte trigrams (of every script and layout), word bigrams, and for each word the distance to its last
 occurrence among the words before it, so that repetition has its own buckets.
 
 The corpus is read twice, by numpy over Arrow batches: once to count (a bounded table of counts per task, summed by
-Spark), once to weigh. The top k is found without a sort: keys are counted in fixed-width bins, and only the one bin in
-which k falls is ordered. labelled_rows bounds the labelled sample, which is broadcast; raw counts cover all rows.
-
-Defined results: null and empty texts have weight 0 n-grams and score 0; repeated rows are judged each for itself (ties
-at the border are broken by doc_id, then text hash); without labels of both kinds every document is kept; an empty
-table gives an empty result; all columns of docs are kept, added ones replace those of the same name.
+Spark), once to weigh. The top k is found without a sort: keys are counted in fixed-width bins, the bin in which k falls
+is cut into bins again, and only what is left of it at last is ordered. labelled_rows bounds the labelled sample, which is
+broadcast; raw counts cover all rows.
+
+Defined results: null and empty texts have no n-grams and score 0; a text of any length is weighed whole; repeated rows
+are judged each for itself (equal keys are ordered by doc_id, then text hash); without labels of both kinds every document
+is kept and its key is its score; an empty table gives an empty result; all columns of docs are kept, whatever their
+names, but that added ones (ADDED) replace those of the same name.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import cut, small_batches
 from .shingles import mixed, pieces, text_bytes, word_hashes, words
@@ -94,9 +100,8 @@ def _weighed(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[p
 
 def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """docs with score: the mean log ratio of the text's n-grams."""
-    docs = small_batches(docs).drop(*ADDED)
-    schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    return docs.mapInArrow(lambda b: _weighed(b, ratio), f"{schema}, score double")
+    docs = small_batches(docs).drop("score")
+    return docs.mapInArrow(lambda b: _weighed(b, ratio), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def label_sample(labels: DataFrame, labelled_rows: int = 20_000) -> DataFrame:
@@ -117,32 +122,70 @@ def threshold(scored_labels: list[tuple[float, int]], keep: float = 0.999) -> fl
     return float((best + bad[below - 1]) / 2) if below else float("-inf")
 
 
-def gumbel_key(score: Column, scale: float, seed: int) -> Column:
-    u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    return score - scale * F.log(-F.log(u))
-
-
-def top_k(scored: DataFrame, k: int, bins: int = 4096) -> DataFrame:
-    """scored (with key and text hash _h) with kept: whether a row is among the k largest keys, ties by doc_id, then _h."""
-    low, high = scored.agg(F.min("key"), F.max("key")).first()
-    width = max((high - low) / bins, 1e-300) if low is not None else 1.0
-    binned = scored.withColumn("_bin", F.floor((F.lit(high if low is not None else 0.0) - F.col("key")) / F.lit(width)).cast("int"))
-    counts = sorted((r["_bin"], r["n"]) for r in binned.groupBy("_bin").agg(F.count("*").alias("n")).collect())  # bins + 1 rows at most
-    left, edge = k, -1
-    for edge, n in counts:
-        if n >= left:
-            break
-        left -= n
-    at_edge = binned.where(F.col("_bin") == edge).withColumn("kept", F.row_number().over(Window.partitionBy("_bin").orderBy(F.desc("key"), "doc_id", "_h")) <= left)
-    return at_edge.unionByName(binned.where(F.col("_bin") != edge).withColumn("kept", F.col("_bin") < edge)).drop("_bin")
+def temperature(above: np.ndarray, keep: float) -> float:
+    """The largest temperature at which documents whose scores lie so far above T stay with a chance of `keep` on average."""
+    def kept(t: float) -> float:
+        return float(np.mean(-np.expm1(-np.exp(np.minimum(above / t, 50)))))
 
+    above = above[above > 0]
+    if not len(above):
+        return 1e-9
+    low, high = 1e-9, float(above.max())
+    for _ in range(60):
+        middle = (low * high) ** 0.5
+        low, high = (middle, high) if kept(middle) >= keep else (low, middle)
+    return low
 
-def classify(docs: DataFrame, labels: DataFrame, scale: float = 0.0005, seed: int = 1, labelled_rows: int = 20_000, keep: float = 0.999) -> DataFrame:
+
+def gumbel(seed: int) -> Column:
+    """Gumbel noise from a hash of doc_id, so that reruns agree."""
+    u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    return -F.log(-F.log(u))
+
+
+def top_k(keyed: DataFrame, k: int, bins: int = 4096, few: int = 100_000) -> DataFrame:
+    """keyed (with key and text hash _h) with kept: whether a row is among the k largest keys, ties by doc_id, then _h.
+
+    few: rows of the last bin that are ordered in one task, unless all their keys are equal.
+    """
+    above = float("inf")  # keys from here on are kept, those below low are not
+    low, high, left = None, None, k
+    while True:
+        inside = keyed if low is None else keyed.where((F.col("key") >= low) & (F.col("key") < above))
+        low, high, n = inside.agg(F.min("key"), F.max("key"), F.count("*")).first()
+        if not n or left <= 0 or left >= n:
+            least = float("inf") if not n or left <= 0 else low
+            return keyed.withColumn("kept", F.col("key") >= (least if n and left >= n else above))
+        if n <= few or high <= low:
+            break
+        width = (high - low) / bins
+        binned = inside.groupBy(F.least(F.floor((F.col("key") - low) / width), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min("key").alias("low"))
+        for r in sorted(binned.collect(), key=lambda r: -r["bin"]):  # bins rows at most
+            if r["n"] >= left:
+                low = r["low"]
+                break
+            left, above = left - r["n"], r["low"]
+    edge = (F.col("key") >= low) & (F.col("key") < above)
+    ranked = keyed.where(edge).withColumn("kept", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("key"), "doc_id", "_h")) <= left)
+    return ranked.unionByName(keyed.where(~edge).withColumn("kept", F.col("key") >= above))
+
+
+def classify(docs: DataFrame, labels: DataFrame, seed: int = 1, labelled_rows: int = 20_000, keep: float = 0.999) -> DataFrame:
     """docs with score, key and kept, written once to the shared folder."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", *ADDED)]
+    rows = docs.select("doc_id", "text", *([F.struct(*others).alias("_rest")] if others else []))
     sample = label_sample(labels, labelled_rows)
-    ratio = fit(docs, sample)
-    weighed = weigh(docs, ratio).withColumn("key", gumbel_key(F.col("score"), scale, seed)).withColumn("_h", F.xxhash64("text"))
-    scored = cut(weighed)
-    known = [(r["score"], r["quality"]) for r in scored.select("doc_id", "score").join(F.broadcast(sample), "doc_id").select("score", "quality").limit(4 * labelled_rows).collect()]
-    least = threshold(known, keep)
-    return top_k(scored, scored.where(F.col("score") >= least).count()).drop("_h")
+    weighed = cut(weigh(rows, fit(rows, sample)).withColumn("_h", F.xxhash64("text")).withColumn("_noise", gumbel(seed)))
+    # one row a label: labelled_rows at most
+    known = weighed.select("doc_id", "score").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("score").alias("score")).collect()
+    least = threshold([(r["score"], r["quality"]) for r in known], keep)
+    if least == float("-inf"):
+        chosen = weighed.withColumn("key", F.col("score")).withColumn("kept", F.lit(True))
+    else:
+        scale = temperature(np.array([r["score"] - least for r in known if r["quality"] == 1]), keep)
+        log_weight = (F.col("score") - least) / scale
+        drawn = -F.expm1(-F.exp(F.least(log_weight, F.lit(50.0))))
+        mass = weighed.agg(F.sum(F.round(drawn, 9).cast("decimal(18,9)"))).first()[0] or 0  # decimals: the order of summing does not show
+        chosen = top_k(weighed.withColumn("key", log_weight + F.col("_noise")), round(mass))
+    back = [F.col("_rest")[c].alias(c) if c in others else F.col(c) for c in docs.columns if c not in ADDED]
+    return chosen.select(*back, *ADDED)

@@ -10,7 +10,8 @@ Sums by host, domain, suffix and declaration are combined before their shuffles;
 over several tasks, so one with a third of all pages is no hot spot.
 
 Defined results: null and empty html, or html without text, speaks through declaration and address alone; a null or
-malformed url has host, domain and suffix ''; repeated rows are judged each for itself and all count; without labelled
+malformed url has host, domain and suffix ''; html of any length is read whole; languages that tie go to the first by
+name; repeated rows are judged each for itself and all count; without labelled
 documents there is no language and the result is empty; an empty table gives an empty result; other columns are kept
 only if named in `keep`.
 """
@@ -132,8 +133,9 @@ def identify(pages: DataFrame, models: dict[str, np.ndarray], keep: tuple[str, .
 
     each = range(len(p))
     at_suffix = smoothed(suffixes, [F.lit(x) for x in everywhere], "s")
-    at_domain = smoothed(domains.join(at_suffix, "suffix"), [F.col(f"s{i}") for i in each], "d").select("domain", "suffix", *[f"d{i}" for i in each])
-    at_host = hosts.join(at_domain, ["domain", "suffix"]).select("host", *[F.col(c).alias(f"h{c}") for c in p], *[f"d{i}" for i in each])
+    # a suffix may have most domains, and a domain most hosts
+    at_domain = smoothed(salted_left_join(domains, at_suffix, ["suffix"], F.col("domain")), [F.col(f"s{i}") for i in each], "d").select("domain", "suffix", *[f"d{i}" for i in each])
+    at_host = salted_left_join(hosts, at_domain, ["domain", "suffix"], F.col("host")).select("host", *[F.col(c).alias(f"h{c}") for c in p], *[f"d{i}" for i in each])
 
     # P(declared | language): as many rows as there are languages and two
     said = by_text.groupBy("declared").agg(*sums).collect()
