@@ -10,7 +10,9 @@ Equal vectors are one entry with its smallest ids (more than k can never be aske
 of over `block` entries are split over several groups, to which their visits are repeated. A group's entries are held
 by one task, visits stream past them, and a task keeps only its best k for each query. There are only so many projections
 that most sampled queries reach their success in `most` visits a table. Queries that do not, and those that found fewer
-than k, are compared with every entry, dealt into blocks by hash. Whatever does not depend on the sample - index, visits, distances - covers all rows.
+than k, are compared with every entry, dealt into blocks by hash. Cells too far out to be tried (CELLS from the middle, or
+of a mass under 1e-4) count as not visited: what they hold lowers a query's sum and so may send it to that exact way.
+Whatever does not depend on the sample - index, visits, distances - covers all rows.
 
 Defined results: rows take no part whose id or vector is null, or whose vector is zero or empty, holds null or
 non-finite components, or has another length than most; a repeated (id, vector) counts once; ties, of copies or not, go

@@ -59,7 +59,10 @@ def discard(*tables: DataFrame) -> None:
 
 
 def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """df, with the session's Arrow batches at `rows` rows at most: texts are long, and a batch is held twice in a worker and in its executor."""
+    """df, with the session's Arrow batches at `rows` rows at most: texts are long, and a batch is held twice in a worker and
+    in its executor. The setting is the session's, since a plan has none of its own, and it stays; batches of very long
+    texts are cut by Spark's own bound on bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set).
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name, "10000")) <= rows:
         conf.set(name, str(rows))
