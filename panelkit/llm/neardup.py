@@ -10,8 +10,7 @@
    group of near copies at the price of one comparison a member. What these links connect has one label.
 5. In clusters of several labels, sketches alone (64 bytes a class) are compared in pairs of blocks, those of the
    commonest label never with each other. Pairs of two labels that pass the sizes and the XOR population count are
-   candidates: first each class is compared with its nearest candidate, then the screening is repeated, and full sets
-   decide every candidate pair that is left. What counts is who is linked, so a spanning forest of links comes out.
+   candidates, which full sets decide. What counts is who is linked, so a spanning forest of links comes out.
 6. Components of the confirmed links are the result.
 
 With 40 bands of 6 rows, a pair of Jaccard similarity 0.8 shares no bucket with probability 5e-6; the sketch screen
@@ -196,28 +195,21 @@ def _halves(group: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
 
 
 def _screened(batches: Iterator[pa.RecordBatch], percent: int, most_bits: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of sketches -> the classes that have a candidate of another label in the pair of blocks, with the nearest one."""
+    """Blocks of sketches -> the classes that have a candidate of another label in the pair of blocks."""
     for group in _groups(batches, ("cluster", "i", "j")):
         group, left, right = _halves(group)
         if not len(left) or not len(right):
             continue
         sketch = np.asarray(group.column("sketch").combine_chunks().flatten()).view(np.uint64).reshape(-1, WORDS)
         size, label, node = (np.asarray(group.column(c)) for c in ("n_shingles", "label", "node"))
-        far = BITS + 1
-        nearest, partner = np.full(len(node), far), np.zeros(len(node), np.int64)
+        hit = np.zeros(len(node), bool)
         for x in left.tolist():
-            apart = np.bitwise_count(sketch[right] ^ sketch[x]).sum(axis=1, dtype=np.int64)
-            apart[(label[right] == label[x]) | ~_alike(size[right], size[x], percent) | (apart > most_bits)] = far
-            best = int(apart.argmin())
-            if apart[best] < nearest[x]:
-                nearest[x], partner[x] = apart[best], node[right[best]]
-            closer = right[apart < nearest[right]]
-            partner[closer] = node[x]
-            nearest[right] = np.minimum(nearest[right], apart)
-        hit = np.flatnonzero(nearest < far)
-        if len(hit):
-            kept = group.select(["cluster", "i", "j", "block", "node", "label"]).take(pa.array(hit)).combine_chunks().to_batches()[0]
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(nearest[hit].astype(np.int64)), pa.array(partner[hit])], [*kept.schema.names, "apart", "partner"])
+            near = right[(label[right] != label[x]) & _alike(size[right], size[x], percent)]
+            near = near[np.bitwise_count(sketch[near] ^ sketch[x]).sum(axis=1, dtype=np.int64) <= most_bits]
+            hit[near] = True
+            hit[x] |= len(near) > 0
+        if hit.any():
+            yield from group.select(["cluster", "i", "j", "block", "node", "label"]).take(pa.array(np.flatnonzero(hit))).combine_chunks().to_batches()
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -251,13 +243,19 @@ def _parts(rows: Column, shingles: Column, block: int) -> Column:
     return F.greatest(F.ceil(rows / block), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
-def _star_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+def _with_text(rows: DataFrame, texts: DataFrame, broadcast_rows: int) -> DataFrame:
+    """rows with the text of their node. Rows are broadcast up to so many, so that texts are not shuffled for the join."""
+    few = rows.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return texts.join(F.broadcast(rows) if few else rows, "node")
+
+
+def _star_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int, block: int, broadcast_rows: int) -> DataFrame:
     """(node, centre) pairs -> those whose full sets are alike. A centre's members are dealt to groups of about `block`."""
     parts = pairs.groupBy("centre").agg(_parts(F.count("*"), F.sum("n_shingles"), block).alias("p"))
     sized = pairs.join(parts, "centre")
     members = sized.select("centre", "node", F.pmod(F.xxhash64("node"), F.col("p")).cast("int").alias("salt"), F.lit(True).alias("member"))
     centres = parts.select("centre", F.col("centre").alias("node"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("salt"), F.lit(False).alias("member"))
-    rows = members.unionByName(centres).join(texts, "node").select("centre", "salt", "member", "node", "text")
+    rows = _with_text(members.unionByName(centres), texts, broadcast_rows)
     dealt = small_batches(rows).repartition("centre", "salt").sortWithinPartitions("centre", "salt", "member")
     return cut(dealt.mapInArrow(lambda b: _starred(b, width, percent), "a bigint, b bigint"))
 
@@ -274,7 +272,7 @@ def _screen(held: DataFrame, labels: DataFrame, percent: int, block: int) -> Dat
     rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("is_main"), F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)))
     rows = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n_shingles", "sketch")
     dealt = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    schema = "cluster bigint, i int, j int, block int, node bigint, label bigint, apart bigint, partner bigint"
+    schema = "cluster bigint, i int, j int, block int, node bigint, label bigint"
     found = cut(dealt.mapInArrow(lambda b: _screened(b, percent, MOST_BITS), schema))
     discard(state)
     return found
@@ -293,7 +291,7 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int, block:
     few = held.limit(broadcast_rows + 1).count() <= broadcast_rows
     own = docs.select("doc_id", row_hash().alias("own_jk"), "text")
     same = (F.col("own_jk") == F.col("jk")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
-    texts = cut(own.join(F.broadcast(needed) if few else needed, same).select("node", "text"))
+    texts = cut(own.join(F.broadcast(needed) if few else needed, same).select("node", "text"))  # twice read, never shuffled whole if few
 
     mine = held.select("node", "n_shingles", "sketch")
     centre = held.select(F.col("node").alias("centre"), F.col("n_shingles").alias("centre_shingles"), F.col("sketch").alias("centre_sketch"))
@@ -301,17 +299,12 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int, block:
     tried = tried.where(100 * F.least("n_shingles", "centre_shingles") >= percent * F.greatest("n_shingles", "centre_shingles"))
     tried = tried.select("node", "centre", "n_shingles", _apart("sketch", "centre_sketch").alias("apart")).where(F.col("apart") <= MOST_BITS)
     nearest = cut(tried.groupBy("node").agg(F.min(F.struct("apart", "centre")).alias("x"), F.first("n_shingles").alias("n_shingles")).select("node", F.col("x.centre").alias("centre"), "n_shingles"))
-    links = _star_links(nearest, texts, width, percent, block)
+    links = _star_links(nearest, texts, width, percent, block, broadcast_rows)
     discard(homes, nearest)
 
     screened = _screen(held, components(links), percent, block)
     if not screened.isEmpty():
-        best = screened.groupBy("node").agg(F.min(F.struct("apart", "partner")).alias("x")).select("node", F.col("x.partner").alias("centre"))
-        best = cut(best.join(mine.select("node", "n_shingles"), "node"))
-        links = cut(links.union(_star_links(best, texts, width, percent, block)))
-        screened = _screen(held, components(links), percent, block)
-    if not screened.isEmpty():
-        rows = screened.select("cluster", "i", "j", "block", "node", "label").join(texts, "node")
+        rows = _with_text(screened.select("cluster", "i", "j", "block", "node", "label"), texts, broadcast_rows)
         dealt = small_batches(rows).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
         links = cut(links.union(dealt.mapInArrow(lambda batches: _confirmed(batches, width, percent), "a bigint, b bigint")))
     discard(held, texts, screened)
@@ -344,13 +337,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: i
     return grouped(docs, width, percent, block, broadcast_rows).select("doc_id", "n_shingles", "component_id")
 
 
-def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id (null last), then by hashes of text and row."""
+def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80, broadcast_rows: int = 200_000) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (null last), then by hashes of text and row.
+
+    broadcast_rows: ids of rows to drop are broadcast up to so many; beyond that docs are shuffled for the join.
+    """
     found = cut(grouped(docs, width, percent).where("group is not null").select("group", "doc_id", "jk"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "jk")
     first = found.groupBy("group").agg(F.min(order).alias("first"))
     marked = found.join(first, "group").groupBy("doc_id", "jk").agg(F.max(order == F.col("first")).alias("stays"), F.count("*").alias("n"))
     marked = cut(marked.where("not stays or n > 1").select(F.col("doc_id").alias("found_id"), F.col("jk").alias("found_jk"), "stays"))
+    marked = F.broadcast(marked) if marked.limit(broadcast_rows + 1).count() <= broadcast_rows else marked
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), row_hash().alias("own_jk"))
     same = (F.col("own_jk") == F.col("found_jk")) & F.col("own_id").eqNullSafe(F.col("found_id"))
     kept = rows.join(marked, same, "left_anti")

@@ -290,3 +290,60 @@ def test_pipeline_against_brute_force(spark):
     assert max(Counter(r["doc_id"] for r in mix).values()) <= 2
     last = corpus_pipeline.STAGES[-1][1](spark, at[-1], SF).collect()
     assert Counter(r.doc_id for r in last) == Counter(r["doc_id"] for r in mix)
+
+
+def test_pipeline_stages_on_odd_rows(spark, messy, nothing, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing names, empty tables."""
+    spark.createDataFrame([(1, 1), (7, 0), (None, 1), (5, None)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    odd = messy.withColumns({"lang": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long"), **{c: F.lit(c) for c in ("_h", "_jk", "_s", "_more", "rest", "edge", "epochs", "row", "node", "_noise", "_time", "spans", "t", "base")}})
+    docs, kept = odd, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path)).cache()
+        assert out.columns == docs.columns and all(r["edge"] == "edge" and r["_jk"] == "_jk" and r["size"] == "9" for r in out.collect())
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+        docs = out
+        kept.append([r.doc_id for r in out.collect()])
+    count = lambda ids, i: sum(x == i for x in ids)
+    assert count(kept[0], 1) == 2 and count(kept[1], 1) == 1 and sorted(map(str, kept[1])) == sorted(map(str, kept[2]))
+    assert not {2, 3, 4} & set(kept[3])  # no words, nothing to take
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, str(tmp_path)).count() == docs.count() and last(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_first_of_each_goes_by_texts(spark):
+    """Neither equal ids nor null ids decide what is a duplicate; names of other columns are free."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, 0), (1, b, 1), (None, c, 2), (None, c, 3), (4, c + " more", 4), (5, None, 5), (5, None, 6), (7, b, 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row int").withColumns({"_jk": F.lit(1), "group": F.lit("g"), "nth": F.lit(0), "own_id": F.lit("o")})
+    got = neardup.first_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(r["row"] for r in got.collect()) == [0, 1, 4, 5, 6]
+    shuffled = neardup.first_of_each(docs, broadcast_rows=0).collect()
+    assert sorted(r["row"] for r in shuffled) == [0, 1, 4, 5, 6]
+
+
+def test_many_near_copies_of_one_text(spark):
+    """Most members meet one centre; the few between two groups are found by sketches. All pairs agree."""
+    rnd = np.random.RandomState(11)
+    words = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(220):
+        text = list(words)
+        for k in rnd.choice(80, size=(1, 2, 6, 12)[i % 4], replace=False):
+            text[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(text)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=4, block=32).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(groups(rows, 4))
+    assert 1 < len({r.component_id for r in got}) < 200
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_neighbours_recall_by_shape(spark, clustered):
+    rnd = np.random.RandomState(6)
+    x = rnd.normal(size=(3000, 32)) + (rnd.normal(size=(60, 32)) * 4)[rnd.randint(0, 60, 3000)] * clustered
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = defaultdict(set)
+    for r in ann.search(df, lambda i: i % 50 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    best = {q: set(np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable")[1:11].tolist()) for q in range(0, 3000, 50)}
+    assert np.mean([len(found[q] & best[q]) / 10 for q in best]) >= 0.9
