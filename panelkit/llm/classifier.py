@@ -143,7 +143,7 @@ def gumbel(seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def top_k(keyed: DataFrame, k: int, bins: int = 4096, few: int = 100_000) -> DataFrame:
+def top_k(keyed: DataFrame, k: int, bins: int = 4096, few: int = 1_000) -> DataFrame:
     """keyed (with key and text hash _h) with kept: whether a row is among the k largest keys, ties by doc_id, then _h.
 
     few: rows of the last bin that are ordered in one task, unless all their keys are equal.
