@@ -1,14 +1,17 @@
 """Adaptive context-mixing range coder for blocks of token ids, many blocks in lockstep.
 
 Every block starts from an empty model, so blocks are independent and any number of them advance together, one id a
-step, as rows of numpy arrays. For each id the order-2 context (last two ids) and the order-1 context (last id) predict
+step, as lanes of numpy arrays. For each id the order-2 context (last two ids) and the order-1 context (last id) predict
 one id each; the higher order's is the candidate. Whether it holds is a binary decision whose probability mixes, in the
 logistic domain with weights learnt as it goes, what both orders' confidence and agreement have meant so far. Any other
-id is coded by order 0: its two leading hexadecimal digits with adaptive counts, the rest as plain bytes beside the
-code. All arithmetic is on integers, so any machine decodes alike.
+id is coded by order 0: in digits of five bits (the first may have six), each with adaptive cumulative probabilities in
+the context of the digits before it. All arithmetic is on integers, so any machine decodes alike.
+
+The range coder has a window of 48 bits and moves by whole 16-bit words, so it moves once a decision at most. The coder
+keeps its carries in the words it has written and settles them at the end.
 
 Layout of a block: 4 bytes magic and version, uint32 number of ids, uint32 CRC-32 of the ids as little-endian uint32,
-uint8 hexadecimal digits per id, uint32 number of plain bytes, the plain bytes, then the code bytes.
+uint8 bits per id, then the code as little-endian 16-bit words, without the zeros at its end.
 """
 
 from __future__ import annotations
@@ -19,215 +22,213 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR1"
-HEAD = struct.Struct("<4sIIBI")
-SLOTS = 1 << 12
-#: What a symbol's occurrence adds to the running sums.
-RAISED = np.triu(np.full((16, 16), 24, dtype=np.uint16))
-#: Contexts of the modelled leading digits.
-CONTEXTS = (1, 16)
-_ALL = np.int64(0xFFFFFFFF)
-
-#: ln(p / (1 - p)) and its inverse on 12 bits, in units of 1/256.
+MAGIC = b"CMR2"
+HEAD = struct.Struct("<4sIIB")
+#: Slots of each order's table of predictions.
+SLOTS = 1 << 11
+#: The range is kept from 2 ** 32 to 2 ** 48; symbol probabilities have 15 bits, decisions 16.
+LEAST, MASK, TOTAL = 1 << 32, (1 << 32) - 1, 1 << 15
+#: How fast the first, second and later digits' probabilities move (shift), and the most contexts of a digit.
+RATES = (5, 4, 3)
+CONTEXTS = 512
+
+#: ln(p / (1 - p)) on 12 bits in units of 1/256, and its inverse for all sums of two weighted ones.
 STRETCH = np.array([round(math.log((i + 0.5) / (4095.5 - i)) * 256) for i in range(4096)], dtype=np.int64).clip(-2047, 2047)
-SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], dtype=np.int64)
-
-
-class _Range:
-    """Carry-less 32-bit range coder over lanes; subclasses write or read the code bytes."""
-
-    def __init__(self, lanes: int) -> None:
-        self.low, self.high = np.zeros(lanes, np.int64), np.full(lanes, _ALL)
-
-    def narrow(self, ix: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        at = np.flatnonzero(high - low < 1 << 24)  # only these can share their top byte
-        while len(at):
-            a, b = low[at], high[at]
-            same = (a ^ b) >> 24 == 0
-            tight = ~same & (b - a < 1 << 16)
-            b[tight] = a[tight] | 0xFFFF
-            same |= tight
-            at, a, b = at[same], a[same], b[same]
-            if not len(at):
-                break
-            self.shift(ix[at], a)
-            low[at] = (a << 8) & _ALL
-            high[at] = ((b << 8) & _ALL) | 255
-        self.low[ix], self.high[ix] = low, high
-
-    def bit(self, ix: np.ndarray, p: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
-        """Code one decision; p: probability of true in 1/65536."""
-        low, high = self.low[ix], self.high[ix]
-        middle = low + ((high - low) * p >> 16)
-        bits = self.decide(ix, middle) if bits is None else bits
-        self.narrow(ix, np.where(bits, low, middle + 1), np.where(bits, middle, high))
-        return bits
-
-    def symbol(self, ix: np.ndarray, upto: np.ndarray, symbols: np.ndarray | None) -> np.ndarray:
-        """Code one of 16 symbols; upto: running sums of their counts (lanes x 16)."""
-        low, high = self.low[ix], self.high[ix]
-        step = (high - low) // upto[:, 15]
-        if symbols is None:
-            symbols = (upto <= self.place(ix, low, step, upto[:, 15])[:, None].astype(np.uint16)).sum(axis=1)
-        flat, at = upto.ravel(), np.arange(0, 16 * len(ix), 16) + symbols
-        end = flat[at].astype(np.int64)
-        begin = np.where(symbols > 0, flat[at - 1], 0).astype(np.int64)
-        self.narrow(ix, low + step * begin, np.where(symbols == 15, high, low + step * end - 1))
-        return symbols
-
-
-class _Writer(_Range):
-    def __init__(self, lanes: int, most: int) -> None:
-        super().__init__(lanes)
-        self.out, self.at = np.zeros((lanes, most), np.uint8), np.zeros(lanes, np.int64)
+REACH, HEAVIEST = 1 << 15, 400_000
+SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-max(-3000, min(3000, x)) / 256))))) for x in range(-REACH, REACH)], dtype=np.int64)
+#: A prediction's confidence (1 to 7; 0: none) after it failed, and after it held.
+SURER = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], dtype=np.int64)
+#: What a confidence means before anything is learnt, in 1/65536.
+TRUST = np.array([64, 16_000, 26_000, 36_000, 42_000, 48_000, 52_000, 56_000] * 4, dtype=np.int64)
+
+
+class _Digit:
+    """Adaptive probabilities of one digit: for each lane and context the lower ends of its symbols.
+
+    A symbol moves every end towards where it would lie if that symbol had all but the least probability.
+    """
+
+    def __init__(self, lanes: int, bits: int, before: int, rate: int) -> None:
+        n = 1 << bits
+        self.bits, self.rate, self.contexts, self.hashed = bits, rate, min(1 << before, CONTEXTS), 1 << before > CONTEXTS
+        least = (1 << rate) + 4  # what rounding cannot use up
+        self.only = np.array([[i * least if i <= s else TOTAL - (n - i) * least for i in range(n)] for s in range(n)], dtype=np.int16)
+        self.ends = np.tile(np.arange(0, TOTAL, TOTAL // n, dtype=np.int16), (lanes * self.contexts, 1))
+
+    def row(self, lane: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        return lane * self.contexts + ((prefix * 0x9E3779B1 >> 12) & (self.contexts - 1) if self.hashed else prefix)
+
 
-    def shift(self, ix: np.ndarray, low: np.ndarray) -> None:
-        if self.at.max() + 8 > self.out.shape[1]:
-            self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-        self.out[ix, self.at[ix]] = low >> 24
-        self.at[ix] += 1
+class _Writer:
+    """Lanes of code words, written at the top of the window."""
+
+    def __init__(self, lanes: int, most: int) -> None:
+        self.lanes = lanes
+        self.out = np.zeros((most, lanes), np.uint32)
+        self.low, self.range, self.at = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1), np.zeros(lanes, np.int64)
+
+    def take(self, lane: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.low[lane], self.range[lane], self.at[lane]
+
+    def give(self, lane: np.ndarray | slice, low: np.ndarray, size: np.ndarray, at: np.ndarray) -> None:
+        self.low[lane], self.range[lane], self.at[lane] = low, size, at
+
+    def shift(self, lane: np.ndarray, low: np.ndarray, size: np.ndarray, at: np.ndarray) -> None:
+        """Move windows whose range is small by one word (in place)."""
+        few = (size < LEAST).nonzero()[0]
+        if not len(few):
+            return
+        size[few] <<= 16
+        own, place = low[few], at[few]
+        if int(place.max()) + 2 > len(self.out):
+            self.out = np.concatenate([self.out, np.zeros_like(self.out)])
+        self.out.reshape(-1)[place * self.lanes + lane[few]] = own >> 32
+        low[few] = (own & MASK) << 16
+        at[few] = place + 1
 
     def close(self) -> list[bytes]:
-        everyone = np.arange(len(self.at))
-        for k in range(4):
-            self.shift(everyone, (self.low << (8 * k)) & _ALL)
-        return [self.out[i, :n].tobytes() for i, n in enumerate(self.at.tolist())]
+        self.out[self.at, np.arange(self.lanes)] = (self.low + MASK) >> 32
+        for k in range(int(self.at.max()), 0, -1):
+            self.out[k - 1] += self.out[k] >> 16
+        words = np.ascontiguousarray(self.out.T.astype("<u2"))
+        return [words[i, : n + 1].tobytes() for i, n in enumerate(self.at.tolist())]
+
 
+class _Reader(_Writer):
+    """The same windows, read: low is how far the code lies above the window's low end."""
 
-class _Reader(_Range):
     def __init__(self, codes: list[bytes]) -> None:
-        super().__init__(len(codes))
-        self.data = np.zeros((len(codes), max(map(len, codes)) + 8), np.uint8)
+        self.lanes, longest = len(codes), max(map(len, codes)) // 2 + 4
+        words = np.zeros((self.lanes, longest), np.uint16)
         for i, c in enumerate(codes):
-            self.data[i, : len(c)] = np.frombuffer(c, np.uint8)
-        self.at = np.full(len(codes), 4, np.int64)
-        self.value = (self.data[:, :4].astype(np.int64) * np.array([1 << 24, 1 << 16, 1 << 8, 1])).sum(axis=1)
-
-    def shift(self, ix: np.ndarray, low: np.ndarray) -> None:
-        at = np.minimum(self.at[ix], self.data.shape[1] - 1)
-        self.value[ix] = ((self.value[ix] << 8) & _ALL) | self.data[ix, at]
-        self.at[ix] += 1
-
-    def decide(self, ix: np.ndarray, middle: np.ndarray) -> np.ndarray:
-        return self.value[ix] <= middle
+            words[i, : len(c) // 2] = np.frombuffer(c, "<u2", len(c) // 2)
+        self.words = np.ascontiguousarray(words.T)
+        first = self.words[:3].astype(np.int64)
+        self.low, self.range, self.at = (first[0] << 32) | (first[1] << 16) | first[2], np.full(self.lanes, (1 << 48) - 1), np.full(self.lanes, 3)
 
-    def place(self, ix: np.ndarray, low: np.ndarray, step: np.ndarray, total: np.ndarray) -> np.ndarray:
-        return np.clip((self.value[ix] - low) // step, 0, total.astype(np.int64) - 1)  # a damaged code may point anywhere
+    def shift(self, lane: np.ndarray, low: np.ndarray, size: np.ndarray, at: np.ndarray) -> None:
+        few = (size < LEAST).nonzero()[0]
+        if len(few):
+            size[few] <<= 16
+            place = np.minimum(at[few], len(self.words) - 1)  # a damaged code may ask for more
+            low[few] = ((low[few] & MASK) << 16) | self.words.reshape(-1).take(place * self.lanes + lane[few])
+            at[few] = place + 1
 
 
 class _Model:
-    def __init__(self, lanes: int, nibbles: int) -> None:
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.predicted = np.zeros((2, lanes * SLOTS), np.int64 if nibbles > 7 else np.uint32)  # id and 3 bits of confidence; orders 2 and 1
-        self.trust = np.full((2, lanes * 32), 1 << 15, np.int64)  # input; by candidate's order, confidence, agreement
-        self.weight = np.full((2, lanes * 2), 26_000, np.int64)
-        self.sums = [np.tile(np.arange(1, 17, dtype=np.uint16), (lanes * c, 1)) for c in CONTEXTS[:nibbles]]
-
-    def hit(self, coder: _Range, ix: np.ndarray, order: np.ndarray, slots: list[np.ndarray], bits: np.ndarray | None) -> np.ndarray:
-        """Whether the candidate holds. order: 0 if order 2 gave it, else 1; slots: each order's confidence + 8 * agreement."""
-        own = ix * 2 + order
-        at = [own * 16 + s for s in slots]
-        p = [self.trust[k][a] for k, a in enumerate(at)]
-        st = [STRETCH[x >> 4] for x in p]
-        w = [self.weight[k][own] for k in range(2)]
-        mixed = SQUASH[np.clip((st[0] * w[0] + st[1] * w[1]) >> 16, -2048, 2047) + 2048]
-        bits = coder.bit(ix, mixed * 16, bits)
-        error = (bits.astype(np.int64) << 12) - mixed
-        for k in range(2):
-            self.weight[k][own] = np.clip(w[k] + ((st[k] * error * 6) >> 10), -400_000, 400_000)
-            self.trust[k][at[k]] = p[k] + (((bits * 65_535) - p[k]) >> 4)
-        return bits
-
-    def order0(self, coder: _Range, ix: np.ndarray, leading: np.ndarray | None) -> np.ndarray:
-        """Code the leading digits of ids that were not predicted."""
-        found = np.zeros(len(ix), np.int64)
-        for j, sums in enumerate(self.sums):
-            row = ix * CONTEXTS[j] + found
-            upto = sums[row]
-            symbol = coder.symbol(ix, upto, None if leading is None else (leading >> (4 * (len(self.sums) - 1 - j))) & 15)
-            upto += RAISED[symbol]
-            full = np.flatnonzero(upto[:, 15] > 4000)
-            if len(full):
-                counts = np.diff(upto[full], axis=1, prepend=np.uint16(0))
-                upto[full] = np.cumsum((counts >> 1) | 1, axis=1, dtype=np.uint16)
-            sums[row] = upto
-            found = (found << 4) | symbol
+    def __init__(self, lanes: int, bits: int) -> None:
+        kind = np.int64 if bits > 29 else np.uint32
+        self.lane = np.arange(lanes)
+        self.predicted = np.zeros(2 * lanes * SLOTS, kind)  # id and 3 bits of confidence; orders 2 and 1
+        both = np.stack([self.lane, lanes + self.lane])
+        self.base, self.trust_base, self.weight_base = both * SLOTS, both * 32, both * 2
+        self.trust = np.tile(TRUST, 2 * lanes)  # order; by candidate's order, agreement, confidence
+        self.weight = np.full(4 * lanes, 30_000, np.int64)  # order; by candidate's order
+        first = bits - 5 * max(0, -(-(bits - 6) // 5))
+        before = range(first, bits, 5)
+        self.digits = [_Digit(lanes, first, 0, RATES[0]), *(_Digit(lanes, 5, b, RATES[min(k, 2)]) for k, b in enumerate(before, 1))]
+
+    def held(self, m: int, none: np.ndarray, lower: np.ndarray, agree: np.ndarray, sure: np.ndarray) -> tuple:
+        """Probability (1/65536) that the candidate holds, and what learning from the answer needs."""
+        at = self.trust_base[:, :m] + (lower * 16 + agree * 8) + sure
+        own = self.weight_base[:, :m] + lower
+        p, w = self.trust.take(at), self.weight.take(own)
+        st = STRETCH.take(p >> 4)
+        parts = st * w
+        mixed = SQUASH.take((parts[0] + parts[1] >> 16) + REACH)
+        return np.where(none, 16, mixed << 4), (at, own, p, w, st, mixed)
+
+    def answered(self, bit: np.ndarray, state: tuple) -> None:
+        at, own, p, w, st, mixed = state
+        self.trust[at] = p + ((bit * 65_535 - p) >> 4)
+        w += (st * (((bit * 4096) - mixed) * 6)) >> 10
+        np.minimum(w, HEAVIEST, out=w)
+        self.weight[own] = np.maximum(w, -HEAVIEST, out=w)
+
+    def order0(self, coder: _Writer, lane: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+        """Code the ids of these lanes digit by digit."""
+        low, size, at = coder.take(lane)
+        found = np.zeros(len(lane), np.int64)
+        count, left = np.arange(len(lane)), sum(d.bits for d in self.digits)
+        for d in self.digits:
+            left -= d.bits
+            row = d.row(lane, found)
+            ends = d.ends.take(row, axis=0)
+            step = size >> 15
+            if ids is None:
+                place = np.minimum(low // step, TOTAL - 1).astype(np.int16)
+                digit = (ends <= place[:, None]).sum(axis=1) - 1
+            else:
+                digit = (ids >> left) & ((1 << d.bits) - 1)
+            cell = (count << d.bits) + digit
+            begin = ends.take(cell).astype(np.int64)
+            end = ends.take(cell + 1, mode="wrap")  # of the last symbol: the next row's first end, 0
+            below = step * begin
+            low = low - below if ids is None else low + below
+            size = step * ((end - begin) & (TOTAL - 1))
+            coder.shift(lane, low, size, at)
+            ends += (d.only.take(digit, axis=0) - ends) >> d.rate
+            d.ends[row] = ends
+            found = (found << d.bits) | digit
+        coder.give(lane, low, size, at)
         return found
 
-    def learn(self, order: int, at: np.ndarray, guess: np.ndarray, sure: np.ndarray, ids: np.ndarray) -> None:
-        """The slot's id gains confidence if it held; else it loses some, and gives way when it has none."""
-        stays = (guess == ids) & (sure > 0)
-        kept = stays | (sure > 1)
-        after = (np.where(kept, guess, ids) << 3) | np.where(stays, np.minimum(sure + 1, 7), np.maximum(sure >> 1, 1))
-        self.predicted[order][at] = after
-
-
-class _Plain:
-    """The trailing digits of ids that were not predicted: bytes beside the code, read lane by lane."""
-
-    def __init__(self, nibbles: int, data: list[bytes] | None = None) -> None:
-        self.bits = 4 * max(0, nibbles - len(CONTEXTS))
-        self.width = -(-self.bits // 8)
-        if data is not None:
-            self.at = np.zeros(len(data), np.int64)
-            self.data = np.zeros((len(data), max(map(len, data)) + 8), np.uint8)
-            for i, d in enumerate(data):
-                self.data[i, : len(d)] = np.frombuffer(d, np.uint8)
-
-    def take(self, ix: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ix), np.int64)
-        for k in range(self.width):
-            out |= self.data[ix, np.minimum(self.at[ix] + k, self.data.shape[1] - 1)].astype(np.int64) << (8 * k)
-        self.at[ix] += self.width
-        return out
-
-    def bytes_of(self, ids: np.ndarray) -> bytes:
-        low = ids.astype(np.int64) & ((1 << self.bits) - 1)
-        return np.stack([(low >> (8 * k)) & 255 for k in range(self.width)], axis=1).astype(np.uint8).tobytes() if self.width else b""
-
-
-def _run(coder: _Range, sizes: np.ndarray, nibbles: int, ids: np.ndarray, plain: _Plain, missed: np.ndarray | None) -> None:
-    """Code ids (steps x lanes, lanes by falling size), noting in missed which were not predicted; or, without missed, recover them."""
-    model = _Model(len(sizes), nibbles)
-    before, last = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+
+def _run(coder: _Writer, sizes: np.ndarray, bits: int, ids: np.ndarray, reads: bool) -> None:
+    """Code ids (steps x lanes, lanes by falling size), or recover them if the coder reads."""
+    lanes = len(sizes)
+    model = _Model(lanes, bits)
+    before, last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     alive = np.searchsorted(-sizes, -np.arange(len(ids)), side="left")
     for step, m in enumerate(alive.tolist()):
-        ix = model.lane[:m]
-        want = None if missed is None else ids[step, :m].astype(np.int64)
+        lane = model.lane[:m]
         one = last[:m] * 0x9E3779B1
-        at = [ix * SLOTS + (((one + before[:m] * 0x85EBCA6B) >> 15) & (SLOTS - 1)), ix * SLOTS + ((one >> 13) & (SLOTS - 1))]
-        held = [model.predicted[k][a].astype(np.int64) for k, a in enumerate(at)]
-        guess, sure = [h >> 3 for h in held], [h & 7 for h in held]
-        higher = sure[0] > 0
-        candidate = np.where(higher, guess[0], guess[1])
-        result = np.full(m, -1, np.int64)
-        live = np.flatnonzero(higher | (sure[1] > 0))
-        if len(live):
-            agree = 8 * (guess[0] == guess[1])[live]
-            own = candidate[live]
-            hit = model.hit(coder, live, (~higher[live]).astype(np.int64), [sure[0][live] + agree, sure[1][live] + agree], None if want is None else want[live] == own)
-            result[live[hit]] = own[hit]
-        rest = np.flatnonzero(result < 0)
+        at = np.empty((2, m), np.int64)
+        at[0] = (one + before[:m] * 0x85EBCA6B) >> 15
+        at[1] = one >> 13
+        at &= SLOTS - 1
+        at += model.base[:, :m]
+        known = model.predicted.take(at).astype(np.int64)
+        guess, sure = known >> 3, known & 7
+        lower = sure[0] == 0
+        none = lower & (sure[1] == 0)
+        candidate = np.where(lower, guess[1], guess[0])
+        p, state = model.held(m, none, lower.astype(np.int64), guess[0] == guess[1], sure)
+
+        low, size, place = coder.take(slice(0, m))
+        part = (size >> 16) * p
+        if reads:
+            bit = (low < part) & ~none
+            low = np.where(bit, low, low - part)
+            want = candidate.copy()
+        else:
+            want = ids[step, :m].astype(np.int64)
+            bit = (want == candidate) & ~none
+            low = np.where(bit, low, low + part)
+        size = np.where(bit, part, size - part)
+        coder.shift(lane, low, size, place)
+        coder.give(slice(0, m), low, size, place)
+        model.answered(bit, state)
+        rest = (~bit).nonzero()[0]
         if len(rest):
-            leading = model.order0(coder, rest, None if want is None else want[rest] >> plain.bits)
-            if want is None:
-                result[rest] = (leading << plain.bits) | plain.take(rest)
-            else:
-                missed[step, rest] = True
-                result[rest] = want[rest]
-        for k in range(2):
-            model.learn(k, at[k], guess[k], sure[k], result)
-        if want is None:
-            ids[step, :m] = result
-        before[:m], last[:m] = last[:m], result
+            got = model.order0(coder, rest, None if reads else want[rest])
+            if reads:
+                want[rest] = got
+
+        held = (guess == want) & (sure > 0)
+        stays = held | (sure > 1)
+        model.predicted[at] = (np.where(stays, guess, want) << 3) | SURER.take(sure + 8 * held)
+        if reads:
+            ids[step, :m] = want
+        before[:m], last[:m] = last[:m], want
 
 
-def nibbles_for(largest: int) -> int:
-    return max(1, (max(largest, 1).bit_length() + 3) // 4)
+def bits_for(largest: int) -> int:
+    return max(1, largest.bit_length())
 
 
-def encode_blocks(blocks: list[np.ndarray], nibbles: int, lanes: int = 2048) -> list[bytes]:
-    """Each block of ids (uint32) as self-contained bytes. All ids must fit in `nibbles` hexadecimal digits."""
+def encode_blocks(blocks: list[np.ndarray], bits: int, lanes: int = 2048) -> list[bytes]:
+    """Each block of ids (uint32) as self-contained bytes. All ids must fit in `bits` bits."""
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     for begin in range(0, len(order), lanes):
@@ -236,11 +237,10 @@ def encode_blocks(blocks: list[np.ndarray], nibbles: int, lanes: int = 2048) ->
         ids = np.zeros((int(sizes[0]), len(some)), np.uint32)
         for lane, i in enumerate(some):
             ids[: len(blocks[i]), lane] = blocks[i]
-        coder, plain, missed = _Writer(len(some), 2 * int(sizes[0]) + 64), _Plain(nibbles), np.zeros(ids.shape, bool)
-        _run(coder, sizes, nibbles, ids, plain, missed)
-        for lane, (i, code) in enumerate(zip(some, coder.close())):
-            beside = plain.bytes_of(ids[missed[:, lane], lane])
-            out[i] = HEAD.pack(MAGIC, len(blocks[i]), zlib.crc32(blocks[i].astype("<u4").tobytes()), nibbles, len(beside)) + beside + code
+        coder = _Writer(len(some), int(sizes[0]) + 8)
+        _run(coder, sizes, bits, ids, False)
+        for i, code in zip(some, coder.close()):
+            out[i] = HEAD.pack(MAGIC, len(blocks[i]), zlib.crc32(blocks[i].astype("<u4").tobytes()), bits) + code
     return out
 
 
@@ -252,14 +252,13 @@ def decode_blocks(coded: list[bytes], lanes: int = 2048) -> list[np.ndarray]:
         if len(c) < HEAD.size or c[:4] != MAGIC:
             raise ValueError("not a block of this format")
         heads.append(HEAD.unpack_from(c))
-    for nibbles in sorted({h[3] for h in heads}):
-        order = sorted((i for i, h in enumerate(heads) if h[3] == nibbles), key=lambda i: -heads[i][1])
+    for bits in sorted({h[3] for h in heads}):
+        order = sorted((i for i, h in enumerate(heads) if h[3] == bits), key=lambda i: -heads[i][1])
         for begin in range(0, len(order), lanes):
             some = order[begin : begin + lanes]
             sizes = np.array([heads[i][1] for i in some])
             ids = np.zeros((int(sizes[0]), len(some)), np.uint32)
-            plain = _Plain(nibbles, [coded[i][HEAD.size : HEAD.size + heads[i][4]] for i in some])
-            _run(_Reader([coded[i][HEAD.size + heads[i][4] :] for i in some]), sizes, nibbles, ids, plain, None)
+            _run(_Reader([coded[i][HEAD.size :] for i in some]), sizes, bits, ids, True)
             for lane, i in enumerate(some):
                 out[i] = np.ascontiguousarray(ids[: heads[i][1], lane])
                 if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][2]:

@@ -11,7 +11,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = 1 << 12
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -21,14 +21,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_known_powers: dict[np.uint64, np.ndarray] = {}
 
 
-_LOW = _powers(_POWERS, _ODD)
-_STEP = (_LOW[-1:] * _ODD)[0]
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    """The base's first n powers or more, modulo 2 ** 64; those of an ordinary piece of text are kept."""
+    if len(_known_powers.get(base, ())) >= n:
+        return _known_powers[base]
+    out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+    out[0] = 1
+    out = np.cumprod(out, dtype=np.uint64)
+    if n <= 1 << 21:
+        _known_powers[base] = out
+    return out
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,15 +64,12 @@ def word_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     """A 64-bit hash of each word (A-Z lower-cased if lower)."""
     if not len(start):
         return np.empty(0, dtype=np.uint64)
-    size = end - start
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    local = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
-    data = body[np.repeat(start, size) + local]
-    value = (_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
-    value *= _LOW[local & (_POWERS - 1)]
-    if size.max() > _POWERS:
-        value *= _powers(int(size.max()) // _POWERS + 1, _STEP)[local // _POWERS]
-    return mixed(np.add.reduceat(value, first) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    # running sums of byte * power: the difference at a word's borders, divided by the power at its start, is the word's own sum
+    sums = np.zeros(len(body) + 1, dtype=np.uint64)
+    value = (_LOWER[body] if lower else body).astype(np.uint64) + np.uint64(1)
+    np.cumsum(value * _powers(len(body), _ODD)[: len(body)], out=sums[1:])
+    own = (sums[end] - sums[start]) * _powers(len(body), _INVERSE)[start]
+    return mixed(own + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,15 +7,17 @@ store that Spark writes will do. A block's row holds the coded bytes, with their
 segments in it; so every row can be decoded alone, and only a document that crosses a border needs two.
 
 The tokenizer is asked once for each distinct word of a task (white space always ends a token, and is dropped), which
-gives the ids of the whole text.
+gives the ids of the whole text. Its special tokens keep their ids inside a text, as the library has it by default.
 
-Defined results: null and empty texts have only the end id; documents with null doc_id come first; repeated rows are
-written each for itself, in the order of their texts' hashes; an empty table gives an empty result.
+Defined results: null and empty texts have only the end id; documents with null doc_id come first; repeated rows and
+rows of one doc_id are written each for itself, in the order of their texts' hashes; a text of any length runs over as
+many blocks as it needs; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,9 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches, whole_text
-from .mixcoder import decode_blocks, encode_blocks, nibbles_for
+from .mixcoder import decode_blocks, encode_blocks, bits_for
 from .shingles import pieces, text_bytes, word_hashes, words
 
+#: Letters that case and normal forms turn into letters, and one sign that stands apart.
+PLAIN_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+([.,;:!?]?)")
 BLOCK = 4096
 #: Blocks that a task codes together; it holds so many of them at once.
 TOGETHER = 2048
@@ -35,17 +39,53 @@ _loaded: dict[str, object] = {}
 
 
 class _Words:
-    """Ids of words, each asked of the tokenizer once; forgotten when there are too many."""
+    """Ids of words, each asked of the tokenizer once; forgotten when there are too many.
 
-    def __init__(self, path: str, most: int = 250_000) -> None:
+    Words are known by their hashes, which are kept sorted beside the place and number of their ids in one array.
+    """
+
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[int, np.ndarray] = {}
         self.most = most
         self.largest = self.tokenizer.get_vocab_size(with_added_tokens=True) - 1
+        self.closes = np.zeros(self.largest + 1, bool)  # ids at the end of a pre-token
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.begin, self.size, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def _asked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words in some order, and where each word's begin and how many they are.
+
+        Words of letters, with one stop or comma at most, have one or two pre-tokens: they are asked together, and cut
+        where their pre-tokens end. All others are asked one by one.
+        """
+        plain = [PLAIN_WORD.fullmatch(w) for w in words]
+        easy = [i for i, m in enumerate(plain) if m]
+        hard = [i for i, m in enumerate(plain) if not m]
+        parts, sizes, order = [], [], []
+        for begin in range(0, len(easy), 500):
+            some = easy[begin : begin + 500]
+            joined = self.tokenizer.encode_batch_fast([" ".join(words[i] for i in some)], add_special_tokens=False)[0]
+            ids = np.array(joined.ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            upto = np.cumsum([2 if plain[i].end(1) > plain[i].start(1) else 1 for i in some])
+            if len(ends) != upto[-1]:
+                hard += some
+                continue
+            parts.append(ids)
+            sizes.append(np.diff(ends[upto - 1], prepend=0))
+            order += some
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in hard], add_special_tokens=False)]
+        parts += [np.array(ids, dtype=np.uint32) for ids in alone]
+        sizes.append(np.array([len(ids) for ids in alone], dtype=np.int64))
+        place = np.argsort(order + hard)  # of each word among those asked
+        size = np.concatenate(sizes)
+        return np.concatenate(parts) if parts else self.flat[:0], (np.cumsum(size) - size)[place], size[place]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, one after another, and the n + 1 offsets."""
@@ -53,22 +93,26 @@ class _Words:
         start, end, first = words(body, at)
         if not len(start):
             return np.empty(0, np.uint32), np.zeros(len(at), np.int64)
-        distinct, sample, which = np.unique(word_hashes(body, start, end), return_index=True, return_inverse=True)
-        if len(self.known) > self.most:
-            self.known.clear()
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        asked = [body[start[sample[i]] : end[sample[i]]].tobytes().decode() for i in new]
-        for i, e in zip(new, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)):
-            self.known[keys[i]] = np.array(e.ids, dtype=np.uint32)
-        lists = [self.known[k] for k in keys]
-        size = np.array([len(x) for x in lists])
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        flat = np.concatenate(lists)
-        n = size[which]
+        hashes = word_hashes(body, start, end)  # the tokenizer lower-cases all but its special tokens, "<|...|>"
+        marked = np.flatnonzero((body[:-1] == ord("<")) & (body[1:] == ord("|")))
+        if len(marked):
+            own = np.unique(np.searchsorted(start, marked, "right") - 1)
+            hashes[own] = word_hashes(body, start[own], end[own], lower=False) ^ np.uint64(1)
+        distinct, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) > self.most:
+            self.forget()
+        place = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), bool)
+        new[place < len(self.keys)] = self.keys[place[place < len(self.keys)]] != distinct[place < len(self.keys)]
+        if new.any():
+            flat, begin, size = self._asked([body[start[i] : end[i]].tobytes().decode() for i in sample[new].tolist()])
+            begin += len(self.flat)
+            self.keys, self.begin, self.size = (np.insert(old, place[new], x) for old, x in ((self.keys, distinct[new]), (self.begin, begin), (self.size, size)))
+            self.flat = np.concatenate([self.flat, flat])
+            place = np.searchsorted(self.keys, distinct)
+        n, begin = self.size[place][which], self.begin[place][which]
         upto = np.concatenate([[0], np.cumsum(n)])
-        place = np.arange(upto[-1]) - np.repeat(upto[:-1] - begin[which], n)
-        return flat[place], upto[first]
+        return self.flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], n)], upto[first]
 
 
 def _words(path: str) -> _Words:
@@ -92,7 +136,7 @@ BLOCK_SCHEMA = "part int, block bigint, n_ids bigint, payload binary, segments a
 def _written(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Sorted documents of whole parts -> block rows."""
     tokens = _words(path)
-    nibbles = nibbles_for(max(tokens.largest, end_id))
+    bits = bits_for(max(tokens.largest, end_id))
     part, ids, doc, size = None, [], [], []
     block = row = at = 0  # at: place in the part
 
@@ -102,7 +146,7 @@ def _written(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Itera
         upto = np.concatenate([[0], np.cumsum(np.array(size, dtype=np.int64))])
         full = len(stream) if last else len(stream) // BLOCK * BLOCK
         cuts = list(range(0, full, BLOCK))
-        coded = encode_blocks([stream[c : min(c + BLOCK, full)] for c in cuts], nibbles, TOGETHER)
+        coded = encode_blocks([stream[c : min(c + BLOCK, full)] for c in cuts], bits, TOGETHER)
         out = []
         for c, code in zip(cuts, coded):
             e = min(c + BLOCK, full)

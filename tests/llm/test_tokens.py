@@ -56,26 +56,33 @@ def test_bpe_edge_cases(messy, nothing):
 @given(st.lists(st.lists(st.integers(0, 65_535) | st.integers(0, 4), max_size=60), max_size=6))
 def test_range_coder_round_trip(blocks):
     arrays = [np.array(b, dtype=np.uint32) for b in blocks]
-    back = mixcoder.decode_blocks(mixcoder.encode_blocks(arrays, 4, lanes=4), lanes=3)
+    back = mixcoder.decode_blocks(mixcoder.encode_blocks(arrays, 16, lanes=4), lanes=3)
     assert [b.tolist() for b in back] == blocks
 
 
 def test_range_coder_compresses_and_checks(documents):
     ids = np.tile(np.random.RandomState(0).randint(0, 49_000, 200), 20).astype(np.uint32)
-    code = mixcoder.encode_blocks([ids], 4)[0]
+    code = mixcoder.encode_blocks([ids], 16)[0]
     assert len(code) < len(ids) and mixcoder.decode_blocks([code])[0].tolist() == ids.tolist()
     for at in (5, 30, len(code) // 2):
         with pytest.raises(ValueError):
             mixcoder.decode_blocks([code[:at] + bytes([code[at] ^ 64]) + code[at + 1 :]])
     big = np.array([0, 1 << 20, (1 << 32) - 1], dtype=np.uint32)
-    assert mixcoder.decode_blocks(mixcoder.encode_blocks([big], 8))[0].tolist() == big.tolist()
+    assert mixcoder.decode_blocks(mixcoder.encode_blocks([big], 32))[0].tolist() == big.tolist()
+
+
+def test_every_digit_is_modelled():
+    """Ids that no context predicts cost what their own frequencies say, in all digits."""
+    rnd = np.random.RandomState(1)
+    few = rnd.randint(0, 49_000, 64).astype(np.uint32)
+    ids = few[rnd.randint(0, 64, 4096)]
+    assert len(mixcoder.encode_blocks([ids], 16)[0]) < 1.15 * len(ids)  # 0.75 bytes an id at best, 2 uncoded
 
 
 def expected(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     start, out = 0, []
     for i, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -90,7 +97,7 @@ def test_token_files_equal_library(spark, documents):
 
 
 def test_token_files_edge_cases(spark, messy, nothing, tmp_path):
-    odd = [(20 + i, t, "s") for i, t in enumerate(["don't  STOP now", "é É ǅ İ ſ", "a b　c", "it's <|endoftext|> 'll 12345", "ΑΣ ΑΣ. ẞ\x00\x1c\x85x"])]
+    odd = [(20 + i, t, "s") for i, t in enumerate(["don't  STOP now", "é É ǅ İ ſ", "a b　c", "it's <|endoftext|> 'll 12345", "a<|endoftext|>b<|startoftext|> <|ENDOFTEXT|> <|EndOfText|>x <|<|endoftext|> end<|", "Foo, foo. FOO; foo! ﬁne Åse áb İx Ĳ, naïve? straße:", "ΑΣ ΑΣ. ẞ\x00\x1c\x85x"])]
     rows = spark.createDataFrame([(i, t) for i, t, _ in odd], "doc_id bigint, text string").unionByName(messy.select("doc_id", "text"))
     tokenfile.write(rows, str(tmp_path / "a"), WORDS, rows_per_part=4)
     got = tokenfile.read(spark.read.schema(tokenfile.BLOCK_SCHEMA).parquet(str(tmp_path / "a"))).collect()
