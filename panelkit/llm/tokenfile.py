@@ -127,10 +127,10 @@ BLOCK_ROW = pa.schema(
         ("block", pa.int64()),
         ("n_ids", pa.int64()),
         ("payload", pa.binary()),
-        ("segments", pa.list_(pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("whole", pa.bool_())]))),
+        ("segments", pa.list_(pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("first", pa.bool_()), ("last", pa.bool_())]))),
     ]
 )
-BLOCK_SCHEMA = "part int, block bigint, n_ids bigint, payload binary, segments array<struct<doc_id: bigint, row: bigint, at: bigint, n: bigint, whole: boolean>>"
+BLOCK_SCHEMA = "part int, block bigint, n_ids bigint, payload binary, segments array<struct<doc_id: bigint, row: bigint, at: bigint, n: bigint, first: boolean, last: boolean>>"
 
 
 def _written(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,8 @@ def _written(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Itera
             segments = []
             for d in range(a, b):
                 s, t = max(int(upto[d]), c), min(int(upto[d + 1]), e)
-                segments.append({"doc_id": doc[d][0], "row": doc[d][1], "at": at + s, "n": t - s, "whole": t - s == doc[d][2]})
+                left = doc[d][2] - size[d]  # written with earlier blocks
+                segments.append({"doc_id": doc[d][0], "row": doc[d][1], "at": at + s, "n": t - s, "first": left + s == int(upto[d]), "last": t == int(upto[d + 1])})
             out.append({"part": part, "block": block, "n_ids": e - c, "payload": code, "segments": segments})
             block += 1
         if out:
@@ -194,29 +195,62 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, rows_per_
     ordered.mapInArrow(lambda b: _written(b, tokenizer, end_id), BLOCK_SCHEMA).write.parquet(path)
 
 
+class _Joiner:
+    """Documents out of segments in order: those that begin and end here as one row, the rest as pieces of raw ids."""
+
+    def __init__(self) -> None:
+        self.out: list[tuple] = []
+        self.open: list[tuple] = []  # (part, segment, raw ids) of a document that has begun here
+
+    def give_up(self) -> None:
+        self.out += [(part, s["row"], s["doc_id"], s["at"], s["n"], None, piece) for part, s, piece in self.open]
+        self.open = []
+
+    def add(self, part: int, s: dict, piece: bytes) -> None:
+        if self.open:
+            before_part, before, _ = self.open[-1]
+            if s["first"] or (before_part, before["row"], before["at"] + before["n"]) != (part, s["row"], s["at"]):
+                self.give_up()
+        if not s["first"] and not self.open:
+            self.out.append((part, s["row"], s["doc_id"], s["at"], s["n"], None, piece))
+            return
+        self.open.append((part, s, piece))
+        if s["last"]:
+            crc = 0
+            for _, _, x in self.open:
+                crc = zlib.crc32(x, crc)
+            self.out.append((part, s["row"], s["doc_id"], self.open[0][1]["at"], sum(x["n"] for _, x, _ in self.open), crc, None))
+            self.open = []
+
+    def rows(self) -> pa.RecordBatch:
+        columns = list(zip(*self.out)) if self.out else [[]] * 7
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        self.out = []
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "row", "doc_id", "at", "n", "crc", "piece"])
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    joiner = _Joiner()
     for batch in batches:
         for begin in range(0, len(batch), TOGETHER):
             some = batch.slice(begin, TOGETHER)
             ids = decode_blocks(some.column("payload").to_pylist(), TOGETHER)
-            out = []
             for part, own, segments in zip(some.column("part").to_pylist(), ids, some.column("segments").to_pylist()):
                 data, place = own.astype("<u4").tobytes(), 0
                 for s in segments:
-                    piece = data[4 * place : 4 * (place + s["n"])]
+                    joiner.add(part, s, data[4 * place : 4 * (place + s["n"])])
                     place += s["n"]
-                    out.append((part, s["row"], s["doc_id"], s["at"], s["n"], zlib.crc32(piece) if s["whole"] else None, None if s["whole"] else piece.hex()))
-            columns = list(zip(*out)) if out else [[]] * 7
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "row", "doc_id", "at", "n", "crc", "piece"])
+            yield joiner.rows()
+    joiner.give_up()
+    yield joiner.rows()
 
 
 def read(files: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    segments = files.mapInArrow(_read, "part int, row bigint, doc_id bigint, at bigint, n bigint, crc bigint, piece string")
+    segments = files.mapInArrow(_read, "part int, row bigint, doc_id bigint, at bigint, n bigint, crc bigint, piece binary")
     segments = cut(segments)
     whole = segments.where("crc is not null").select("part", "doc_id", "at", "n", "crc")
-    joined = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), ""))
+    joined = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("piece").alias("piece")))), lambda x: x["piece"]), ""))
     split = segments.where("crc is null").groupBy("part", "row").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n"), F.crc32(joined).alias("crc")).select("part", "doc_id", "at", "n", "crc")
     # one row a part: as many as the writer had tasks
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))

@@ -110,3 +110,17 @@ def test_token_files_edge_cases(spark, messy, nothing, tmp_path):
     assert known == sorted(known)
     tokenfile.write(nothing, str(tmp_path / "b"), WORDS)
     assert tokenfile.read(spark.read.schema(tokenfile.BLOCK_SCHEMA).parquet(str(tmp_path / "b"))).count() == 0
+
+
+def test_documents_over_a_reader_border_go_as_pieces():
+    seg = lambda row, at, n, first, last: {"doc_id": row, "row": row, "at": at, "n": n, "first": first, "last": last}
+    joiner = tokenfile._Joiner()
+    joiner.add(0, seg(1, 10, 1, False, True), b"tail")  # began in another task
+    joiner.add(0, seg(2, 11, 2, True, False), b"one-")
+    joiner.add(0, seg(2, 13, 1, False, True), b"two")
+    joiner.add(0, seg(3, 14, 1, True, True), b"whole")
+    joiner.add(0, seg(4, 15, 1, True, False), b"head")  # ends in another task
+    joiner.add(1, seg(0, 0, 1, True, True), b"next part")
+    joiner.give_up()
+    got = [(r["part"], r["row"], r["at"], r["n"], r["crc"], r["piece"]) for r in joiner.rows().to_pylist()]
+    assert got == [(0, 1, 10, 1, None, b"tail"), (0, 2, 11, 3, zlib.crc32(b"one-two"), None), (0, 3, 14, 1, zlib.crc32(b"whole"), None), (0, 4, 15, 1, None, b"head"), (1, 0, 0, 1, zlib.crc32(b"next part"), None)]
