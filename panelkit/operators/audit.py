@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_format, parse_date
 from ..functions.numbers import to_number
-from . import series
+from . import quantiles, series
 
 PRICES = ("min_price", "max_price", "modal_price")
 #: Flags by severity.
@@ -17,9 +17,9 @@ WARNING = ("C2_nonstandard_names", "C3_extra_cols", "D4_mixed_date_formats", "P3
 
 def outlier_bounds(rows: DataFrame, keys: list[str], value: str, factor: float = 3.0, least: int = 4) -> DataFrame:
     """keys, n_outliers: values beyond `factor` interquartile ranges from the quartiles, in groups of `least` or more."""
-    fences = rows.groupBy(*keys).agg(F.count(value).alias("_n"), F.percentile(value, F.lit(0.25)).alias("_a"), F.percentile(value, F.lit(0.75)).alias("_b"))
+    fenced = quantiles.of_groups(rows.select(*keys, value), keys, value, {"_a": 0.25, "_b": 0.75})
     far = (F.col(value) < F.col("_a") - factor * (F.col("_b") - F.col("_a"))) | (F.col(value) > F.col("_b") + factor * (F.col("_b") - F.col("_a")))
-    return rows.join(fences, keys).groupBy(*keys).agg(F.count_if((F.col("_n") >= least) & far).alias("n_outliers"))
+    return fenced.groupBy(*keys).agg(F.count_if((F.col("_n") >= least) & far).alias("n_outliers"))
 
 
 def jumps(rows: DataFrame, keys: list[str], order: list[str], value: str, factor: float = 3.0, least: int = 5) -> DataFrame:

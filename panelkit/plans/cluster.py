@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from ..functions.stats import ratio
+from ..operators import quantiles
 
 
 def merge(anchor: DataFrame, *others: DataFrame, key: str) -> DataFrame:
@@ -52,8 +53,8 @@ def flag_rows(df: DataFrame, features: list[str], most: float = 0.30) -> DataFra
 
 
 def impute_medians(df: DataFrame, features: list[str]) -> DataFrame:
-    medians = df.agg(*[F.median(c).alias(c) for c in features]).first().asDict()
-    return df.fillna({c: float(v) for c, v in medians.items() if v is not None})
+    medians = quantiles.of_columns(df, features, 0.5)
+    return df.fillna(medians) if medians else df
 
 
 def variation(df: DataFrame, features: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelkit import resolve
 from panelkit.functions import dates, numbers, stats
 from panelkit.functions.rates import INFLATION
-from panelkit.operators import audit, breaks, dedupe, gaps, geo, lookup, series, spi, validate
+from panelkit.operators import audit, breaks, dedupe, gaps, geo, lookup, quantiles, series, spi, validate
 from panelkit.plans import apy, cluster, price, weather
 
 
@@ -339,3 +339,19 @@ def test_daily_weather_keeps_days_that_all_series_have(spark):
     rain = series_of(("a", "2020-02-29", -0.5), ("a", "2020-03-01", 1.0), ("a", "2020-03-02", 2.0))
     got = weather.daily_weather(tmax, tmin, rain, "entity").orderBy("date").collect()
     assert [(r.day, r.tmax, r.tmin, r.tmean, r.rainfall) for r in got] == [(29, 30.0, 10.0, 20.0, 0.0), (2, None, 9.0, None, 2.0)]
+
+
+def test_quantiles_equal_numpy(spark):
+    rnd = np.random.RandomState(1)
+    x = [rnd.normal(size=3000), np.round(rnd.normal(size=3000), 1), np.repeat(7.0, 3000)]
+    rows = [(i % 4, *(None if (i + k) % 5 == 0 else float(v[i]) for k, v in enumerate(x)), None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double, none double")
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        got = quantiles.of_columns(df, ["a", "b", "c", "none"], q, accuracy=50)
+        want = {c: np.quantile([r[j] for r in rows if r[j] is not None], q) for j, c in ((1, "a"), (2, "b"), (3, "c"))}
+        assert set(got) == set(want) and all(math.isclose(got[c], want[c], abs_tol=1e-12) for c in want)
+    assert quantiles.of_columns(df.where("k > 9"), ["a"], 0.5) == {} and quantiles.of_columns(df, [], 0.5) == {}
+    by = {r.k: (r.q1, r.n) for r in quantiles.of_groups(df.select("k", "a"), ["k"], "a", {"q1": 0.25}, "n").select("k", "q1", "n").distinct().collect()}
+    for k, (q1, n) in by.items():
+        own = [r[1] for r in rows if r[0] == k and r[1] is not None]
+        assert n == len(own) and math.isclose(q1, np.quantile(own, 0.25), abs_tol=1e-12)
