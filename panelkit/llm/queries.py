@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, classifier, langid, licenses, mixing, neardup, quality, secrets, tokenfile
+from . import ann, bpe, classifier, langid, licenses, mixing, neardup, quality, secrets, tokenfile, whitening
 from .common import cut, shared_folder
 
 
@@ -138,6 +138,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark.read.schema(tokenfile.BLOCK_SCHEMA).parquet(path))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=4)
+
+
 NEAR_DEDUP_SQL = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -163,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_token_files": op10_token_files,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLE: dict[str, str] = {
