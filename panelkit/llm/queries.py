@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, classifier, langid, licenses, mixing, neardup, quality, secrets, tokenfile, whitening
+from . import ann, bpe, classifier, langid, licenses, mixing, neardup, prefixtrie, quality, secrets, tokenfile, whitening
 from .common import cut, shared_folder
 
 
@@ -142,6 +142,31 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=4)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_tree(_table(spark, sf_dir, "conversations"))
+
+
+PREFIX_TRIE_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS txt,
+       row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+       lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 4 AS h FROM t GROUP BY conv_id),
+m AS (SELECT n.conv_id, n.h, least(n.h, coalesce(b.n, 0)) AS m FROM n LEFT JOIN n b ON b.conv_id = n.conv_id - n.conv_id % 20),
+r AS (SELECT conv_id, pos - h + m AS d, role, txt FROM t JOIN m USING (conv_id) WHERE pos > h
+      UNION ALL SELECT m.conv_id, t.pos, t.role, t.txt FROM m JOIN t ON t.conv_id = m.conv_id - m.conv_id % 20 AND t.pos <= m.h),
+p AS (SELECT conv_id, d, len(regexp_extract_all(txt, '[^\x20\x09-\x0D]+')) AS words,
+             md5(string_agg(length(role) || ':' || role || length(txt) || ':' || txt, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d)) AS k FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM n),
+q AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY d) AS par, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM p),
+g AS (SELECT k, d, any_value(par) AS par, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM q GROUP BY k, d),
+c AS (SELECT par, count(*) AS n FROM g WHERE par IS NOT NULL GROUP BY par),
+o AS (SELECT g.*, coalesce(c.n, 0) AS n_children FROM g LEFT JOIN c ON c.par = g.k),
+s AS (SELECT q.k, sum((o.n_convs - 1) * o.words) AS saved, count(*) FILTER (WHERE o.n_children = 0) AS leaves FROM o JOIN q ON q.conv_id = o.conv_id AND q.d <= o.d GROUP BY q.k)
+SELECT o.conv_id, o.d::BIGINT AS depth, u.conv_id AS parent_conv_id, o.n_convs::BIGINT AS n_convs, o.n_children::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, o.ends_sha256
+FROM o JOIN s USING (k) LEFT JOIN o u ON u.k = o.par"""
+
+
 NEAR_DEDUP_SQL = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -168,6 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_token_files": op10_token_files,
     "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
@@ -175,4 +201,5 @@ ORACLE: dict[str, str] = {
     "op4_quality_rules": _quality_sql(),
     "op5_mixing": MIXING_SQL,
     "op8_minhash_near_dedup": NEAR_DEDUP_SQL,
+    "op12_prefix_trie": PREFIX_TRIE_SQL,
 }
