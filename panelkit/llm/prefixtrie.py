@@ -36,9 +36,11 @@ from .common import WORD, cut, discard, salted_left_join
 
 #: Turns numbered, and summed, in one window group.
 SPAN = 1024
-BATCHES = 3
+BATCHES = 2
 #: Each batch but the last holds one in FEWER of what the next ones hold.
-FEWER = 4
+FEWER = 8
+#: Rows of paths in a partition.
+PATHS = 500_000
 P = ["p1", "p2"]
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
@@ -123,11 +125,12 @@ class Trie:
             batch = F.when(dealt >= FEWER ** (b - 1), F.lit(b)).otherwise(batch)
         self.keys = cut(self.ends.groupBy(*P, "len").agg(F.min("conv_id").alias("key"), F.count("*").alias("n")).withColumn("batch", batch))
         owners = self.keys.select(F.col("key").alias("conv_id"), "batch")
-        turns = prefix.join(owners, "conv_id").select(F.col("conv_id").alias("key"), "depth", "p1", "p2", "q1", "q2", "upto", "batch")
+        turns = prefix.join(owners.hint("shuffle_hash"), "conv_id").select(F.col("conv_id").alias("key"), "depth", "p1", "p2", "q1", "q2", "upto", "batch")
         zero = F.lit(0).cast("long")
         tops = self.keys.select("key", zero.alias("depth"), *[zero.alias(c) for c in ("p1", "p2", "q1", "q2", "upto")], "batch")
-        spread = prefix.sparkSession.conf.get("spark.sql.shuffle.partitions")
-        self.paths = turns.unionByName(tops).repartition(int(spread), "key", "depth").persist()
+        rows = self.ends.agg(F.sum(F.col("len") + 1)).first()[0] or 0
+        spread = max(-(-rows // PATHS), min(prefix.sparkSession.sparkContext.defaultParallelism, 1 + rows // 10_000))
+        self.paths = turns.unionByName(tops).repartition(spread, "key", "depth").persist()
         self.nodes: DataFrame | None = None
 
     def build(self) -> DataFrame:
@@ -144,7 +147,8 @@ class Trie:
     def at(self, rows: DataFrame, key: str, depth: str, **names: str) -> DataFrame:
         """rows with columns of the path of `key` at `depth`."""
         path = self.paths.select(F.col("key").alias("_k"), F.col("depth").alias("_d"), *[F.col(c).alias(n) for n, c in names.items()])
-        return rows.join(path, (F.col(key) == F.col("_k")) & (F.col(depth) == F.col("_d"))).drop("_k", "_d")
+        # the paths stay where they are; the rows are sent to them
+        return rows.hint("shuffle_hash").join(path, (F.col(key) == F.col("_k")) & (F.col(depth) == F.col("_d"))).drop("_k", "_d")
 
     def locate(self, batch: DataFrame) -> DataFrame:
         """key, match (turns that it shares with the trie), inside (whether that is inside an edge)."""
@@ -154,7 +158,7 @@ class Trie:
         done = None
         while True:
             going = self.at(state.where("lo < hi").withColumn("f", two_fattest(F.col("lo"), F.col("hi"))), "key", "f", h1="p1", h2="p2")
-            met = going.join(handles, ["h1", "h2"], "left")
+            met = going.join(handles.hint("shuffle_hash"), ["h1", "h2"], "left")
             hit = F.col("f_depth").isNotNull()
             moved = met.select(
                 "key", "len", F.when(hit, F.least("f_depth", "hi")).otherwise(F.col("lo")).alias("lo"), F.when(hit, F.col("hi")).otherwise(F.col("f") - 1).alias("hi"),
@@ -166,12 +170,12 @@ class Trie:
             if state.isEmpty():
                 break
         found = done.withColumn("t", F.least("t_depth", "len"))
-        found = self.at(found, "key", "t", x1="p1", x2="p2").withColumn("through", (F.col("x1") == F.col("t_p1")) & (F.col("x2") == F.col("t_p2")))
+        found = cut(self.at(found, "key", "t", x1="p1", x2="p2").withColumn("through", (F.col("x1") == F.col("t_p1")) & (F.col("x2") == F.col("t_p2"))))
         within = found.where("not through").select("key", "len", *[F.col(f"t_{c}").alias(c) for c in ("depth", "up")], F.col("t_key").alias("other"))
         # through the node: on to its child by the next turn, where there is one
         ended = found.where("through and t_depth = len").select("key", F.col("len").alias("match"), F.lit(False).alias("inside"))
         names = self.nodes.where("up >= 0").select("e1", "e2", F.col("depth").alias("f_depth"), F.col("up").alias("f_up"), F.col("key").alias("other"))
-        more = self.at(found.where("through and t_depth < len").withColumn("next", F.col("t_depth") + 1), "key", "next", e1="p1", e2="p2").join(names, ["e1", "e2"], "left")
+        more = self.at(found.where("through and t_depth < len").withColumn("next", F.col("t_depth") + 1), "key", "next", e1="p1", e2="p2").join(names.hint("shuffle_hash"), ["e1", "e2"], "left")
         apart = more.where("other is null").select("key", F.col("t_depth").alias("match"), F.lit(False).alias("inside"))
         within = within.unionByName(more.where("other is not null").select("key", "len", F.col("f_depth").alias("depth"), F.col("f_up").alias("up"), "other"))
         # along the edge, turn by turn, as far as both paths agree
@@ -184,7 +188,7 @@ class Trie:
 
     def insert(self, batch: DataFrame, exits: DataFrame, b: int) -> None:
         """Nodes of all batches up to b."""
-        mine = self.paths.where(F.col("batch") == b).join(exits, "key")
+        mine = self.paths.where(F.col("batch") == b).join(exits.hint("shuffle_hash"), "key")
         split = mine.where("inside and depth = match").select(*P, "depth")
         parting = mine.where("depth > match + 1").groupBy("q1", "q2", "depth").agg(F.min(F.struct(*P)).alias("least"), F.max(F.struct(*P)).alias("most"))
         parting = parting.where("least <> most").select(F.col("q1").alias("p1"), F.col("q2").alias("p2"), (F.col("depth") - 1).alias("depth"))
@@ -205,7 +209,7 @@ class Trie:
 
     def _marks(self, explicit: DataFrame, b: int) -> DataFrame:
         """The nodes on each key's path: key, depth, p1, p2, up, u1, u2 (the node above), upto, above (words up to the node above)."""
-        on = salted_left_join(self.paths.where(F.col("batch") <= b).drop("batch", "q1", "q2"), explicit.select(*P, F.lit(True).alias("is_node")), P, F.col("key")).where("is_node")
+        on = salted_left_join(self.paths.where(F.col("batch") <= b).drop("batch", "q1", "q2"), explicit.select(*P, F.lit(True).alias("is_node")).hint("shuffle_hash"), P, F.col("key")).where("is_node")
         w = Window.partitionBy("key").orderBy("depth")
         lag = lambda c, none: F.coalesce(F.lag(c).over(w), F.lit(none).cast("long"))
         return on.select("key", "depth", *P, lag("depth", -1).alias("up"), lag("p1", 0).alias("u1"), lag("p2", 0).alias("u2"), "upto", lag("upto", 0).alias("above"))
@@ -236,26 +240,26 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def summed(trie: Trie) -> DataFrame:
     """Compacted nodes: p1, p2, depth, up, above, key (smallest member), n_convs, n_children, n_leaves, saved (its whole subtree and edge), top_key (parent's key)."""
     copies = trie.keys.select("key", "n", "len")
-    marks = trie.marks.join(copies, "key")
+    marks = trie.marks.join(copies.hint("shuffle_hash"), "key")
     nodes = cut(marks.groupBy(*P, "depth").agg(F.min("key").alias("owner"), F.sum("n").alias("n_convs"), *[F.first(c).alias(c) for c in ("up", "u1", "u2", "above")], F.first("upto").alias("upto")))
     children = nodes.where("up >= 0").groupBy(F.col("u1").alias("p1"), F.col("u2").alias("p2")).agg(F.count("*").alias("n_children"))
-    nodes = cut(nodes.join(children, P, "left").na.fill(0, ["n_children"]))
+    nodes = cut(nodes.join(children.hint("shuffle_hash"), P, "left").na.fill(0, ["n_children"]))
     # a leaf ends one key; what an edge saves is counted on the path of its smallest member; both go up along the path
     own = F.when(F.col("owner") == F.col("key"), (F.col("n_convs") - 1) * (F.col("upto") - F.col("above"))).otherwise(0)
     leaf = F.when((F.col("depth") == F.col("len")) & (F.col("n_children") == 0), 1).otherwise(0)
-    held = salted_left_join(marks, nodes.select(*P, "owner", "n_convs", "n_children"), P, F.col("key"))
+    held = salted_left_join(marks, nodes.select(*P, "owner", "n_convs", "n_children").hint("shuffle_hash"), P, F.col("key"))
     below = Window.partitionBy("key").orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, 0)
     sums = held.select(*P, F.sum(own).over(below).alias("saved"), F.sum(leaf).over(below).alias("n_leaves")).groupBy(*P).agg(F.sum("saved").alias("saved"), F.sum("n_leaves").alias("n_leaves"))
     parents = nodes.select(F.col("p1").alias("u1"), F.col("p2").alias("u2"), F.col("owner").alias("top_key"))
-    above = salted_left_join(nodes, parents, ["u1", "u2"], F.struct(*P))
-    return above.join(sums, P).withColumn("top_key", F.when(F.col("up") >= 0, F.col("top_key"))).withColumnRenamed("owner", "key")
+    above = salted_left_join(nodes, parents.hint("shuffle_hash"), ["u1", "u2"], F.struct(*P))
+    return above.join(sums.hint("shuffle_hash"), P).withColumn("top_key", F.when(F.col("up") >= 0, F.col("top_key"))).withColumnRenamed("owner", "key")
 
 
 def expanded(trie: Trie, nodes: DataFrame) -> DataFrame:
     """One row for each prefix of any length, from the nodes' edges."""
     ends = trie.ends.select(*P, "conv_id").repartition(*P).sortWithinPartitions(*P, "conv_id")
     digests = ends.mapInArrow(_hashed, "p1 bigint, p2 bigint, sha string")
-    rows = nodes.join(digests, P, "left").withColumn("d", F.explode(F.sequence(F.col("up") + 1, F.col("depth")))).drop(*P, "upto")
+    rows = nodes.join(digests.hint("shuffle_hash"), P, "left").withColumn("d", F.explode(F.sequence(F.col("up") + 1, F.col("depth")))).drop(*P, "upto")
     rows = trie.at(rows.withColumn("d0", F.greatest(F.col("d") - 1, F.lit(0))), "key", "d0", before="upto")
     last = F.col("d") == F.col("depth")
     return rows.select(
