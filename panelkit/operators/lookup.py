@@ -1,12 +1,10 @@
-"""Key sets, anti and semi joins, set operations, fuzzy names."""
+"""Key sets, anti and semi joins, set operations."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
-
 
 def unmatched(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of a that b lacks."""
@@ -19,24 +17,3 @@ def outstanding(requests: DataFrame, done: DataFrame, empty: DataFrame, unit: li
     all_empty = known.groupBy(*unit).agg(F.bool_and(F.coalesce("_e", F.lit(False))).alias("_all")).where("_all").select(*unit)
     left = requests.join(done.select(*unit, part), [*unit, part], "left_anti").join(empty.select(*unit, part), [*unit, part], "left_anti")
     return left.join(all_empty, unit, "left_anti")
-
-
-def name_pairs(a: DataFrame, b: DataFrame, size: int = 2) -> DataFrame:
-    """(name, candidate) that share a run of `size` letters: names meet through an inverted index, not all with all."""
-    grams = lambda df, c: df.select(F.col(c)).distinct().withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (size - 1), F.lit(1))), lambda i: F.substring(F.lower(F.col(c)), i, F.lit(size))))))
-    return grams(a, "name").join(grams(b, "candidate"), "_g").select("name", "candidate").distinct()
-
-
-def fuzzy_top(a: DataFrame, b: DataFrame, k: int = 5, blocks: int = 64) -> DataFrame:
-    """name, rank, candidate, score: the k best candidates by normalised Levenshtein similarity (0 to 100), ties by name.
-
-    Names that share letters with fewer than k candidates are compared with all candidates, dealt into blocks.
-    """
-    pairs = cut(name_pairs(a, b))
-    enough = pairs.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    starved = a.select("name").distinct().join(enough, "name", "left_anti").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    everyone = b.select("candidate").distinct().withColumn("_b", F.pmod(F.xxhash64("candidate"), F.lit(blocks)).cast("int"))
-    pairs = pairs.union(starved.join(everyone, "_b").select("name", "candidate")).distinct()
-    score = 100 * (1 - F.levenshtein(F.lower("name"), F.lower("candidate")) / F.greatest(F.length("name"), F.length("candidate"), F.lit(1)))
-    ranked = pairs.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "candidate")))
-    return ranked.where(F.col("rank") <= k).select("name", "rank", "candidate", "score")
