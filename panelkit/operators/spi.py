@@ -1,103 +1,61 @@
-"""Standardised precipitation index: a gamma distribution fitted to each entity's calendar month, mapped to normal scores."""
+"""Standardised precipitation index: a gamma distribution fitted to each entity's calendar month, mapped to normal scores.
 
-from __future__ import annotations
+All in column expressions: a month's fit needs the count, the mean and the mean logarithm of its positive totals, which
+one grouping gives, combined before its shuffle; scores follow row by row from the fit.
+"""
 
-import math
-from statistics import NormalDist
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.special import gamma_p, gamma_shape, normal_quantile
 from . import series
 
+#: Probabilities are kept this far from 0 and 1.
+EDGE = 1e-6
 
-def _digamma(x: float) -> float:
-    out = 0.0
-    while x < 8:
-        out -= 1 / x
-        x += 1
-    r = 1 / (x * x)
-    return out + math.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r / 252))
-
-
-def _trigamma(x: float) -> float:
-    out = 0.0
-    while x < 8:
-        out += 1 / (x * x)
-        x += 1
-    r = 1 / (x * x)
-    return out + 1 / x + r / 2 + r / x * (1 / 6 - r * (1 / 30 - r / 42))
 
+def fits(sums: DataFrame, keys: list[str], columns: list[str], least: int = 5) -> DataFrame:
+    """keys, and for each column c: shape_c, scale_c (null with fewer than `least` positive values), zeros_c (share of zeros among all rows).
 
-def fit_gamma(values: np.ndarray) -> tuple[float, float]:
-    """Shape and scale of greatest likelihood (location 0), by Newton's method on the shape."""
-    s = math.log(values.mean()) - np.log(values).mean()
-    if s <= 1e-12:
-        return 1e6, float(values.mean()) / 1e6
-    k = (3 - s + math.sqrt((s - 3) ** 2 + 24 * s)) / (12 * s)
-    for _ in range(50):
-        step = (math.log(k) - _digamma(k) - s) / (1 / k - _trigamma(k))
-        k = k - step if k > step else k / 2
-        if abs(step) < 1e-12 * k:
-            break
-    return k, float(values.mean()) / k
+    NaN counts as missing; missing rows count in the share.
+    """
+    stats, out = [], []
+    for c in columns:
+        x = F.col(c)
+        positive = F.when((x > 0) & ~F.isnan(x), x)
+        stats += [F.count(positive).alias(f"n_{c}"), F.avg(positive).alias(f"mean_{c}"), F.avg(F.log(positive)).alias(f"log_{c}"), (F.count_if(x == 0) / F.count("*")).alias(f"zeros_{c}")]
+        shape = F.when(F.col(f"n_{c}") >= least, gamma_shape(F.log(f"mean_{c}") - F.col(f"log_{c}")))
+        out.append(shape.alias(f"shape_{c}"))
+    scales = [(F.col(f"mean_{c}") / F.col(f"shape_{c}")).alias(f"scale_{c}") for c in columns]
+    return sums.groupBy(*keys).agg(*stats).select("*", *out).select(*keys, *[f"shape_{c}" for c in columns], *scales, *[f"zeros_{c}" for c in columns])
 
 
-def gamma_cdf(k: float, x: float) -> float:
-    """Regularised lower incomplete gamma function: a series below k + 1, a continued fraction above."""
-    if x <= 0:
-        return 0.0
-    front = math.exp(k * math.log(x) - x - math.lgamma(k))
-    if x < k + 1:
-        term = total = 1 / k
-        a = k
-        while abs(term) > 1e-16 * abs(total):
-            a += 1
-            term *= x / a
-            total += term
-        return min(1.0, front * total)
-    b, c = x + 1 - k, 1e300
-    d = h = 1 / b
-    for i in range(1, 10_000):
-        an = -i * (i - k)
-        b += 2
-        d = 1 / (an * d + b or 1e-300)
-        c = b + an / c or 1e-300
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return max(0.0, 1 - front * h)
+def scored(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """rows with normal scores. columns: total -> name of its score; shape_, scale_ and zeros_ of each total are there.
 
-
-def scores(values: np.ndarray, least: int = 5) -> np.ndarray:
-    """Normal scores of one calendar month's totals; missing if fewer than `least` are positive. Zeros count among all rows, missing ones included."""
-    positive = values[values > 0]
-    out = np.full(len(values), np.nan)
-    if len(positive) < least:
-        return out
-    k, theta = fit_gamma(positive)
-    q = float((values == 0).sum()) / len(values)
-    for i, v in enumerate(values):
-        if not math.isnan(v):
-            p = q if v <= 0 else q + (1 - q) * gamma_cdf(k, v / theta)
-            out[i] = NormalDist().inv_cdf(min(max(p, 1e-6), 1 - 1e-6))
-    return out
+    Zeros stand at their share, positive totals beyond it by the gamma distribution; without a fit there is no score. Each
+    step is a projection of its own, so that none is worked out once for every place that it is used in.
+    """
+    scaled = rows.withColumns({f"_x_{c}": F.when(~F.isnan(c), F.col(c) / F.col(f"scale_{c}")) for c in columns})
+    held = {c: gamma_p(F.col(f"shape_{c}"), F.col(f"_x_{c}")) for c in columns}
+    zeros = {c: F.col(f"zeros_{c}") for c in columns}
+    placed = scaled.withColumns({f"_p_{c}": F.when(F.col(f"_x_{c}") <= 0, zeros[c]).otherwise(zeros[c] + (1 - zeros[c]) * held[c]) for c in columns})
+    inner = placed.withColumns({f"_q_{c}": F.least(F.greatest(f"_p_{c}", F.lit(EDGE)), F.lit(1 - EDGE)) for c in columns})
+    there = lambda c: F.when(F.col(f"shape_{c}").isNotNull() & F.col(f"_x_{c}").isNotNull(), normal_quantile(F.col(f"_q_{c}")))
+    return inner.withColumns({name: there(c) for c, name in columns.items()})
 
 
 def spi(monthly: DataFrame, entity: str, rain: str, scales: tuple[int, ...] = (1, 3)) -> DataFrame:
-    """entity, year, month, rain and SPI1, SPI3, ...: one small group a calendar month of an entity."""
+    """entity, year, month, rain and SPI1, SPI3, ...: the scores of sums over the last months, among the same calendar month's.
+
+    A score is null where a month of its sum is missing, or where fewer than 5 of the calendar month's sums are positive.
+    """
     w = series.by_time(entity, "year", "month")
-    sums = monthly.select(entity, "year", "month", F.col(rain).cast("double").alias(rain))
+    value = F.col(rain).cast("double")
+    sums = monthly.select(entity, "year", "month", F.when(~F.isnan(value), value).alias(rain))
     sums = sums.withColumns({f"_r{s}": series.rolling(F.col(rain), w, s, F.sum) for s in scales})
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        for s in scales:
-            group[f"SPI{s}"] = scores(group.pop(f"_r{s}").to_numpy(dtype=float))
-        return group
-
-    kind = dict(sums.dtypes)
-    schema = f"`{entity}` {kind[entity]}, year {kind['year']}, month {kind['month']}, `{rain}` double, " + ", ".join(f"SPI{s} double" for s in scales)
-    fitted = sums.groupBy(entity, "month").applyInPandas(fit, schema)
-    return fitted.withColumns({f"SPI{s}": F.when(~F.isnan(f"SPI{s}"), F.col(f"SPI{s}")) for s in scales} | {rain: F.when(~F.isnan(rain), F.col(rain))})
+    columns = [f"_r{s}" for s in scales]
+    known = sums.join(fits(sums, [entity, "month"], columns), [entity, "month"], "left")
+    return scored(known, {c: f"SPI{s}" for s, c in zip(scales, columns)}).select(entity, "year", "month", rain, *[f"SPI{s}" for s in scales])
