@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Canonical name -> names under which files have it, in order of preference.
@@ -37,6 +39,21 @@ def detect_column(columns: list[str], patterns: tuple[str, ...]) -> str | None:
     return next((c for p in patterns for c in columns if p in c.lower()), None)
 
 
+def column_place(columns: Column, candidates: tuple[str, ...]) -> Column:
+    """find_column() on an array of names, for tables of headers: the place from 0, or null."""
+    spaced = lambda c: F.replace(F.replace(F.lower(c), F.lit("_x0020_"), F.lit(" ")), F.lit("_"), F.lit(" "))
+    names = F.transform(columns, lambda c: F.trim(F.regexp_replace(spaced(c), r"\s+", " ")))
+    equal = [F.nullif(F.array_position(names, wanted), F.lit(0)) for wanted in candidates]
+    holding = F.transform(names, lambda n: reduce(lambda a, b: a | b, [F.contains(n, F.lit(wanted)) for wanted in candidates]))
+    return (F.coalesce(*equal, F.nullif(F.array_position(holding, True), F.lit(0))) - 1).cast("int")
+
+
+def pattern_place(columns: Column, patterns: tuple[str, ...]) -> Column:
+    """detect_column() on an array of names: the place from 0, or null."""
+    places = [F.nullif(F.array_position(F.transform(columns, lambda c: F.contains(F.lower(c), F.lit(p))), True), F.lit(0)) for p in patterns]
+    return (F.coalesce(*places) - 1).cast("int")
+
+
 def canonical_names(columns: list[str]) -> dict[str, str]:
     """canonical name -> column, by equality with a known variant (or the canonical name itself) only."""
     found: dict[str, str] = {}

@@ -6,69 +6,83 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import crop_year, is_leap, parse_by_majority, year_in_name
 from ..functions.numbers import to_number
-from ..resolve import CANDIDATES, detect_column, find_column
-
-PRICE_SCHEMA = "district string, filename string, market_id string, date string, min_price string, max_price string, modal_price string"
+from ..operators import geo
+from ..resolve import CANDIDATES, column_place, pattern_place
 
 
 def listed(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
     """path, filename, district (the folder's name, or the file's own in a flat layout), size: recursively, without contents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", F.col("length").alias("size"))
-    name, folder = F.regexp_extract("path", r"([^/]+)$", 1), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    nested = name.rlike(r"^\d{4}\.")
-    return files.select("path", name.alias("filename"), F.when(nested, folder).otherwise(F.regexp_replace(name, r"\.[^.]*$", "")).alias("district"), "size")
+    return files.select("path", *_place(F.col("path")), "size")
+
+
+# The characters of Windows code page 1252 at 0x80 to 0x9F (the five places it leaves open stay control characters).
+CP1252 = "\u20ac\x81\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\x8d\u017d\x8f\x90\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\x9d\u017e\u0178"
+
 
+def decoded(line: Column) -> Column:
+    """A text file's line as it was meant: UTF-8 where all of its bytes are, else ISO-8859-1 with the printable characters of Windows-1252."""
+    latin = F.translate(F.decode(line.cast("binary"), "ISO-8859-1"), "".join(map(chr, range(0x80, 0xA0))), CP1252)
+    return F.when(F.is_valid_utf8(line), line).otherwise(latin)
 
-def headers(spark: SparkSession, root: str) -> dict[tuple[str, ...], list[str]]:
-    """Header -> paths of the CSV files under root that have it. Only a file's first split is looked at for its first line."""
-    out: dict[tuple[str, ...], list[str]] = {}
-    for r in heads(spark, root).collect():  # one row a file
-        out.setdefault(tuple(r["columns"]), []).append(r["path"])
-    return out
+
+def _place(path: Column) -> list[Column]:
+    """district (the folder's name where files are called by year, else the file's own) and filename of a path."""
+    name, folder = F.regexp_extract(path, r"([^/]+)$", 1), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    return [F.when(name.rlike(r"^\d{4}\."), folder).otherwise(F.regexp_replace(name, r"\.[^.]*$", "")).alias("district"), name.alias("filename")]
+
+
+def lines(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
+    """path (as it is called, not as a URI), value (decoded), begins (whether the line is of its file's first split), i (its order there).
+
+    Lines without a visible character are left out.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
+    # the metadata's path is percent-encoded; a plus sign in it is one
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    found = raw.select(path.alias("path"), decoded(F.col("value")).alias("value"), (F.col("_metadata.file_block_start") == 0).alias("begins"), F.monotonically_increasing_id().alias("i"))
+    return found.where(F.trim(F.regexp_replace("value", "\ufeff", "")) != "")
+
+
+def fields(line: Column) -> Column:
+    """The fields of a line of a CSV file: quotes taken off, doubled quotes single, empty fields null."""
+    pieces = F.regexp_extract_all(line, F.lit(r'(?:^|,)(?:[^",]*"(?:[^"]|"")*"[^,]*|[^,]*)'), F.lit(0))
+    bare = lambda f: F.regexp_replace(f, "^,", "")
+    quoted = lambda f: F.when(bare(f).rlike(r'^\s*"'), F.replace(F.regexp_replace(bare(f), r'^\s*"|"\s*$', ""), F.lit('""'), F.lit('"'))).otherwise(bare(f))
+    split = F.when(F.contains(line, F.lit('"')), F.transform(pieces, quoted)).otherwise(F.split(line, ","))
+    return F.transform(split, lambda f: F.nullif(f, F.lit("")))
 
 
 def heads(spark: SparkSession, root: str) -> DataFrame:
-    """path, columns of the CSV files under root that are not empty; the header is read as CSV, quotes and all."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root, wholetext=False)
-    # a split's rows are numbered in order, and the first split of a file holds its first line
-    first = lines.where(F.col("_metadata.file_block_start") == 0).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("i"))
-    header = first.groupBy("path").agg(F.regexp_replace(F.min_by("value", "i"), "^\ufeff", "").alias("header"))
-    fields = F.regexp_extract_all("header", F.lit(r'(?:^|,)(?:[^",]*"(?:[^"]|"")*"[^,]*|[^,]*)'), F.lit(0))
-    name = lambda f: F.replace(F.regexp_replace(F.trim(F.regexp_replace(f, "^,", "")), '^"|"$', ""), F.lit('""'), F.lit('"'))
-    return header.select("path", F.transform(fields, lambda f: F.trim(name(f))).alias("columns"))
+    """path, header (the first line as it stands), columns of the CSV files under root that are not empty."""
+    first = lines(spark, root).where("begins").groupBy("path").agg(F.min_by("value", "i").alias("header"))
+    names = F.transform(fields(F.regexp_replace("header", "^\ufeff", "")), lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    return first.select("path", "header", names.alias("columns"))
 
 
-def encodings(spark: SparkSession, root: str) -> dict[str, str]:
-    """path -> encoding of the CSV files under root: UTF-8 where every byte of the file is, else ISO-8859-1.
+def _rows(spark: SparkSession, root: str, layout: DataFrame, names: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, `keep` of the layout and the named fields (text) of all data lines. layout: path, header, and for each name its place or null.
 
-    All lines are looked at, since the first byte that is not UTF-8 may come late.
+    One read for all layouts, joined with the table of headers. A line that repeats its file's header is no data.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root)
-    checked = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
-    return {r["path"]: "UTF-8" if r["utf8"] else "ISO-8859-1" for r in checked.collect()}  # one row a file
+    placed = layout.select(F.col("path").alias("_path"), F.col("header").alias("_header"), *[F.col(n).alias(f"_at_{n}") for n in names], *keep)
+    data = lines(spark, root).select("path", F.col("value").alias("_line")).join(placed, F.col("path") == F.col("_path")).where(F.col("_line") != F.col("_header"))
+    return data.withColumn("_f", fields(F.col("_line"))).select("path", *keep, *[F.get("_f", F.col(f"_at_{n}")).alias(n) for n in names])
 
 
 def read_prices(spark: SparkSession, root: str) -> DataFrame:
-    """Text rows of all price files, whatever their headers call the columns; files without a date or modal price are skipped."""
-    parts, coded = [], encodings(spark, root)
-    layouts = {(h, e): [p for p in paths if coded.get(p, "UTF-8") == e] for h, paths in headers(spark, root).items() for e in ("UTF-8", "ISO-8859-1")}
-    for (header, encoding), paths in sorted(layouts.items()):
-        found = {k: find_column(list(header), v) for k, v in CANDIDATES.items()}
-        if found["date"] is None or found["modal_price"] is None or not paths:
-            continue
-        raw = spark.read.option("header", "true").option("mode", "PERMISSIVE").option("encoding", encoding).csv(paths)
-        name, folder = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1), F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
-        columns = [(F.col(f"`{found[k]}`") if found[k] else F.lit(None)).cast("string").alias(k) for k in ("market_id", "date", "min_price", "max_price", "modal_price")]
-        parts.append(raw.select(F.when(name.rlike(r"^\d{4}\."), folder).otherwise(F.regexp_replace(name, r"\.[^.]*$", "")).alias("district"), name.alias("filename"), *columns))
-    out = spark.createDataFrame([], PRICE_SCHEMA)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    """Text rows of all price files, whatever their headers call the columns; files without a date or modal price are skipped.
+
+    An empty field is null; a quoted field may hold commas, but no line break.
+    """
+    names = ("market_id", "date", "min_price", "max_price", "modal_price")
+    layout = heads(spark, root).select("path", "header", *[column_place(F.col("columns"), CANDIDATES[n]).alias(n) for n in names]).where("date is not null and modal_price is not null")
+    return _rows(spark, root, layout, names).select(*_place(F.col("path")), *names)
 
 
 def daily_prices(rows: DataFrame) -> DataFrame:
@@ -94,19 +108,18 @@ def years_present(rows: DataFrame) -> DataFrame:
 
 
 def read_metric(spark: SparkSession, root: str, state: str) -> DataFrame:
-    """unit (file), year, district, season, value of yearly metric files: state filtered, year from the name."""
-    out = None
-    for header, paths in sorted(headers(spark, root).items()):
-        column = {k: detect_column(list(header), p) for k, p in {"state": ("state",), "district": ("district",), "season": ("season",), "value": ("area", "production", "yield")}.items()}
-        if column["district"] is None or column["value"] is None:
-            continue
-        raw = spark.read.option("header", "true").csv(paths)
-        text = lambda k: F.col(f"`{column[k]}`") if column[k] else F.lit(None).cast("string")
-        unit = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
-        rows = raw.where(F.lower(F.trim(text("state"))) == state.lower()) if column["state"] else raw
-        part = rows.select(unit.alias("unit"), year_in_name(unit).alias("year"), F.trim(text("district")).alias("district"), text("season").alias("season"), to_number(text("value")).alias("value"))
-        out = part if out is None else out.unionByName(part)
-    return (out if out is not None else spark.createDataFrame([], "unit string, year int, district string, season string, value double")).where("value is not null and district is not null and district <> ''")
+    """unit (file), year, district, season, value of yearly metric files: state filtered, year from the name.
+
+    Files without a district or value column are skipped; where there is no state column all rows are the state's.
+    """
+    patterns = {"state": ("state",), "district": ("district",), "season": ("season",), "value": ("area", "production", "yield")}
+    places = heads(spark, root).select("path", "header", *[pattern_place(F.col("columns"), p).alias(k) for k, p in patterns.items()])
+    layout = places.where("district is not null and value is not null").withColumn("any_state", F.col("state").isNull())
+    data = _rows(spark, root, layout, tuple(patterns), keep=("any_state",))
+    rows = data.where(F.col("any_state") | (F.lower(F.trim("state")) == state.lower()))
+    unit = _place(F.col("path"))[1]
+    out = rows.select(unit.alias("unit"), year_in_name(unit).alias("year"), F.trim("district").alias("district"), "season", to_number(F.col("value")).alias("value"))
+    return out.where("value is not null and district is not null and district <> ''")
 
 
 def with_crop_year(rows: DataFrame, column: str) -> DataFrame:
@@ -138,9 +151,10 @@ def read_raster(spark: SparkSession, root: str, rows: int, columns: int, missing
 
 
 def read_boundaries(spark: SparkSession, path: str, name: str, within: tuple[str, str] | None = None) -> DataFrame:
-    """name, ring of every polygon of a GeoJSON file (outer rings; each part of a multipolygon is a row).
+    """name, ring, rings of every polygon of a GeoJSON file: the outer ring, and all rings with their holes (each part of a multipolygon is a row).
 
-    within: (property, text) that a feature's property must hold, whatever its case.
+    Rings are oriented: outer ones clockwise, holes against it. within: (property, text) that a feature's property must
+    hold, whatever its case.
     """
     feature = "struct<type: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>"
     raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"struct<features: array<{feature}>>")["features"]).alias("f"))
@@ -149,7 +163,9 @@ def read_boundaries(spark: SparkSession, path: str, name: str, within: tuple[str
     ring = "array<array<array<double>>>"
     shapes = F.when(F.col("f.geometry.type") == "MultiPolygon", F.from_json("f.geometry.coordinates", f"array<{ring}>")).otherwise(F.array(F.from_json("f.geometry.coordinates", ring)))
     parts = raw.select(F.element_at("f.properties", name).alias(name), F.explode(shapes).alias("p"))
-    return parts.select(name, F.transform(F.get("p", 0), lambda q: F.struct(F.get(q, 0).alias("lon"), F.get(q, 1).alias("lat"))).alias("ring"))
+    point = lambda q: F.struct(F.get(q, 0).alias("lon"), F.get(q, 1).alias("lat"))
+    rings = parts.withColumn("rings", F.transform("p", lambda r, i: geo.oriented(F.transform(r, point), i == 0)))
+    return rings.select(name, F.transform(F.get("p", 0), point).alias("ring"), "rings")
 
 
 def read_answers(spark: SparkSession, path: str, fields: str) -> DataFrame:

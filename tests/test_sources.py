@@ -79,11 +79,45 @@ def test_headers_quotes_and_encodings(spark, tmp_path):
     put(tmp_path / "C/2012.csv", "Price Date,Market ID,Modal Price\n2012-01-02,thé,8\n")
     heads = {r.path.rsplit("/", 2)[-2]: r.columns for r in tables.heads(spark, str(tmp_path)).collect()}
     assert heads == {"A": ["Price Date", "odd, name", 'Modal "Price"'], "B": ["Price Date", "Market ID", "Modal Price"], "C": ["Price Date", "Market ID", "Modal Price"]}
-    assert {p.rsplit("/", 2)[-2]: e for p, e in tables.encodings(spark, str(tmp_path)).items()} == {"A": "UTF-8", "B": "ISO-8859-1", "C": "UTF-8"}
     (tmp_path / "A/2010.csv").unlink()
     assert sorted((r.district, r.market_id, r.modal_price) for r in tables.read_prices(spark, str(tmp_path)).collect()) == [("B", "café", "7"), ("C", "thé", "8")]
 
 
+def test_names_of_folders_and_files(spark, tmp_path):
+    """Spaces, percent and plus signs, hashes and letters beyond ASCII in paths: found, read and named as they are called."""
+    folders = ["Bara Banki", "100% Agra", "A#1", "Kanpur+Dehat", "Zürich ओ", "a%20b"]
+    for i, f in enumerate(folders):
+        put(tmp_path / f / "2010.csv", f"Price Date,Market ID,Modal Price\n2010-01-0{i + 1},{i},{i}5\n")
+    put(tmp_path / "flat one.csv", "date,modal price\n2011-01-01,9\n")
+    put(tmp_path / "Bara Banki/2011.csv", "date,modal price\n")
+    rows = tables.read_prices(spark, str(tmp_path))
+    assert sorted((r.district, r.filename, r.modal_price) for r in rows.collect()) == sorted([(f, "2010.csv", f"{i}5") for i, f in enumerate(folders)] + [("flat one", "flat one.csv", "9")])
+    files = tables.listed(spark, str(tmp_path))
+    assert {r.district for r in files.collect()} == {*folders, "flat one"}
+    assert [(r.district, r.filename) for r in tables.header_only(files, rows).collect()] == [("Bara Banki", "2011.csv")]
+    put(tmp_path / "m x/area 2007 #2.csv", "State Name,District Name,Area\nuttar pradesh,Bara Banki,12\n")
+    put(tmp_path / "m x/yield 2008.csv", "District Name,Season,Yield\nAgra,Rabi,\"1,234.5\"\n,Rabi,1\n")
+    got = tables.read_metric(spark, str(tmp_path / "m x"), "Uttar Pradesh").collect()
+    assert sorted((r.unit, r.year, r.district, r.season, r.value) for r in got) == [("area 2007 #2.csv", 2007, "Bara Banki", None, 12.0), ("yield 2008.csv", 2008, "Agra", "Rabi", 1234.5)]
+
+
+def test_lines_of_every_encoding(spark, tmp_path):
+    for name, code in (("utf", "utf-8"), ("latin", "latin-1"), ("windows", "cp1252")):
+        (tmp_path / f"{name}.csv").write_bytes(("date,modal price,market id\n" + f"2010-01-01,1,{'café – “€”' if code != 'latin-1' else 'café'}\n").encode(code))
+    assert {r.district: r.market_id for r in tables.read_prices(spark, str(tmp_path)).collect()} == {"utf": "café – “€”", "latin": "café", "windows": "café – “€”"}
+
+
+def test_layouts_quotes_and_odd_lines(spark, tmp_path):
+    put(tmp_path / "a.csv", 'modal price,"market, id",date\r\n"1,5","say ""x""",2010-01-01\r\n\r\n,only,2010-01-02\r\nmodal price,"market, id",date\r\n7\r\n')
+    put(tmp_path / "b.csv", "")
+    put(tmp_path / "c.csv", "\n\nReported_Date,Mode_x0020_Price\n2010-02-01,8")
+    got = sorted(((r.district, r.date, r.modal_price) for r in tables.read_prices(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([("a", "2010-01-01", "1,5"), ("a", "2010-01-02", None), ("a", None, "7"), ("c", "2010-02-01", "8")], key=str)
+    assert tables.read_prices(spark, str(tmp_path)).columns == ["district", "filename", "market_id", "date", "min_price", "max_price", "modal_price"]
+    (tmp_path / "none").mkdir()
+    assert tables.read_prices(spark, str(tmp_path / "none")).count() == 0 and tables.read_metric(spark, str(tmp_path / "none"), "x").count() == 0
+
+
 def test_units_are_written_unless_real(spark, tmp_path):
     path = str(tmp_path / "panel")
     rows = lambda *x: spark.createDataFrame(list(x), "district string, year int, value int")
