@@ -14,9 +14,9 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,10 +71,41 @@ def varied(df: DataFrame, features: list[str], least: float = 0.01) -> list[str]
     return [c for c in features if cv[c] is not None and cv[c] >= least]
 
 
+def _masked_sums(batches: Iterator[pa.RecordBatch], shift: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each pair (i, j): rows that have both, and over these the sums of x_i, x_i squared and x_i x_j, of values less `shift`."""
+    d = len(shift)
+    sums = np.zeros((4, d, d))
+    for batch in batches:
+        x = np.column_stack([np.asarray(pc.fill_null(c, np.nan), dtype=np.float64) for c in batch.columns]) - shift
+        there = np.isfinite(x)
+        x, there = np.where(there, x, 0.0), there.astype(np.float64)
+        sums += there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x
+    i, j = np.indices((d, d)).reshape(2, -1)
+    yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(s.ravel()) for s in sums]], ["i", "j", "n", "x", "xx", "xy"])
+
+
 def correlations(df: DataFrame, features: list[str]) -> np.ndarray:
-    """Pearson correlation matrix of features without nulls and with some deviation."""
-    vectors = VectorAssembler(inputCols=features, outputCol="v").transform(df).select("v")
-    return Correlation.corr(vectors, "v").first()[0].toArray()
+    """Pearson correlation matrix, each pair over the rows that have both values (null, NaN and infinite ones count as missing).
+
+    NaN where a pair has fewer than two such rows, or no deviation among them. Each task adds up four matrices of its
+    rows, which Spark adds up pair by pair: work and results grow with features squared, never with rows in one place.
+    """
+    names = [F.col(c).cast("double") for c in features]
+    finite = lambda x: F.when(F.abs(x) < float("inf"), x)
+    centre = df.agg(*[F.avg(finite(x)).alias(c) for x, c in zip(names, features)]).first()
+    shift = np.array([x if x is not None else 0.0 for x in centre])  # sums around the mean do not cancel
+    rows = df.select(*[x.alias(f"f{k}") for k, x in enumerate(names)])
+    parts = rows.mapInArrow(lambda b: _masked_sums(b, shift), "i int, j int, n double, x double, xx double, xy double")
+    totals = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "xx", "xy")]).collect()  # features squared
+    n, x, xx, xy = (np.zeros((len(features), len(features))) for _ in range(4))
+    for r in totals:
+        for m, c in ((n, "n"), (x, "x"), (xx, "xx"), (xy, "xy")):
+            m[r["i"], r["j"]] = r[c]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = xx - x * x / n  # of i, among the rows that have j too
+        spread[spread <= 1e-13 * xx] = 0.0
+        r = (xy - x * x.T / n) / np.sqrt(spread * spread.T)
+    return np.where((n >= 2) & (spread > 0) & (spread.T > 0), np.clip(r, -1, 1), np.nan)
 
 
 def uncorrelated(df: DataFrame, features: list[str], most: float = 0.95) -> list[str]:

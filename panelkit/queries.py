@@ -9,12 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import dates, numbers, stats
+from .functions import dates, numbers, special, stats
 from .functions.rates import INFLATION
-from .operators import audit, breaks, dedupe, gaps, geo, lookup, series, spi, validate
+from .operators import audit, breaks, dedupe, fuzzy, gaps, geo, lookup, series, spi, validate
 from .plans import apy, cluster, price, weather
 from .sources import tables
 
@@ -317,16 +318,14 @@ def set_ops(spark, sf):
 
 
 @query("""WITH n AS (SELECT DISTINCT CASE WHEN p_partkey % 500 = 0 THEN '#' || p_partkey ELSE replace(p_name, ' ', '') END AS name FROM part), c AS (SELECT DISTINCT p_name AS candidate FROM part),
-g AS (SELECT DISTINCT name, lower(name)[i:i+1] AS g FROM (SELECT name, unnest(range(1, greatest(length(name), 2))) AS i FROM n)), h AS (SELECT DISTINCT candidate, lower(candidate)[i:i+1] AS g FROM (SELECT candidate, unnest(range(1, greatest(length(candidate), 2))) AS i FROM c)),
-b AS (SELECT DISTINCT name, candidate FROM g JOIN h USING (g)), few AS (SELECT name FROM n LEFT JOIN b USING (name) GROUP BY name HAVING count(candidate) < 5),
-p AS (SELECT * FROM b UNION SELECT name, candidate FROM few, c), s AS (SELECT *, 100 * (1 - levenshtein(lower(name), lower(candidate))::DOUBLE / greatest(length(name), length(candidate), 1)) AS score FROM p),
+s AS (SELECT name, candidate, 100 * (1 - levenshtein(lower(name), lower(candidate))::DOUBLE / greatest(length(name), length(candidate), 1)) AS score FROM n, c),
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, candidate) AS rank FROM s)
 SELECT name, rank, candidate, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def fuzzy_topk(spark, sf):
     p = table(spark, sf, "part")
     # a few names share no two letters with any candidate
     names = p.select(F.when(F.col("p_partkey") % 500 == 0, F.concat(F.lit("#"), F.col("p_partkey").cast("string"))).otherwise(F.replace("p_name", F.lit(" "), F.lit(""))).alias("name"))
-    return rounded(lookup.fuzzy_top(names, p.select(F.col("p_name").alias("candidate"))))
+    return rounded(fuzzy.top(names, p.select(F.col("p_name").alias("candidate"))))
 
 
 # --- duplicates and audit ---------------------------------------------------------------------------------------------
@@ -565,19 +564,61 @@ def user_spi(spark: SparkSession, sf: str) -> DataFrame:
     return spi.spi(grid, "entity", "rain")
 
 
-@query()
+def _number(x: float) -> str:
+    return f"({x!r})" if "e" in repr(x) else f"({x!r}e0)"
+
+
+def _spi_sql(source: str, scales: tuple[int, ...] = (1, 3)) -> str:
+    """CTEs that end in `spi` (entity, year, month, rain, SPI1, SPI3), from a CTE `source` (entity, year, month, rain)."""
+    horner = lambda r, c: _number(c[0]) if len(c) == 1 else f"({_number(c[0])} + {r} * {horner(r, c[1:])})"
+    y = "(k + 10)"
+    series = lambda c: horner(f"(1 / ({y} * {y}))", c)
+    digamma = f"(ln({y}) - 0.5e0 / {y} - {series((1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132))} / ({y} * {y}) - {' - '.join(f'1 / (k + {i})' for i in range(10))})"
+    trigamma = f"(1 / {y} + 0.5e0 / ({y} * {y}) + {series((1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66))} / ({y} * {y} * {y}) + {' + '.join(f'1 / ((k + {i}) * (k + {i}))' for i in range(10))})"
+    step = f"((ln(k) - {digamma} - s) / (1 / k - {trigamma}))"
+    start = "(3 - s + sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s)"
+    shape = f"CASE WHEN n < 5 THEN NULL WHEN s <= 1e-12 THEN 1e6 ELSE list_reduce(list_prepend({start}, range(12)::DOUBLE[]), lambda k, i: CASE WHEN k > {step} THEN k - {step} ELSE k / 2 END) END"
+    terms = "ceil(greatest(x - a, 0) + 10 * sqrt(greatest(x, a)) + 40)::BIGINT"
+    total = f"list_reduce(list_transform(range(0, {terms} + 1), lambda n: {{'n': n::DOUBLE, 'term': 1 / a, 'total': 1 / a}}), lambda t, e: {{'n': e.n, 'term': t.term * x / (a + e.n), 'total': t.total + t.term * x / (a + e.n)}}).total"
+    cdf = f"CASE WHEN x <= 0 THEN 0 WHEN x > a + 100 + 12 * sqrt(a) THEN 1 ELSE least(1, exp(a * ln(x) - x - lgamma(a)) * {total}) END"
+    ratio = lambda r, t: f"{horner(r, t[0])} / {horner(r, t[1])}"
+    q, tail = "(p - 0.5e0)", "sqrt(-ln(least(p, 1 - p)))"
+    normal = f"CASE WHEN abs({q}) <= 0.425e0 THEN {q} * {ratio(f'(0.180625e0 - {q} * {q})', special.CENTRE)} ELSE sign({q}) * CASE WHEN {tail} <= 5 THEN {ratio(f'({tail} - 1.6e0)', special.MIDDLE)} ELSE {ratio(f'({tail} - 5)', special.FAR)} END END"
+    w = lambda s: f"(PARTITION BY entity ORDER BY year, month ROWS BETWEEN {s - 1} PRECEDING AND CURRENT ROW)"
+    rolled = ", ".join(f"CASE WHEN count(rain) OVER {w(s)} = {s} THEN sum(rain) OVER {w(s)} END AS r{s}" for s in scales)
+    out = [f"rolled AS (SELECT *, {rolled} FROM {source})"]
+    for s in scales:
+        r = f"r{s}"
+        out += [
+            f"st{s} AS (SELECT entity, month, count({r}) FILTER ({r} > 0) AS n, avg({r}) FILTER ({r} > 0) AS mean, ln(avg({r}) FILTER ({r} > 0)) - avg(CASE WHEN {r} > 0 THEN ln({r}) END) AS s, count(*) FILTER ({r} = 0) / count(*) AS zeros FROM rolled GROUP BY ALL)",
+            f"ft{s} AS (SELECT entity, month, mean, zeros, {shape} AS a FROM st{s})",
+            f"xs{s} AS (SELECT entity, year, month, zeros, a, {r} / (mean / a) AS x FROM rolled JOIN ft{s} USING (entity, month) WHERE a IS NOT NULL AND {r} IS NOT NULL)",
+            f"ps{s} AS (SELECT entity, year, month, least(greatest(CASE WHEN x <= 0 THEN zeros ELSE zeros + (1 - zeros) * ({cdf}) END, 1e-6), 1 - 1e-6) AS p FROM xs{s})",
+            f"zs{s} AS (SELECT entity, year, month, {normal} AS SPI{s} FROM ps{s})",
+        ]
+    joins = " ".join(f"LEFT JOIN zs{s} USING (entity, year, month)" for s in scales)
+    return ", ".join([*out, f"spi AS (SELECT entity, year, month, rain, {', '.join(f'SPI{s}' for s in scales)} FROM rolled {joins})"])
+
+
+SPI_FEATURES = """sd AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY year, month) AS t FROM spi),
+sg AS (SELECT *, t - row_number() OVER (PARTITION BY entity, coalesce(SPI1 < -1, false) ORDER BY t) AS gd, t - row_number() OVER (PARTITION BY entity, coalesce(SPI1 > 1, false) ORDER BY t) AS gw FROM sd),
+sr AS (SELECT *, CASE WHEN SPI1 < -1 THEN row_number() OVER (PARTITION BY entity, gd, coalesce(SPI1 < -1, false) ORDER BY t) ELSE 0 END AS d, CASE WHEN SPI1 > 1 THEN row_number() OVER (PARTITION BY entity, gw, coalesce(SPI1 > 1, false) ORDER BY t) ELSE 0 END AS w FROM sg),
+sf AS (SELECT entity, avg(SPI1) AS spi1_mean, median(SPI1) AS spi1_median, stddev_samp(SPI1) AS spi1_std,
+ avg((SPI1 > -1 AND SPI1 <= -0.5)::INT) AS spi1_mild_drought_freq, avg((SPI1 > -1.5 AND SPI1 <= -1)::INT) AS spi1_moderate_drought_freq, avg((SPI1 <= -1.5)::INT) AS spi1_severe_drought_freq, avg((SPI1 > 1)::INT) AS spi1_wet_freq,
+ max(d)::BIGINT AS spi1_longest_drought_spell, max(w)::BIGINT AS spi1_longest_wet_spell, coalesce(count(*) FILTER (SPI1 < -1) / nullif(count(*) FILTER (d = 1), 0), 0) AS spi1_avg_drought_duration,
+ min(SPI1) AS spi1_min, max(SPI1) AS spi1_max, avg(SPI1) FILTER (month IN MONSOON_MONTHS) AS spi1_mean_monsoon, avg(SPI1) FILTER (month IN RABI_MONTHS) AS spi1_mean_rabi FROM sr GROUP BY entity)""".replace("MONSOON_MONTHS", str(weather.MONSOON)).replace("RABI_MONTHS", str(weather.RABI))
+SPI_NAMES = ("mean", "median", "std", "mild_drought_freq", "moderate_drought_freq", "severe_drought_freq", "wet_freq", "longest_drought_spell", "longest_wet_spell", "avg_drought_duration", "min", "max", "mean_monsoon", "mean_rabi")
+SPI_COLUMNS = ", ".join(f"spi1_{c}" if c.startswith("longest") else f"round(spi1_{c}, 6) AS spi1_{c}" for c in SPI_NAMES)
+USER_SPI = f"{DAILY}, um AS (SELECT entity, year(date) AS year, month(date) AS month, sum(modal_price) / 1000 AS rain FROM daily GROUP BY ALL), gg AS (SELECT entity, y AS year, m AS month FROM (SELECT DISTINCT entity FROM um), range(1995, 2002) a(y), range(1, 13) b(m)), ug AS (SELECT gg.*, rain FROM gg LEFT JOIN um USING (entity, year, month)), {_spi_sql('ug')}"
+
+
+@query(f"WITH {USER_SPI} SELECT entity::BIGINT AS entity, year::BIGINT AS year, month::BIGINT AS month, round(rain, 6) AS rain, round(SPI1, 6) AS SPI1, round(SPI3, 6) AS SPI3 FROM spi")
 def spi_scores(spark, sf):
-    return user_spi(spark, sf)
+    return rounded(user_spi(spark, sf))
 
 
-@query()
-def weather_features(spark, sf):
-    d = user_days(spark, sf)
-    return weather.weather_features(d, spi.spi(weather.monthly_weather(d, "entity"), "entity", "monthly_rainfall"), "entity")
-
-
-def _weather_sql() -> str:
-    """All features but those of the SPI, by plain groupings of days, months and years."""
+def _weather_sql(with_spi: bool) -> str:
+    """All features, or all but those of the SPI, by plain groupings of days, months and years."""
     cv = lambda x: f"stddev_samp({x}) / nullif(avg({x}), 0)"
     positive = lambda x: f"CASE WHEN avg({x}) > 0 THEN {cv(x)} END"
     slope = lambda x: f"CASE WHEN count({x}) >= 3 THEN regr_slope({x}, i) END"
@@ -622,6 +663,10 @@ def _weather_sql() -> str:
     listed = lambda d: ", ".join(f"{x} AS {c}" for c, x in d.items())
     whole = {c: c if x.endswith("::BIGINT") else f"round({c}, 6)" for d in (by_year, by_month, by_season, by_climate, by_day) for c, x in d.items()}
     whole["rainfall_monsoon_share"] = "round(CASE WHEN rainfall_mean_annual > 0 THEN rainfall_mean_monsoon / rainfall_mean_annual END, 6)"
+    parts = ("temperature_cv_tmean", "rainfall_cv_annual", f"hdd{weather.PRIMARY_HDD}_cv", "spi1_std")
+    spi_parts = f", {_spi_sql('mo')}, {SPI_FEATURES}\n" if with_spi else "\n"
+    spi_columns = f", {SPI_COLUMNS}, round(1 / (1 + spi1_std), 6) AS climate_spi_stability, round(list_avg([{', '.join(parts)}]), 6) AS climate_variability_score" if with_spi else ""
+    spi_join = " JOIN sf USING (entity)" if with_spi else ""
     return f"""WITH {USER_DAYS},
 mo AS (SELECT entity, year, month, avg(tmax) AS avg_tmax, avg(tmin) AS avg_tmin, avg(tmean) AS avg_tmean, coalesce(sum(rainfall), 0) AS rain, {hdd} FROM w GROUP BY ALL),
 ye AS (SELECT entity, year, avg(tmax) AS avg_tmax, avg(tmin) AS avg_tmin, avg(tmean) AS avg_tmean, max(tmax) AS max_tmax, min(tmin) AS min_tmin, coalesce(sum(rainfall), 0) AS rain, count(*) FILTER (rainfall >= 2.5) AS rainy, {hdd} FROM w GROUP BY ALL),
@@ -632,19 +677,24 @@ d2 AS (SELECT *, {island("rainfall < 2.5", "date", "")} FROM w), d3 AS (SELECT *
 sh AS (SELECT entity, year, sum({within("MONSOON", "rain")}) AS m, sum({within("NON_MONSOON", "rain")}) AS o FROM mo GROUP BY ALL),
 cl AS (SELECT entity, month, avg(rain) AS p FROM mo GROUP BY ALL),
 a AS (SELECT entity, {listed(by_year)} FROM y3 GROUP BY entity), b AS (SELECT entity, {listed(by_month)} FROM mo GROUP BY entity), c AS (SELECT entity, {listed(by_season)} FROM sh GROUP BY entity),
-d AS (SELECT entity, {listed(by_climate)} FROM cl GROUP BY entity), e AS (SELECT entity, {listed(by_day)} FROM d3 GROUP BY entity)
-SELECT entity, {listed(whole)} FROM a JOIN b USING (entity) JOIN c USING (entity) JOIN d USING (entity) JOIN e USING (entity)"""
+d AS (SELECT entity, {listed(by_climate)} FROM cl GROUP BY entity), e AS (SELECT entity, {listed(by_day)} FROM d3 GROUP BY entity){spi_parts}SELECT entity, {listed(whole)}{spi_columns} FROM a JOIN b USING (entity) JOIN c USING (entity) JOIN d USING (entity) JOIN e USING (entity){spi_join}"""
+
 
+@query(_weather_sql(True))
+def weather_features(spark, sf):
+    d = user_days(spark, sf)
+    return rounded(weather.weather_features(d, spi.spi(weather.monthly_weather(d, "entity"), "entity", "monthly_rainfall"), "entity"))
 
-@query(_weather_sql())
+
+@query(_weather_sql(False))
 def weather_features_without_spi(spark, sf):
     found = weather_features(spark, sf)
-    return rounded(found.select(*[c for c in found.columns if not c.startswith("spi1_") and c not in ("climate_spi_stability", "climate_variability_score")]))
+    return found.select(*[c for c in found.columns if not c.startswith("spi1_") and c not in ("climate_spi_stability", "climate_variability_score")])
 
 
-@query()
+@query(f"WITH {USER_SPI}, {SPI_FEATURES} SELECT entity::BIGINT AS entity, {SPI_COLUMNS} FROM sf")
 def spi_spells(spark, sf):
-    return weather.spi_features(user_spi(spark, sf), "entity")
+    return rounded(weather.spi_features(user_spi(spark, sf), "entity"))
 
 
 # --- clustering -------------------------------------------------------------------------------------------------------
@@ -674,6 +724,15 @@ def correlation_pairs(spark, sf):
     return rounded(spark.createDataFrame(pairs, "a string, b string, r double"))
 
 
+@query(f"WITH {LONG}, hi AS (SELECT * FROM lo WHERE v >= -0.1) SELECT a.feature AS a, b.feature AS b, round(CASE WHEN count(*) > 1 THEN corr(a.v, b.v) END, 6) AS r FROM hi a JOIN hi b ON a.vec_id = b.vec_id AND a.feature < b.feature GROUP BY ALL")
+def correlation_with_gaps(spark, sf):
+    m = matrix(spark, sf)
+    gaps_in = m.select(*[F.when(F.col(c) >= -0.1, F.col(c)).alias(c) for c in DIMS])
+    r = cluster.correlations(gaps_in, DIMS)
+    pairs = [(DIMS[i], DIMS[j], None if np.isnan(r[i, j]) else float(r[i, j])) for i in range(64) for j in range(i + 1, 64)]
+    return rounded(spark.createDataFrame(pairs, "a string, b string, r double"))
+
+
 @query(f"""WITH RECURSIVE {LONG}, p AS (SELECT a.feature AS a, b.feature AS b FROM lo a JOIN lo b ON a.vec_id = b.vec_id AND a.feature < b.feature GROUP BY ALL HAVING abs(corr(a.v, b.v)) > 0.95)
 SELECT feature FROM (SELECT DISTINCT feature FROM lo) WHERE feature NOT IN (SELECT b FROM p)""")
 def corr_prune(spark, sf):

@@ -177,24 +177,12 @@ def test_geography(spark):
 
 
 def test_lookup(spark):
-    names = lambda c, *v: spark.createDataFrame([(x,) for x in v], f"{c} string")
-    top = lookup.fuzzy_top(names("name", "Bara Banki"), names("candidate", "Barabanki", "Bareilly", "Agra"), 2).orderBy("rank").collect()
-    assert [r.candidate for r in top] == ["Barabanki", "Bareilly"] and top[0].score == pytest.approx(90)
     key = "u int, p int"
     req = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (3, 1)], key)
     left = lookup.outstanding(req, spark.createDataFrame([(1, 1)], key), spark.createDataFrame([(2, 1), (2, 2)], key), ["u"], "p")
     assert sorted(tuple(r) for r in left.collect()) == [(1, 2), (3, 1)]
 
 
-def test_spi_and_gamma():
-    rnd = np.random.RandomState(0)
-    k, theta = spi.fit_gamma(rnd.gamma(2.3, 40, 20_000))
-    assert k == pytest.approx(2.3, rel=0.03) and theta == pytest.approx(40, rel=0.03)
-    assert spi.gamma_cdf(1.0, 2.0) == pytest.approx(1 - math.exp(-2)) and spi.gamma_cdf(2.0, 1.0) == pytest.approx(1 - 2 * math.exp(-1)) and spi.gamma_cdf(3.0, 20.0) == pytest.approx(1 - math.exp(-20) * (1 + 20 + 200))
-    s = spi.scores(np.array([0.0, 0.0, 5, 10, 20, 40, 80, np.nan]))
-    assert np.isnan(s[-1]) and s[0] == s[1] and list(s[2:7]) == sorted(s[2:7]) and np.isnan(spi.scores(np.array([1.0, 0, 0, 2.0]))).all()
-
-
 def test_breaks():
     rnd = np.random.RandomState(0)
     x = np.concatenate([rnd.normal(0, 0.1, 40), rnd.normal(3, 0.1, 40)])
