@@ -50,7 +50,8 @@ class Hashing:
     def __init__(self, sample: np.ndarray, n: int, k: int, success: float, occupancy: int, seed: int = 7, most: int = 20_000) -> None:
         rng = np.random.RandomState(seed)
         dims = sample.shape[1]
-        self.m = min(12, max(0, round(math.log(max(1.0, n / occupancy), 3)))) if n > 4 * occupancy else 0
+        # a query of a table of a few k entries has to see most of them; every other table is hashed
+        self.m = min(12, max(1, round(math.log(max(1.0, n / occupancy), 3)))) if n > 8 * k else 0
         self.a = rng.normal(size=(TABLES, self.m, dims))
         self.b = rng.uniform(size=(TABLES, self.m))
         self.most = most
@@ -103,12 +104,12 @@ class Hashing:
             yield chance, cells
 
     def shorten(self, queries: np.ndarray, share: float = 0.9) -> None:
-        """Keep only so many projections that `share` of the queries reach their success in every table."""
+        """Keep only so many projections, one at least, that `share` of the queries reach their success in every table."""
         if not self.m or not len(queries):
             return
         least = np.array([np.min([[chance.sum() for chance, _ in self._ranked(q, t, self.most)] for t in range(TABLES)], axis=0) for q in queries])
         good = np.flatnonzero((least >= self.each).mean(axis=0) >= share)
-        self.m = int(good[-1]) + 1 if len(good) else 0
+        self.m = int(good[-1]) + 1 if len(good) else 1
         self.a, self.b, self.mean, self.rho, self.sd, self.w = (x[:, : self.m] for x in (self.a, self.b, self.mean, self.rho, self.sd, self.w))
 
     def visits(self, q: np.ndarray) -> list[tuple[int, np.ndarray]]:

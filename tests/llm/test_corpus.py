@@ -194,6 +194,28 @@ def test_neighbours_recall(spark):
     assert hit / total >= 0.9
 
 
+def test_clustered_vectors_visit_few():
+    """20,000 vectors around 300 centres: a query's buckets hold a small share of them and nine in ten of its neighbours."""
+    rnd = np.random.RandomState(11)
+    x = rnd.normal(size=(300, 32))[rnd.randint(0, 300, 20_000)] + 0.15 * rnd.normal(size=(20_000, 32))
+    hashing = ann.Hashing(x[rnd.permutation(len(x))[:4000]], len(x), 10, 0.97, 200)
+    numbers = hashing.buckets(x)
+    visited, hit = [], []
+    for q in range(0, 20_000, 400):
+        seen = np.zeros(len(x), bool)
+        for t, buckets in hashing.visits(x[q]):
+            seen |= np.isin(numbers[:, t], buckets)
+        visited.append(seen.mean())
+        hit.append(seen[np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11]].mean())
+    assert hashing.m >= 3 and np.mean(visited) < 0.2 and np.mean(hit) >= 0.9
+
+
+@pytest.mark.parametrize("n", [100, 500, 2000, 50_000])
+def test_every_table_is_hashed(n):
+    sample = np.random.RandomState(n).normal(size=(min(n, 2000), 16))
+    assert ann.Hashing(sample, n, 10, 0.97, 200).m >= 1
+
+
 def test_neighbours_edge_cases(spark):
     rnd = np.random.RandomState(0)
     rows = [(i, rnd.normal(size=3).tolist()) for i in range(60)] + [(100 + i, [1.0, 2.0, 3.0]) for i in range(50)] + [(100, [1.0, 2.0, 3.0]), (200, None), (220, [0.0, 0.0, 0.0]), (240, [1.0, None, 2.0]), (260, [float("nan"), 1.0, 1.0]), (280, [float("inf"), 1.0, 1.0]), (300, [1.0]), (None, [1.0, 1.0, 1.0])]
