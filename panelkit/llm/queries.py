@@ -30,7 +30,7 @@ ph(phrase, p, base) AS (VALUES {phrases}),
 x AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 h AS (SELECT rid, w[i] AS word, i - 1 AS pos FROM x WHERE w[i] IN (SELECT word FROM idx)),
 df AS (SELECT word, count(DISTINCT rid) AS df FROM h GROUP BY word),
-wt AS (SELECT idx.*, ln(((SELECT count(*) FROM d) + 1.0::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE)) AS idf FROM idx LEFT JOIN df USING (word)),
+wt AS (SELECT idx.*, ln(((SELECT count(*) FROM d) + 1.0::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE)) AS idf FROM idx LEFT JOIN df USING (word) WHERE coalesce(df, 0) <= greatest(0.2::DOUBLE * (SELECT count(*) FROM d), 50)),
 whole AS (SELECT template, sum(idf) AS whole FROM wt GROUP BY template),
 pl AS (SELECT rid, phrase, base, i - 1 AS start FROM x JOIN ph ON w[i] = p[1] WHERE w[i : i + len(p) - 1] = p),
 lk AS (SELECT h.rid, wt.template, wt.label, any_value(whole) AS whole, sum(wt.idf) AS held FROM h JOIN wt USING (word) JOIN whole USING (template)

@@ -75,6 +75,44 @@ def test_licenses_of_several_notices_in_one_file(spark):
     assert abs(got[1].score - 1) < 1e-9 and abs(got[2].score - 1) < 1e-9
 
 
+def test_every_notice_labels_its_file(spark):
+    """Each template's notice, alone among prose, gives its label; more than 40 of them."""
+    prose = "some words of an ordinary text that says nothing about rights at all "
+    rows = [(t, prose + notice.upper().replace(" ", ", ") + " " + prose) for t, (_, _, notice) in enumerate(licenses.TEMPLATES)] + [(1000 + i, prose) for i in range(200)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert len(licenses.TEMPLATES) > 40
+    for t, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[t].labels.split(",") and got[t].score > 0.99
+    assert all(got[1000 + i].labels == "" for i in range(200))
+
+
+def test_nominating_words_are_an_exact_stop():
+    """Whatever indexed words a file holds: if it reaches the score, one of the template's nominating words is among them."""
+    import random
+
+    rng = random.Random(1)
+    for n in (10, 1000, 10**6):
+        words = {r[4] for r in licenses.index()}
+        df = {w: rng.choice([0, 1, n // 50, n // 6, n // 2, n]) for w in sorted(words)}
+        rows = licenses.postings(n, df, 0.2, 0.5)
+        for t in {r[0] for r in rows}:
+            own = [r for r in rows if r[0] == t]
+            whole = sum(r[5] for r in own)
+            assert abs(own[0][6] - whole) < 1e-9 and {r[4] for r in own} == {r[4] for r in licenses.index() if r[0] == t and df[r[4]] <= max(0.2 * n, 50)}
+            for _ in range(50):
+                file = {r[4] for r in own if rng.random() < rng.random()}
+                held = sum(r[5] for r in own if r[4] in file)
+                assert held < 0.5 * whole or any(r[7] for r in own if r[4] in file)
+
+
+def test_frequent_words_are_found_not_listed(spark):
+    rows = [(i, "the gnu general public license" if i % 2 else "the mozilla public license of the day") for i in range(400)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert {r.labels for r in got if r.doc_id % 2} == {"gpl"} and {r.labels for r in got if r.doc_id % 2 == 0} == {""}
+    n, df = licenses.document_frequencies(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert n == 400 and (df["the"], df["gnu"], df["mozilla"], df["apache"]) == (400, 200, 200, 0)
+
+
 def test_secrets_equal_brute_force(spark, documents):
     want = {i: base_spans(t) for i, t in documents}
     for r in queries.op2_secret_scans(spark, SF).collect():
