@@ -364,15 +364,19 @@ def _summed(t: pa.Table) -> pa.Table:
     return pa.concat_tables(parts) if parts else pa.table([t["_k"][:0], t["_c"][:0], t["_c"][:0], pa.array([], pa.float64()), pa.array([], pa.int64())], ["_k", "_c", "_c2", "d", "n"])
 
 
-def silhouettes(df: DataFrame, key: str, vector: str, cluster: str = "cluster", block: int = 2048) -> DataFrame:
+def silhouettes(df: DataFrame, key: str, vector: str, cluster: str = "cluster", block: int = 2048, most_rows: int = 200_000) -> DataFrame:
     """key, cluster, silhouette by Euclidean distances (0 for a cluster of one).
 
     All rows meet all rows, as the measure demands: in pairs of blocks of about `block` rows, whose distances are summed by
-    (row, cluster) before the shuffle.
+    (row, cluster) before the shuffle. That is work by the square of the rows: more than most_rows, which are counted, are
+    an error rather than days of it.
     """
+    n = df.count()
+    if n > most_rows:
+        raise ValueError(f"{n} rows are more than {most_rows}: silhouettes compare all pairs")
     rows = df.select(F.col(key).alias("_k"), F.col(vector).alias("_v"), F.col(cluster).alias("_c"))
     kinds = dict(rows.dtypes)
-    dealt = _pairs_of_blocks(rows, F.struct("_k", "_v"), df.count(), block)
+    dealt = _pairs_of_blocks(rows, F.struct("_k", "_v"), n, block)
     part = dealt.groupBy("_i", "_j").applyInArrow(_summed, f"_k {kinds['_k']}, _c {kinds['_c']}, _c2 {kinds['_c']}, d double, n bigint")
     sums = part.groupBy("_k", "_c", "_c2").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     own, other = F.col("_c") == F.col("_c2"), F.col("_c") != F.col("_c2")

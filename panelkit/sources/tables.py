@@ -107,10 +107,11 @@ def years_present(rows: DataFrame) -> DataFrame:
     return rows.select("district", F.regexp_extract("filename", r"^(\d{4})\.csv$", 1).try_cast("int").alias("year")).where("year is not null").distinct()
 
 
-def read_metric(spark: SparkSession, root: str, state: str) -> DataFrame:
+def read_metric(spark: SparkSession, root: str, state: str, names: dict[str, str] | None = None) -> DataFrame:
     """unit (file), year, district, season, value of yearly metric files: state filtered, year from the name.
 
     Files without a district or value column are skipped; where there is no state column all rows are the state's.
+    names: districts as the files call them -> as the map does (functions.rates.APY_NAMES); others keep their names.
     """
     patterns = {"state": ("state",), "district": ("district",), "season": ("season",), "value": ("area", "production", "yield")}
     places = heads(spark, root).select("path", "header", *[pattern_place(F.col("columns"), p).alias(k) for k, p in patterns.items()])
@@ -118,7 +119,9 @@ def read_metric(spark: SparkSession, root: str, state: str) -> DataFrame:
     data = _rows(spark, root, layout, tuple(patterns), keep=("any_state",))
     rows = data.where(F.col("any_state") | (F.lower(F.trim("state")) == state.lower()))
     unit = _place(F.col("path"))[1]
-    out = rows.select(unit.alias("unit"), year_in_name(unit).alias("year"), F.trim("district").alias("district"), "season", to_number(F.col("value")).alias("value"))
+    own = F.trim("district")
+    called = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), own), own) if names else own
+    out = rows.select(unit.alias("unit"), year_in_name(unit).alias("year"), called.alias("district"), "season", to_number(F.col("value")).alias("value"))
     return out.where("value is not null and district is not null and district <> ''")
 
 

@@ -5,6 +5,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
+from panelkit.functions.rates import APY_NAMES
 from panelkit.sources import tables
 from panelkit.streaming import arrivals
 
@@ -99,6 +100,8 @@ def test_names_of_folders_and_files(spark, tmp_path):
     put(tmp_path / "m x/yield 2008.csv", "District Name,Season,Yield\nAgra,Rabi,\"1,234.5\"\n,Rabi,1\n")
     got = tables.read_metric(spark, str(tmp_path / "m x"), "Uttar Pradesh").collect()
     assert sorted((r.unit, r.year, r.district, r.season, r.value) for r in got) == [("area 2007 #2.csv", 2007, "Bara Banki", None, 12.0), ("yield 2008.csv", 2008, "Agra", "Rabi", 1234.5)]
+    on_map = tables.read_metric(spark, str(tmp_path / "m x"), "Uttar Pradesh", APY_NAMES).collect()
+    assert sorted(r.district for r in on_map) == ["Agra", "Barabanki"]
 
 
 def test_lines_of_every_encoding(spark, tmp_path):
