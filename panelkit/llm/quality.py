@@ -2,7 +2,7 @@
 
 Defined results: null and empty texts have no words and fail as texts of too few; a text of any length is measured whole;
 metrics equal to a threshold pass; repeated rows are judged each for itself; an empty table gives an empty result; other
-columns are kept, but that those named like measures are replaced.
+columns, whatever their names, are ignored and not in the result.
 """
 
 from __future__ import annotations

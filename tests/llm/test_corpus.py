@@ -43,6 +43,13 @@ def test_quality_equals_brute_force(spark, documents, messy, nothing):
     assert quality.judge(nothing).count() == 0
 
 
+def test_quality_ignores_other_columns(spark):
+    rows = spark.createDataFrame([(1, "a b", 99, "x", True)], "doc_id int, text string, n_words int, _t string, kept boolean")
+    got = quality.judge(rows)
+    assert got.columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words", "kept"]
+    assert got.first().n_words == 2 and got.first().kept is False
+
+
 def test_rules_compile_to_one_expression():
     assert quality.compile_rules((quality.Rule("words", 3, 5), quality.Rule("words", high=9, only_from=4))) == "((n_words) >= 3 AND (n_words) <= 5) AND (n_words < 4 OR ((n_words) <= 9))"
     assert quality.compile_rules(()) == "true"
