@@ -7,27 +7,61 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def pair_distance(x: np.ndarray, rank: int) -> float:
+    """The rank-th smallest (from 1) of the distances of all pairs, in memory of the series' length.
+
+    Pairs within a distance are counted on the sorted values; the distance is found by halving the range of doubles, whose
+    bits are in the order of their values.
+    """
+    x = np.sort(x)
+    first = np.arange(len(x))
+    within = lambda d: int((np.searchsorted(x, x + d, side="right") - first - 1).sum())
+    low, high = 0, int(np.float64(x[-1] - x[0]).view(np.int64))
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if within(np.int64(middle).view(np.float64)) >= rank else (middle + 1, high)
+    return float(np.int64(low).view(np.float64))
+
+
+def _scale(x: np.ndarray) -> float:
+    """The median of the squared distances of all pairs."""
+    pairs = len(x) * (len(x) - 1) // 2
+    return (pair_distance(x, (pairs + 1) // 2) ** 2 + pair_distance(x, pairs // 2 + 1) ** 2) / 2
+
+
 def change_points(x: np.ndarray, penalty: float = 3.0, least: int = 2) -> list[int]:
-    """Ends of segments, the last excluded. Cost of a segment: its length less the mean of its kernel matrix's row sums."""
+    """Ends of segments, the last excluded. Cost of a segment: its length less the mean of its kernel matrix's row sums.
+
+    No kernel matrix is held: for every start that is still in the race the sum over its square is kept, and a new value
+    adds one row to each, by sums from the end. Memory grows with the length; work with the length times the reach of the
+    starts in the race, which is a few segments once there are breaks.
+    """
     n = len(x)
     if n < 4:
         return []
-    d2 = (x[:, None] - x[None]) ** 2
-    middle = np.median(d2[np.triu_indices(n, 1)])
-    kernel = np.exp(-np.clip(d2 / middle if middle > 0 else d2, 1e-2, 1e2))
-    total = np.zeros((n + 1, n + 1))
-    total[1:, 1:] = kernel.cumsum(axis=0).cumsum(axis=1)
-    cost = lambda a, b: (b - a) - (total[b, b] - total[a, b] - total[b, a] + total[a, a]) / (b - a)
-    best, back, alive = {0: -penalty}, {0: 0}, [0]
-    for end in range(least, n + 1):
-        open_ = [s for s in alive if end - s >= least]
-        values = {s: best[s] + cost(s, end) + penalty for s in open_}
-        start = min(values, key=values.get)
-        best[end], back[end] = values[start], start
-        alive = [s for s in alive if s not in values or values[s] - penalty <= best[end]] + [end]
+    middle = _scale(x)
+    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
+    best[0] = -penalty
+    alive, held = np.zeros(1, dtype=np.int64), np.zeros(1)
+    for end in range(1, n + 1):
+        low = int(alive[0])
+        d2 = (x[low:end] - x[end - 1]) ** 2
+        row = np.exp(-np.clip(d2 / middle if middle > 0 else d2, 1e-2, 1e2))
+        from_end = row[::-1].cumsum()[::-1]
+        held += 2 * from_end[alive - low] - row[-1]
+        if end < least:
+            continue
+        there = alive <= end - least
+        length = end - alive[there]
+        values = best[alive[there]] + (length - held[there] / length) + penalty
+        at = int(values.argmin())
+        best[end], back[end] = values[at], alive[there][at]
+        stays = np.ones(len(alive), dtype=bool)
+        stays[there] = values - penalty <= best[end]
+        alive, held = np.append(alive[stays], end), np.append(held[stays], 0.0)
     out, end = [], n
     while back[end] > 0:
-        end = back[end]
+        end = int(back[end])
         out.append(end)
     return out[::-1]
 

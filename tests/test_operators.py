@@ -183,6 +183,51 @@ def test_lookup(spark):
     assert sorted(tuple(r) for r in left.collect()) == [(1, 2), (3, 1)]
 
 
+def matrix_change_points(x, penalty=3.0, least=2):
+    """The same search with the whole kernel matrix and every start."""
+    n = len(x)
+    if n < 4:
+        return []
+    d2 = (x[:, None] - x[None]) ** 2
+    middle = np.median(d2[np.triu_indices(n, 1)])
+    total = np.zeros((n + 1, n + 1))
+    total[1:, 1:] = np.exp(-np.clip(d2 / middle if middle > 0 else d2, 1e-2, 1e2)).cumsum(axis=0).cumsum(axis=1)
+    best, back = {0: -penalty}, {0: 0}
+    for end in range(least, n + 1):
+        values = {s: best[s] + (end - s) - (total[end, end] - total[s, end] - total[end, s] + total[s, s]) / (end - s) + penalty for s in best if end - s >= least}
+        back[end] = min(values, key=values.get)
+        best[end] = values[back[end]]
+    out, end = [], n
+    while back[end] > 0:
+        end = back[end]
+        out.append(end)
+    return out[::-1]
+
+
+def test_breaks_equal_the_search_with_a_matrix():
+    rnd = np.random.RandomState(5)
+    for n in (4, 5, 17, 60, 150):
+        for levels in (1, 3, 6):
+            x = np.repeat(rnd.normal(0, 3, levels), -(-n // levels))[:n] + rnd.normal(0, 0.5, n)
+            assert breaks.change_points(x) == matrix_change_points(x)
+    assert breaks.change_points(np.zeros(50)) == matrix_change_points(np.zeros(50)) == []
+
+
+def test_pair_distances():
+    rnd = np.random.RandomState(6)
+    for x in (rnd.normal(size=40), rnd.randint(0, 5, 31).astype(float), np.zeros(6)):
+        every = np.sort(np.abs(x[:, None] - x[None])[np.triu_indices(len(x), 1)])
+        for rank in (1, 7, len(every) // 2, len(every)):
+            assert breaks.pair_distance(x, rank) == pytest.approx(every[rank - 1], abs=1e-12)
+
+
+def test_breaks_of_a_long_series():
+    """100,000 values with a break every 1,000: a kernel matrix of them would take 80 GB."""
+    rnd = np.random.RandomState(7)
+    x = np.repeat(np.tile([0.0, 4.0], 50), 1000) + rnd.normal(0, 0.3, 100_000)
+    assert breaks.change_points(x) == list(range(1000, 100_000, 1000))
+
+
 def test_breaks():
     rnd = np.random.RandomState(0)
     x = np.concatenate([rnd.normal(0, 0.1, 40), rnd.normal(3, 0.1, 40)])
