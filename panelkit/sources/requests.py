@@ -30,7 +30,7 @@ SCHEMA = "request map<string, string>, url string, status int, tries int, body s
 
 def listed_values(text: str) -> range | list[str]:
     """ "a,b,c", or "2006..2025" for whole numbers with both ends."""
-    span = re.fullmatch(r"\s*(-?\d+)\.\.(-?\d+)\s*", text)
+    span = re.match(r"\s*(-?\d+)\.\.(-?\d+)\s*$", text)
     return range(int(span[1]), int(span[2]) + 1) if span else [v.strip() for v in text.split(",") if v.strip()]
 
 
