@@ -2,12 +2,14 @@
 
 A long text is cut into overlapping chunks that are pre-tokenised in parallel. The pattern only looks ahead, so two
 scans that share one pre-token boundary agree from there on: where the scan of a chunk (right, if it began at a right
-place) and the scan of the next one share a boundary inside the overlap, the text is stitched. The pieces between the
+place) and the scan of the next one share a boundary inside the overlap, with no white space before it, the text is stitched. The pieces between the
 stitches are whole runs of pre-tokens, so encoding them apart and joining the ids gives the ids of the whole text.
 Where a chunk does not resynchronise (one pre-token longer than the overlap), the rest of that text is one piece.
-Texts no longer than one chunk are pieces as they stand. Decoding takes the bytes of each id and concatenates them.
+A text of one chunk is one piece. Decoding takes the bytes of each id and concatenates them.
 
-Chunks and pieces of one text may lie in different tasks; only its boundaries (a few numbers a chunk) meet in a window.
+This is done at two sizes. Every text is cut into chunks of SMALL characters, stitched and encoded piece by piece within
+its task. Texts of more than `chunk` characters are first cut into chunks of that size, which are scanned and, once
+stitched, encoded in different tasks; only their boundaries (a few numbers a chunk) meet in a window.
 
 Defined results: null and empty texts have no ids and no bytes; repeated rows are encoded each for itself; an empty
 table gives an empty result; encode() keeps the columns named in `keep`.
@@ -27,6 +29,10 @@ from .common import cut, small_batches, whole_text
 
 #: Texts whose ids a Python worker holds at once.
 ROWS_AT_ONCE = 500
+#: Characters of a chunk, and of its overlap with the next one, within a task.
+SMALL, SMALL_OVERLAP = 2_048, 256
+#: Characters at a chunk's end whose pre-tokens what follows may still change.
+UNSURE = 4
 _loaded: dict[tuple, object] = {}
 
 
@@ -74,12 +80,48 @@ def _bytes_of(ids: pa.ListArray, vocabulary: pa.Array) -> pa.BinaryArray:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, borders, data or pa.py_buffer(b"")]).cast(pa.binary())
 
 
+def scan(text: str, s: int, chunk: int, overlap: int, compiled) -> tuple[list[int], list[int]]:
+    """Pre-token boundaries of the chunk at s that lie in its overlap with the chunk before and with the next one.
+
+    A boundary after white space does not count: how a run of it is split depends on whether more follows, so a piece
+    that ends there would be split otherwise than the text.
+    """
+    body = text[s : s + chunk + overlap]
+    last = s + chunk >= len(text)
+    ends = [b for b in [s, *(s + m.end() for m in compiled.finditer(body))] if not text[b - 1 : b].isspace()]
+    sure = s + len(body) - UNSURE
+    head = [b for b in ends if b < s + overlap and (last or b <= sure)]
+    tail = [] if last else [b for b in ends if s + chunk <= b <= sure]
+    return head, tail
+
+
+def stitched(text: str, compiled, chunk: int, overlap: int) -> list[str]:
+    """The pieces of a text between its stitches; where two chunks share no boundary, all that follows is one piece."""
+    out, begin, before = [], 0, None
+    for s in range(0, len(text), chunk):
+        head, tail = scan(text, s, chunk, overlap, compiled) if len(text) > chunk else ([], [])
+        if before is not None:
+            shared = before.intersection(head)
+            if not shared:
+                break
+            out.append(text[begin : (begin := min(shared))])
+        before = set(tail)
+    return [*out, text[begin:]]
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, decoded: bool) -> Iterator[pa.RecordBatch]:
-    coder, vocabulary = _coder(path, pattern), _vocabulary(path)
+    import regex
+
+    coder, vocabulary, compiled = _coder(path, pattern), _vocabulary(path), regex.compile(pattern)
+
+    def ids_of(text: str) -> np.ndarray:
+        pieces = [coder.encode_to_numpy(p, disallowed_special=()) for p in stitched(text, compiled, SMALL, SMALL_OVERLAP)]
+        return pieces[0] if len(pieces) == 1 else np.concatenate(pieces)
+
     for batch in batches:
         for begin in range(0, len(batch), ROWS_AT_ONCE):
             part = batch.slice(begin, ROWS_AT_ONCE)
-            ids = _lists([coder.encode_to_numpy(t, disallowed_special=()) for t in part.column("_t").to_pylist()])
+            ids = _lists([ids_of(t) for t in part.column("_t").to_pylist()])
             kept = [c for c in part.schema.names if c != "_t"]
             more = [ids, _bytes_of(ids, vocabulary)] if decoded else [ids]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *more], [*kept, "ids", "bytes"][: len(kept) + len(more)])
@@ -94,14 +136,10 @@ def _scanned(batches: Iterator[pa.RecordBatch], pattern: str, chunk: int, overla
         for r in range(len(batch)):
             text, row = batch.column("_t")[r].as_py(), batch.slice(r, 1)
             for k, s in enumerate(range(0, len(text), chunk)):
-                body = text[s : s + chunk + overlap]
-                last = s + chunk >= len(text)
-                ends = [s, *(s + m.end() for m in compiled.finditer(body))]
-                sure = s + len(body) - 4  # what follows the chunk may still change its last tokens
-                head = [b for b in ends if b < s + overlap and (last or b <= sure)]
-                tail = [] if last else [b for b in ends if s + chunk <= b <= sure]
+                head, tail = scan(text, s, chunk, overlap, compiled)
                 kept = [row.column(c) for c in row.schema.names if c != "_t"]
-                more = [pa.array([k]), pa.array([s]), pa.array([last]), pa.array([body]), pa.array([head], pa.list_(pa.int64())), pa.array([tail], pa.list_(pa.int64()))]
+                body = text[s : s + chunk + overlap]
+                more = [pa.array([k]), pa.array([s]), pa.array([s + chunk >= len(text)]), pa.array([body]), pa.array([head], pa.list_(pa.int64())), pa.array([tail], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*kept, *more], [*(c for c in row.schema.names if c != "_t"), "k", "s", "last", "body", "head", "tail"])
 
 

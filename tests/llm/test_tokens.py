@@ -43,6 +43,42 @@ def test_stitched_chunks_equal_whole_texts(spark):
     assert {r.doc_id: r.ids for r in got} == {i: CODER.encode_ordinary(t or "") for i, t in texts.items()}
 
 
+def test_stitched_pieces_are_whole_pretokens():
+    """Random texts in small chunks: the pieces' pre-tokens are those of the text, and most texts are cut."""
+    import random
+
+    import regex
+
+    compiled = regex.compile(public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    alphabet = ["a", "Z", "ß", "日", "9", "0", " ", "  ", "\n", "\t", "'s", "'re", "!", "...", "🙂", "é", "\u0301", "x" * 30]
+    many = 0
+    for _ in range(400):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 300)))
+        pieces = bpe.stitched(text, compiled, 32, 16)
+        assert "".join(pieces) == text
+        assert [m for p in pieces for m in compiled.findall(p)] == compiled.findall(text)
+        many += len(pieces) > 2
+    assert many > 100
+    assert bpe.stitched("", compiled, 32, 16) == [""] and bpe.stitched("a" * 500, compiled, 32, 16) == ["a" * 500]
+
+
+def test_no_stitch_behind_white_space(spark):
+    """A run of white space before a sign is split by what follows it: a piece must not end there."""
+    texts = [(i, ("word " * i + "   \t🙂! \n\n  x" + " " * (i % 7) + "\t?") * 12) for i in range(40)]
+    got = bpe.encode(spark.createDataFrame(texts, "doc_id int, text string"), RANKS, public_tokenizers.PATTERN, chunk=48, overlap=16).collect()
+    want = {i: CODER.encode_ordinary(t) for i, t in texts}
+    assert len(got) == 40 and all(list(r.ids) == want[r.doc_id] for r in got)
+
+
+def test_ordinary_texts_are_stitched(documents):
+    import regex
+
+    compiled = regex.compile(public_tokenizers.PATTERN)
+    cut = [t for _, t in documents if len(bpe.stitched(t, compiled, bpe.SMALL, bpe.SMALL_OVERLAP)) > 1]
+    assert len(cut) > len(documents) / 10
+
+
 def test_bpe_edge_cases(messy, nothing):
     coded = bpe.encode(messy.drop("ids"), RANKS, public_tokenizers.PATTERN, keep=("doc_id", "size"))
     got = bpe.decode(coded, RANKS).collect()
