@@ -37,6 +37,8 @@ from .shingles import mixed, pieces, text_bytes, word_hashes, words
 
 BUCKETS = 1 << 15
 REACH = 8
+#: Bytes of text whose n-grams a worker holds at once (some 90 bytes a byte of text), and rows of an Arrow batch.
+AT_ONCE, ROWS_AT_ONCE = 250_000, 500
 ADDED = ("score", "key", "kept")
 
 
@@ -65,7 +67,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
     for batch in batches:
-        for begin, end in pieces(batch.column("text")):
+        for begin, end in pieces(batch.column("text"), AT_ONCE):
             part = batch.slice(begin, end - begin)
             bucket, text = grams(part.column("text"))
             good = np.asarray(part.column("quality").fill_null(-1)) == 1
@@ -77,7 +79,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Log ratio of target to raw for each bucket. labels: doc_id, quality, bounded; docs: all raw text."""
-    marked = small_batches(docs).select("doc_id", "text").join(F.broadcast(labels), "doc_id", "left").select("text", "quality")
+    marked = small_batches(docs, ROWS_AT_ONCE).select("doc_id", "text").join(F.broadcast(labels), "doc_id", "left").select("text", "quality")
     counts = marked.mapInArrow(_counted, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.collect():  # BUCKETS rows at most, whatever the corpus
@@ -90,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
 def _weighed(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for begin, end in pieces(batch.column("text")):
+        for begin, end in pieces(batch.column("text"), AT_ONCE):
             part = batch.slice(begin, end - begin)
             bucket, text = grams(part.column("text"))
             n = np.bincount(text, minlength=len(part))
@@ -100,7 +102,7 @@ def _weighed(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[p
 
 def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """docs with score: the mean log ratio of the text's n-grams."""
-    docs = small_batches(docs).drop("score")
+    docs = small_batches(docs, ROWS_AT_ONCE).drop("score")
     return docs.mapInArrow(lambda b: _weighed(b, ratio), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 

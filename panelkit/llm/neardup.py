@@ -44,6 +44,8 @@ WORDS = BITS // 64
 MOST_BITS = 135
 #: Classes, and shingles, in a block.
 BLOCK, BLOCK_SHINGLES = 1024, 500_000
+#: Bytes of text whose samples a worker holds at once, and rows of an Arrow batch of texts.
+AT_ONCE, ROWS_AT_ONCE = 250_000, 500
 
 _rng = np.random.RandomState(20240229)
 _A = (_rng.randint(0, 1 << 31, SAMPLES).astype(np.uint32) << 1) | np.uint32(1)
@@ -86,7 +88,7 @@ def _fixed_lists(rows: np.ndarray) -> pa.ListArray:
 
 def _summaries(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for begin, end in pieces(batch.column("text")):
+        for begin, end in pieces(batch.column("text"), AT_ONCE):
             part = batch.slice(begin, end - begin)
             hashes, at = shingle_sets(part.column("text"), width)
             sizes = np.diff(at)
@@ -121,7 +123,7 @@ def summarise(docs: DataFrame, width: int) -> DataFrame:
     rows = docs.select("doc_id", "text", row_hash().alias("jk"))
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
     schema = f"doc_id {kind}, jk bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch array<bigint>"
-    return small_batches(rows).mapInArrow(lambda batches: _summaries(batches, width), schema)
+    return small_batches(rows, ROWS_AT_ONCE).mapInArrow(lambda batches: _summaries(batches, width), schema)
 
 
 def _alike(sizes: np.ndarray, size: int, percent: int) -> np.ndarray:

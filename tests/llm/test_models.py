@@ -168,3 +168,29 @@ def test_language_equals_plain_bayes(spark):
         assert (got[i].lang, got[i].text_lang, got[i].host) == (lang, by_text, host) and math.isclose(got[i].probability, probability, abs_tol=1e-9)
     lies = [i for i in truth if i % 10 == 3 or i % 12 == 5]
     assert np.mean([got[i].lang == truth[i] for i in lies]) > 0.9 and np.mean([got[i].lang == truth[i] for i in truth]) > 0.97
+
+
+def test_workers_hold_little_of_a_batch():
+    """What numpy holds at once for many texts is bounded by a piece of them, not by the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from panelkit.llm import neardup
+
+    rnd = np.random.RandomState(5)
+    texts = [" ".join(map(str, rnd.randint(0, 100_000, 400))) for _ in range(900)]  # 2 MB
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(900)), "jk": list(range(900)), "text": texts})
+    runs = {
+        "weighed": (lambda: classifier._weighed(iter([batch]), np.zeros(classifier.BUCKETS)), 60_000_000),
+        "summaries": (lambda: neardup._summaries(iter([batch]), 5), 15_000_000),
+    }
+    for name, (run, most) in runs.items():
+        rows = sum(len(b) for b in run())  # tables of powers are kept from here on
+        tracemalloc.start()
+        try:
+            assert sum(len(b) for b in run()) == rows == 900, name
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert peak < most, (name, peak)
