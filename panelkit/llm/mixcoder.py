@@ -237,7 +237,7 @@ def encode_blocks(blocks: list[np.ndarray], bits: int, lanes: int = 2048) -> lis
         ids = np.zeros((int(sizes[0]), len(some)), np.uint32)
         for lane, i in enumerate(some):
             ids[: len(blocks[i]), lane] = blocks[i]
-        coder = _Writer(len(some), int(sizes[0]) + 8)
+        coder = _Writer(len(some), int(sizes[0]) * 5 // 8 + 8)  # in words of 16 bits; grows where ids take more
         _run(coder, sizes, bits, ids, False)
         for i, code in zip(some, coder.close()):
             out[i] = HEAD.pack(MAGIC, len(blocks[i]), zlib.crc32(blocks[i].astype("<u4").tobytes()), bits) + code

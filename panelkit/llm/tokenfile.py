@@ -133,56 +133,91 @@ BLOCK_ROW = pa.schema(
 BLOCK_SCHEMA = "part int, block bigint, n_ids bigint, payload binary, segments array<struct<doc_id: bigint, row: bigint, at: bigint, n: bigint, first: boolean, last: boolean>>"
 
 
+#: Blocks of one output batch.
+ROWS_OUT = 256
+
+
+def _segments(upto: np.ndarray, full: int, begun: bool) -> tuple[np.ndarray, ...]:
+    """The first `full` ids, cut at the borders of blocks and documents: (document, start, n, first, last, n + 1 places of each block's segments).
+
+    upto: the n + 1 offsets of the documents, none of which is empty; begun: the first one has ids in earlier blocks.
+    """
+    starts = np.union1d(upto[:-1][upto[:-1] < full], np.arange(0, full, BLOCK))
+    ends = np.append(starts[1:], full)
+    doc = np.searchsorted(upto, starts, "right") - 1
+    first = (starts == upto[doc]) & ~((doc == 0) & begun)
+    return doc, starts, ends - starts, first, ends == upto[doc + 1], np.searchsorted(starts, np.append(np.arange(0, full, BLOCK), full))
+
+
+class _Part:
+    """Ids of a part's documents that are not in blocks yet."""
+
+    def __init__(self, part: int) -> None:
+        self.part, self.block, self.row, self.at = part, 0, 0, 0  # row: of the first document held; at: of the first id
+        self.ids: list[np.ndarray] = []
+        self.names: list[pa.Array] = []
+        self.sizes: list[np.ndarray] = []
+        self.held, self.begun = 0, False
+
+    def add(self, ids: np.ndarray, names: pa.Array, sizes: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.names.append(names)
+        self.sizes.append(sizes)
+        self.held += len(ids)
+
+    def blocks(self, bits: int, last: bool) -> Iterator[pa.RecordBatch]:
+        """All full blocks, and if last the rest."""
+        if not self.held:
+            return
+        stream, names, sizes = np.concatenate(self.ids), pa.concat_arrays(self.names), np.concatenate(self.sizes)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        full = len(stream) if last else len(stream) // BLOCK * BLOCK
+        begun, row, at, block = self.begun, self.row, self.at, self.block
+        d = int(np.searchsorted(upto, full, "right")) - 1  # the first document with ids left
+        left = full < len(stream)
+        self.begun, self.row, self.at, self.block = left and (full > upto[d] or (d == 0 and begun)), row + d, at + full, block + -(-full // BLOCK)
+        self.held = len(stream) - full
+        self.ids = [stream[full:].copy()] if left else []
+        self.names, self.sizes = ([names[d:]], [np.append(upto[d + 1] - full, sizes[d + 1 :])]) if left else ([], [])
+
+        doc, start, n, first, ends, places = _segments(upto, full, begun)
+        cuts = np.arange(0, full, BLOCK)
+        codes = encode_blocks([stream[c : min(c + BLOCK, full)] for c in cuts.tolist()], bits, TOGETHER)
+        del stream
+        for lo in range(0, len(cuts), ROWS_OUT):
+            hi = min(lo + ROWS_OUT, len(cuts))
+            x = slice(places[lo], places[hi])
+            fields = [names.take(pa.array(doc[x])), pa.array(row + doc[x]), pa.array(at + start[x]), pa.array(n[x]), pa.array(first[x]), pa.array(ends[x])]
+            struct = pa.StructArray.from_arrays(fields, fields=list(BLOCK_ROW.field("segments").type.value_type))
+            segments = pa.ListArray.from_arrays(pa.array((places[lo : hi + 1] - places[lo]).astype(np.int32)), struct)
+            sizes_out = np.minimum(cuts[lo:hi] + BLOCK, full) - cuts[lo:hi]
+            columns = [pa.array(np.full(hi - lo, self.part, np.int32)), pa.array(block + np.arange(lo, hi)), pa.array(sizes_out), pa.array(codes[lo:hi], pa.binary()), segments]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, BLOCK_ROW)], schema=BLOCK_ROW)
+
+
 def _written(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Sorted documents of whole parts -> block rows."""
     tokens = _words(path)
     bits = bits_for(max(tokens.largest, end_id))
-    part, ids, doc, size = None, [], [], []
-    block = row = at = 0  # at: place in the part
-
-    def blocks(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal ids, doc, size, block, at, row
-        stream = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-        upto = np.concatenate([[0], np.cumsum(np.array(size, dtype=np.int64))])
-        full = len(stream) if last else len(stream) // BLOCK * BLOCK
-        cuts = list(range(0, full, BLOCK))
-        coded = encode_blocks([stream[c : min(c + BLOCK, full)] for c in cuts], bits, TOGETHER)
-        out = []
-        for c, code in zip(cuts, coded):
-            e = min(c + BLOCK, full)
-            a, b = int(np.searchsorted(upto, c, "right")) - 1, int(np.searchsorted(upto, e, "left"))
-            segments = []
-            for d in range(a, b):
-                s, t = max(int(upto[d]), c), min(int(upto[d + 1]), e)
-                left = doc[d][2] - size[d]  # written with earlier blocks
-                segments.append({"doc_id": doc[d][0], "row": doc[d][1], "at": at + s, "n": t - s, "first": left + s == int(upto[d]), "last": t == int(upto[d + 1])})
-            out.append({"part": part, "block": block, "n_ids": e - c, "payload": code, "segments": segments})
-            block += 1
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=BLOCK_ROW)
-        at += full
-        d = int(np.searchsorted(upto, full, "right")) - 1
-        ids, doc, size = ([stream[full:]], doc[d:], [int(upto[d + 1]) - full, *size[d + 1 :]]) if full < len(stream) else ([], [], [])
-
+    held: _Part | None = None
     for batch in batches:
         for begin, end in pieces(batch.column("_t")):
             piece = batch.slice(begin, end - begin)
             flat, offsets = tokens.ids(piece.column("_t"))
-            parts, names = piece.column("part").to_pylist(), piece.column("doc_id").to_pylist()
-            for k in range(len(piece)):
-                if parts[k] != part:
-                    if part is not None:
-                        yield from blocks(True)
-                    part, ids, doc, size, block, row, at = parts[k], [], [], [], 0, 0, 0
-                own = np.append(flat[offsets[k] : offsets[k + 1]], np.uint32(end_id))
-                ids.append(own)
-                doc.append((names[k], row, len(own)))
-                size.append(len(own))
-                row += 1
-            if sum(map(len, ids)) >= TOGETHER * BLOCK:
-                yield from blocks(False)
-    if part is not None:
-        yield from blocks(True)
+            flat = np.insert(flat, offsets[1:], np.uint32(end_id))
+            offsets = offsets + np.arange(len(offsets))
+            parts, names = np.asarray(piece.column("part")), piece.column("doc_id").cast(pa.int64())
+            edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(piece)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if held is None or held.part != parts[a]:
+                    if held is not None:
+                        yield from held.blocks(bits, True)
+                    held = _Part(int(parts[a]))
+                held.add(flat[offsets[a] : offsets[b]], names.slice(a, b - a), np.diff(offsets[a : b + 1]))
+            if held is not None and held.held >= TOGETHER * BLOCK:
+                yield from held.blocks(bits, False)
+    if held is not None:
+        yield from held.blocks(bits, True)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, rows_per_part: int = 16_384) -> None:
@@ -229,18 +264,39 @@ class _Joiner:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "row", "doc_id", "at", "n", "crc", "piece"])
 
 
+def _joined(some: pa.RecordBatch, ids: list[np.ndarray], joiner: _Joiner) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Documents that begin and end in these blocks, as rows; segments of others go to the joiner, in order."""
+    stream = np.concatenate(ids).astype("<u4", copy=False) if ids else np.empty(0, "<u4")
+    lists = some.column("segments")
+    flat = lists.flatten()
+    part = np.repeat(np.asarray(some.column("part")), np.asarray(lists.value_lengths().fill_null(0)))
+    row, at, n, first, last = (np.asarray(flat.field(c)) for c in ("row", "at", "n", "first", "last"))
+    names = flat.field("doc_id")
+    ends = np.cumsum(n)
+    begins = ends - n  # a block's segments hold all its ids in order
+    new = np.ones(len(n), bool)
+    new[1:] = first[1:] | (part[1:] != part[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + n[:-1])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(n))[: len(head)] - 1
+    whole = first[head] & last[tail]
+    raw = memoryview(stream).cast("B")
+    for a, b in zip(head[~whole].tolist(), tail[~whole].tolist()):
+        for k in range(a, b + 1):
+            s = {"doc_id": names[k].as_py(), "row": int(row[k]), "at": int(at[k]), "n": int(n[k]), "first": bool(first[k]), "last": bool(last[k])}
+            joiner.add(int(part[k]), s, bytes(raw[4 * int(begins[k]) : 4 * int(ends[k])]))
+    head, tail = head[whole], tail[whole]
+    crc = np.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins[head].tolist(), ends[tail].tolist())], np.int64)
+    columns = [part[head], row[head], names.take(pa.array(head)), at[head], ends[tail] - begins[head], crc, pa.nulls(len(head), pa.binary())]
+    rows = joiner.rows()
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], rows.schema.names), rows
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     joiner = _Joiner()
     for batch in batches:
         for begin in range(0, len(batch), TOGETHER):
             some = batch.slice(begin, TOGETHER)
-            ids = decode_blocks(some.column("payload").to_pylist(), TOGETHER)
-            for part, own, segments in zip(some.column("part").to_pylist(), ids, some.column("segments").to_pylist()):
-                data, place = own.astype("<u4").tobytes(), 0
-                for s in segments:
-                    joiner.add(part, s, data[4 * place : 4 * (place + s["n"])])
-                    place += s["n"]
-            yield joiner.rows()
+            yield from _joined(some, decode_blocks(some.column("payload").to_pylist(), TOGETHER), joiner)
     joiner.give_up()
     yield joiner.rows()
 

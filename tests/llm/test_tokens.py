@@ -160,3 +160,62 @@ def test_documents_over_a_reader_border_go_as_pieces():
     joiner.give_up()
     got = [(r["part"], r["row"], r["at"], r["n"], r["crc"], r["piece"]) for r in joiner.rows().to_pylist()]
     assert got == [(0, 1, 10, 1, None, b"tail"), (0, 2, 11, 3, zlib.crc32(b"one-two"), None), (0, 3, 14, 1, zlib.crc32(b"whole"), None), (0, 4, 15, 1, None, b"head"), (1, 0, 0, 1, zlib.crc32(b"next part"), None)]
+
+
+def test_short_documents_make_no_python_objects(monkeypatch):
+    """Many segments a block are written and read as arrays: memory stays near that of their columns."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 40_000
+    texts = pa.RecordBatch.from_pydict({"doc_id": pa.array([None, *range(1, n)], pa.int64()), "part": pa.array([0] * n, pa.int32()), "_t": ["a"] * n})
+    tokenfile._words(WORDS).ids(pa.array(["a"]))
+    monkeypatch.setattr(tokenfile, "TOGETHER", 32)
+
+    def peak(run):
+        list(run())
+        tracemalloc.start()
+        try:
+            return list(run()), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    written, most = peak(lambda: tokenfile._written(iter([texts]), WORDS, 2))
+    assert most < 14_000_000, most
+    read, most = peak(lambda: tokenfile._read(iter(written)))
+    assert most < 14_000_000, most
+    rows = [r for b in read for r in b.to_pylist()]
+    assert sum(r["crc"] is not None for r in rows) >= n - 2 * len(written) and {r["doc_id"] for r in rows} == {None, *range(1, n)}
+
+
+def test_segments_over_blocks_batches_and_parts(spark, monkeypatch):
+    """Small blocks, written and read in uneven batches: every document comes back with its place, length and digest."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokenfile, "BLOCK", 16)
+    monkeypatch.setattr(tokenfile, "TOGETHER", 4)
+    rnd = random.Random(8)
+    rows = [(p, None if i == 0 and p == 0 else 1000 * p + i, " ".join(rnd.choice(["a", "bc", "def,"]) for _ in range(rnd.choice([0, 1, 5, 16, 31, 400])))) for p in range(3) for i in range(rnd.randint(1, 60))]
+    batches, at = [], 0
+    while at < len(rows):
+        size = rnd.randint(1, 25)
+        part, doc, text = zip(*rows[at : at + size])
+        batches.append(pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "part": pa.array(part, pa.int32()), "_t": list(text)}))
+        at += size
+    written = pa.Table.from_batches(list(tokenfile._written(iter(batches), WORDS, 2))).combine_chunks()
+    blocks = written.to_pylist()
+    assert all(b["n_ids"] == sum(s["n"] for s in b["segments"]) <= 16 for b in blocks)
+    assert [(b["part"], b["block"]) for b in blocks] == [(p, k) for p in range(3) for k in range(sum(b["part"] == p for b in blocks))]
+    for size in (1, 3, 9, 1000):
+        pieces = {}
+        for b in tokenfile._read(iter(written.to_batches(max_chunksize=size))):
+            for r in b.to_pylist():
+                pieces.setdefault((r["part"], r["row"]), []).append(r)
+        for p in range(3):
+            own = [(d, t) for q, d, t in rows if q == p]
+            for k, (doc, start, n, crc) in enumerate(expected(own)):
+                got = sorted(pieces[p, k], key=lambda r: r["at"])
+                assert (got[0]["doc_id"], got[0]["at"], sum(r["n"] for r in got)) == (doc, start, n)
+                assert (got[0]["crc"] if len(got) == 1 and got[0]["crc"] is not None else zlib.crc32(b"".join(r["piece"] for r in got))) == crc
+            assert sum(q == p for q, _ in pieces) == len(own)
