@@ -1,13 +1,14 @@
 """Token ids in a compressed binary format, written in document order and read back (operator 10).
 
 Documents are dealt to ranges of doc_id and sorted within them. Each task tokenises its documents and packs their ids,
-one after another, into blocks of BLOCK ids that the context-mixing range coder codes independently (mixcoder). A file
-is a Parquet part of such blocks: Spark's committer makes it whole or absent, whatever happens to executors, and any
+one after another, into blocks of up to BLOCK ids that the context-mixing range coder codes independently (mixcoder). A
+file is a Parquet part of such blocks: Spark's committer makes it whole or absent, whatever happens to executors, and any
 store that Spark writes will do. A block's row holds the coded bytes, with their own checksum, and the list of document
 segments in it; so every row can be decoded alone, and only a document that crosses a border needs two.
 
-The tokenizer is asked once for each distinct word of a task (white space always ends a token, and is dropped), which
-gives the ids of the whole text. Its special tokens keep their ids inside a text, as the library has it by default.
+The tokenizer is asked once for each distinct word of a worker (white space always ends a token, and is dropped), and
+once for the signs behind words, which gives the ids of the whole text. Its special tokens keep their ids inside a text,
+as the library has it by default.
 
 Defined results: null and empty texts have only the end id; documents with null doc_id come first; repeated rows and
 rows of one doc_id are written each for itself, in the order of their texts' hashes; a text of any length runs over as
@@ -32,23 +33,32 @@ from .shingles import pieces, text_bytes, word_hashes, words
 
 #: Letters that case and normal forms turn into letters, and one sign that stands apart.
 PLAIN_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+([.,;:!?]?)")
-BLOCK = 4096
-#: Blocks that a task codes together; it holds so many of them at once.
-TOGETHER = 2048
+#: Letters that are one pre-token and, A-Z lower-cased, their own normal form.
+STABLE_WORD = re.compile("[A-Za-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Most ids of a block: the model learns from all of them, and a task holds a few arrays of so many.
+BLOCK = 1 << 21
+#: Blocks that a task holds at once.
+TOGETHER = 1
+#: Bytes of a row group: a reader holds one of them.
+ROW_GROUP = 32 << 20
 _loaded: dict[str, object] = {}
 
 
 class _Words:
     """Ids of words, each asked of the tokenizer once; forgotten when there are too many.
 
-    Words are known by their hashes, which are kept sorted beside the place and number of their ids in one array.
+    Words are known by their hashes, which are kept in a table with open addresses: the slot of a word's hash gives its
+    number, and all words' ids stand one after another.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 1_500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model without the steps before it that leave a STABLE_WORD as it is
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.most = most
         self.largest = self.tokenizer.get_vocab_size(with_added_tokens=True) - 1
         self.closes = np.zeros(self.largest + 1, bool)  # ids at the end of a pre-token
@@ -56,36 +66,120 @@ class _Words:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.begin, self.size, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
-
-    def _asked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all words in some order, and where each word's begin and how many they are.
+        self.n, self.held = 0, 0
+        self.upto, self.flat = np.zeros(1 << 12, np.int64), np.empty(1 << 14, np.uint32)  # word k's ids: upto[k] to upto[k + 1]
+        self.known = np.empty(1 << 12, np.uint64)
+        self._clear(14)
+
+    def _clear(self, bits: int) -> None:
+        self.bits, self.slots, self.number = bits, np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The words' numbers; -1 of unknown ones."""
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.intp)
+        out = self.number.take(slot)
+        rest = np.flatnonzero((self.slots.take(slot) != hashes) & (out >= 0))  # taken by another word
+        slot = slot[rest]
+        while len(rest):
+            slot = (slot + 1) & (len(self.slots) - 1)
+            out[rest] = self.number.take(slot)
+            going = (self.slots.take(slot) != hashes[rest]) & (out[rest] >= 0)
+            rest, slot = rest[going], slot[going]
+        return out
+
+    def _put(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.intp)
+        while len(slot):
+            free = self.number.take(slot) < 0
+            self.slots[slot[free]], self.number[slot[free]] = hashes[free], numbers[free]
+            left = self.number.take(slot) != numbers
+            hashes, numbers, slot = hashes[left], numbers[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def _add(self, hashes: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """New, distinct words with their ids."""
+        def grown(old: np.ndarray, used: int, more: int) -> np.ndarray:
+            return old if used + more <= len(old) else np.concatenate([old[:used], np.zeros(more + used // 2, old.dtype)])
+
+        n = self.n + len(hashes)
+        self.upto, self.known, self.flat = grown(self.upto, self.n + 1, len(hashes)), grown(self.known, self.n, len(hashes)), grown(self.flat, self.held, len(flat))
+        self.upto[self.n + 1 : n + 1] = self.held + np.cumsum(sizes)
+        self.known[self.n : n] = hashes
+        self.flat[self.held : self.held + len(flat)] = flat
+        before, self.n, self.held = self.n, n, self.held + len(flat)
+        if 2 * n > len(self.slots):
+            self._clear((2 * n).bit_length())
+            before = 0
+        self._put(self.known[before:n], np.arange(before, n, dtype=np.int32))
+
+    def _out(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these words, one after another, and the n + 1 offsets."""
+        begin, end = self.upto.take(numbers), self.upto.take(numbers + 1)
+        end -= begin
+        upto = np.concatenate([[0], np.cumsum(end)])
+        begin -= upto[:-1]
+        place = np.repeat(begin, end)
+        place += np.arange(len(place))
+        return self.flat.take(place), upto
+
+    def _asked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and how many each has.
 
         Words of letters, with one stop or comma at most, have one or two pre-tokens: they are asked together, and cut
         where their pre-tokens end. All others are asked one by one.
         """
         plain = [PLAIN_WORD.fullmatch(w) for w in words]
-        easy = [i for i, m in enumerate(plain) if m]
+        stable = [bool(STABLE_WORD.fullmatch(w)) for w in words]
+        bare = [i for i, x in enumerate(stable) if x]
+        easy = [i for i, m in enumerate(plain) if m and not stable[i]]
         hard = [i for i, m in enumerate(plain) if not m]
         parts, sizes, order = [], [], []
-        for begin in range(0, len(easy), 500):
-            some = easy[begin : begin + 500]
-            joined = self.tokenizer.encode_batch_fast([" ".join(words[i] for i in some)], add_special_tokens=False)[0]
-            ids = np.array(joined.ids, dtype=np.uint32)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            upto = np.cumsum([2 if plain[i].end(1) > plain[i].start(1) else 1 for i in some])
-            if len(ends) != upto[-1]:
-                hard += some
-                continue
-            parts.append(ids)
-            sizes.append(np.diff(ends[upto - 1], prepend=0))
-            order += some
+        for tokenizer, those in ((self.bare, bare), (self.tokenizer, easy)):
+            some = [those[k : k + 25] for k in range(0, len(those), 25)]
+            for begin in range(0, len(some), 100):
+                joined = [" ".join(words[i] for i in g) for g in some[begin : begin + 100]]
+                if tokenizer is self.bare:
+                    joined = [x.lower() for x in joined]
+                for group, got in zip(some[begin : begin + 100], tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                    ids = np.array(got.ids, dtype=np.uint32)
+                    ends = np.flatnonzero(self.closes[ids]) + 1
+                    upto = np.cumsum([2 if plain[i].end(1) > plain[i].start(1) else 1 for i in group])
+                    if len(ends) != upto[-1]:
+                        hard += group
+                        continue
+                    parts.append(ids)
+                    sizes.append(np.diff(ends[upto - 1], prepend=0))
+                    order += group
         alone = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in hard], add_special_tokens=False)]
         parts += [np.array(ids, dtype=np.uint32) for ids in alone]
         sizes.append(np.array([len(ids) for ids in alone], dtype=np.int64))
-        place = np.argsort(order + hard)  # of each word among those asked
+        back = np.argsort(order + hard)  # of each word among those asked
         size = np.concatenate(sizes)
-        return np.concatenate(parts) if parts else self.flat[:0], (np.cumsum(size) - size)[place], size[place]
+        begin = (np.cumsum(size) - size)[back]
+        size = size[back]
+        flat = np.concatenate(parts) if parts else self.flat[:0]
+        return flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(flat))], size
+
+    def _learn(self, body: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, whole: np.ndarray) -> None:
+        """Ask for new, distinct words. Signs behind a last letter or digit are pre-tokens of their own: unless the word
+        is to stay whole, it has the ids of what stands before them, and theirs."""
+        size = end - start
+        upto = np.concatenate([[0], np.cumsum(size)])
+        body = body[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]  # of these words alone
+        start, end = upto[:-1], upto[1:]
+        cut = end - _signs(body, start, end)
+        split = (cut < end) & ~whole
+        more = [(start[split], cut[split]), (cut[split], end[split])]
+        parts = [word_hashes(body, a, b) for a, b in more]
+        a, b, own = (np.concatenate(x) for x in ((start[~split], *(m[0] for m in more)), (end[~split], *(m[1] for m in more)), (hashes[~split], *parts)))
+        own, sample = np.unique(own, return_index=True)
+        new = self._find(own) < 0
+        if new.any():
+            self._add(own[new], *self._asked([body[a[i] : b[i]].tobytes().decode() for i in sample[new].tolist()]))
+        late = np.flatnonzero(self._find(hashes) < 0)
+        if len(late):  # those that were split
+            at = (np.cumsum(split) - 1)[late]
+            flat, offsets = self._out(np.stack([self._find(parts[0][at]), self._find(parts[1][at])], axis=1).reshape(-1))
+            self._add(hashes[late], flat, np.diff(offsets[::2]))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, one after another, and the n + 1 offsets."""
@@ -94,25 +188,45 @@ class _Words:
         if not len(start):
             return np.empty(0, np.uint32), np.zeros(len(at), np.int64)
         hashes = word_hashes(body, start, end)  # the tokenizer lower-cases all but its special tokens, "<|...|>"
+        whole = np.zeros(len(start), bool)
         marked = np.flatnonzero((body[:-1] == ord("<")) & (body[1:] == ord("|")))
         if len(marked):
             own = np.unique(np.searchsorted(start, marked, "right") - 1)
             hashes[own] = word_hashes(body, start[own], end[own], lower=False) ^ np.uint64(1)
-        distinct, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > self.most:
+            whole[own] = True
+        if self.n > self.most:
             self.forget()
-        place = np.searchsorted(self.keys, distinct)
-        new = np.ones(len(distinct), bool)
-        new[place < len(self.keys)] = self.keys[place[place < len(self.keys)]] != distinct[place < len(self.keys)]
-        if new.any():
-            flat, begin, size = self._asked([body[start[i] : end[i]].tobytes().decode() for i in sample[new].tolist()])
-            begin += len(self.flat)
-            self.keys, self.begin, self.size = (np.insert(old, place[new], x) for old, x in ((self.keys, distinct[new]), (self.begin, begin), (self.size, size)))
-            self.flat = np.concatenate([self.flat, flat])
-            place = np.searchsorted(self.keys, distinct)
-        n, begin = self.size[place][which], self.begin[place][which]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        return self.flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], n)], upto[first]
+        numbers = self._find(hashes)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            new = missing[np.unique(hashes[missing], return_index=True)[1]]
+            self._learn(body, start[new], end[new], hashes[new], whole[new])
+            numbers[missing] = self._find(hashes[missing])
+        flat, upto = self._out(numbers)
+        return flat, upto[first]
+
+
+#: By byte: ASCII signs; letters and digits of one byte; last bytes of the letters from \u00c0 to \u00ff, behind 0xC3.
+_BYTE = np.arange(256)
+_SIGN = np.isin(_BYTE, [b for b in range(0x21, 0x7F) if not chr(b).isalnum()])
+_PLAIN_END = np.isin(_BYTE, [b for b in range(0x21, 0x7F) if chr(b).isalnum()])
+_C3_END = (_BYTE >= 0x80) & (_BYTE < 0xC0) & (_BYTE != 0x97) & (_BYTE != 0xB7)
+#: Words that more signs end are asked whole.
+MOST_SIGNS = 16
+
+
+def _signs(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many ASCII signs end each word behind a letter or digit; 0 if something else or too many of them do."""
+    n = np.zeros(len(start), np.int64)
+    going = np.arange(len(start))
+    for _ in range(MOST_SIGNS):
+        at = end[going] - 1 - n[going]
+        going = going[(at > start[going]) & _SIGN[body[at]]]
+        n[going] += 1
+    n[going] = 0
+    last = end - n - 1
+    letter = _PLAIN_END[body[last]] | ((last > start) & (body[last - 1] == 0xC3) & _C3_END[body[last]])
+    return np.where(letter, n, 0)
 
 
 def _words(path: str) -> _Words:
@@ -182,7 +296,7 @@ class _Part:
 
         doc, start, n, first, ends, places = _segments(upto, full, begun)
         cuts = np.arange(0, full, BLOCK)
-        codes = encode_blocks([stream[c : min(c + BLOCK, full)] for c in cuts.tolist()], bits, TOGETHER)
+        codes = encode_blocks([stream[c : min(c + BLOCK, full)] for c in cuts.tolist()], bits)
         del stream
         for lo in range(0, len(cuts), ROWS_OUT):
             hi = min(lo + ROWS_OUT, len(cuts))
@@ -227,7 +341,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, rows_per_
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("_t"))
     dealt = rows.repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id()).withColumn("_h", F.xxhash64("_t"))
     ordered = dealt.sortWithinPartitions("doc_id", "_h").select("doc_id", "part", "_t")
-    ordered.mapInArrow(lambda b: _written(b, tokenizer, end_id), BLOCK_SCHEMA).write.parquet(path)
+    writer = ordered.mapInArrow(lambda b: _written(b, tokenizer, end_id), BLOCK_SCHEMA).write.option("parquet.block.size", ROW_GROUP)
+    for what in ("page", "block"):  # rows are large: look at the size behind each, not behind 100
+        writer = writer.option(f"parquet.{what}.size.row.check.min", 1).option(f"parquet.{what}.size.row.check.max", 1)
+    writer.parquet(path)
 
 
 class _Joiner:
@@ -296,7 +413,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, len(batch), TOGETHER):
             some = batch.slice(begin, TOGETHER)
-            yield from _joined(some, decode_blocks(some.column("payload").to_pylist(), TOGETHER), joiner)
+            yield from _joined(some, decode_blocks(some.column("payload").to_pylist()), joiner)
     joiner.give_up()
     yield joiner.rows()
 

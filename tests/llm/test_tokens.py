@@ -219,3 +219,71 @@ def test_segments_over_blocks_batches_and_parts(spark, monkeypatch):
                 assert (got[0]["doc_id"], got[0]["at"], sum(r["n"] for r in got)) == (doc, start, n)
                 assert (got[0]["crc"] if len(got) == 1 and got[0]["crc"] is not None else zlib.crc32(b"".join(r["piece"] for r in got))) == crc
             assert sum(q == p for q, _ in pieces) == len(own)
+
+
+def test_signs_behind_words_are_asked_once(monkeypatch):
+    """Words that differ in the signs behind them only are one word and some signs to the tokenizer, with the library's ids."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    own, asked = tokenfile._Words(WORDS), []
+    ask = own._asked
+    monkeypatch.setattr(own, "_asked", lambda words: asked.extend(words) or ask(words))
+    stems, signs = ["house", "Äpfel", "naïve", "x9", "don't"], ["", ".", ",", "!!", "###", ".!!", "&&&", "'", "')", "|>"]
+    texts = [" ".join(s + e for s in stems) for e in signs]
+    library = Tokenizer.from_file(WORDS)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        flat, upto = own.ids(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(upto[:-1], upto[1:])] == want
+    assert len(asked) == len(set(asked)) <= len(stems) + len(signs) - 1, asked
+
+
+def test_odd_words_equal_library():
+    """Random words of letters, marks, digits, signs and special tokens; the table of words grows and is forgotten on the way."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(5)
+    parts = ["a", "bc", "Z", "É", "é", "ß", "ÿ", "×", "÷", "Ω", "Σ", "İ", "ſ", "…", "—", "́", "̸", "日", "🙂", "1", "23", "'", "'s", "'re", "'LL", ".", ",", "!!", "<", "|", "=", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "　", "\x00", "@", "_", "-", "#" * 20]
+    library, own = Tokenizer.from_file(WORDS), tokenfile._Words(WORDS, most=3000)
+    for _ in range(12):
+        texts = [" ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 6))) for _ in range(rnd.randint(0, 40))) for _ in range(60)]
+        flat, upto = own.ids(pa.array(texts))
+        for t, a, b in zip(texts, upto[:-1], upto[1:]):
+            assert flat[a:b].tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_lanes_share_what_a_block_learns():
+    """Many lanes of one block: the code nears the entropy of ids that no context predicts, and the cost of an id is that of a few numpy steps."""
+    import time
+
+    rnd = np.random.RandomState(2)
+    weight = 1 / np.arange(1, 5001)
+    ids = rnd.choice(rnd.permutation(49_000)[:5000], 600_000, p=weight / weight.sum()).astype(np.uint32)
+    entropy = -(weight / weight.sum() * np.log2(weight / weight.sum())).sum() / 8
+    begun = time.process_time()
+    code = mixcoder.encode_blocks([ids], 16)
+    back = mixcoder.decode_blocks(code)
+    took = time.process_time() - begun
+    assert back[0].tolist() == ids.tolist() and len(code[0]) < 1.06 * entropy * len(ids)
+    begun = time.process_time()
+    for _ in range(20):
+        table = np.sort(ids.astype(np.int64), kind="heapsort")
+    assert len(table) == len(ids) and took < time.process_time() - begun, took
+
+
+@pytest.mark.parametrize("bits, n", [(1, 700), (6, 3000), (17, 5000), (18, 5000), (29, 3000), (32, 5000)])
+def test_blocks_of_any_width(bits, n):
+    rnd = np.random.RandomState(bits)
+    few = rnd.randint(0, 1 << bits, 40, dtype=np.uint64)
+    mixed = np.where(rnd.rand(n) < 0.5, few[rnd.randint(0, 40, n)], rnd.randint(0, 1 << bits, n, dtype=np.uint64)).astype(np.uint32)
+    for ids in (mixed, mixed[:1], np.full(n, (1 << bits) - 1, np.uint32), np.tile(mixed[:50], n // 50)):
+        code = mixcoder.encode_blocks([ids], bits)
+        assert mixcoder.decode_blocks(code)[0].tolist() == ids.tolist()
+    damaged = bytearray(mixcoder.encode_blocks([mixed], bits)[0])
+    for at in range(4, len(damaged), max(1, len(damaged) // 12)):
+        damaged[at] ^= 255
+        with pytest.raises(ValueError):
+            mixcoder.decode_blocks([bytes(damaged)], lanes=64)
+        damaged[at] ^= 255
