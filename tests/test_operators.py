@@ -261,6 +261,18 @@ def test_feature_counts(spark):
     assert len(p) == 2 and len(p[0].asDict()) == 65 and p[0].price_cv > 0 and p[0].fraction_extrapolated == 0
 
 
+def test_means_around_zero(spark):
+    """The sign of a mean does not depend on the order in which rows arrive: a small negative rest beside large values that cancel is negative."""
+    large, rest = 2.0**39, -1e-6
+    for k, order in enumerate(itertools.permutations([large, rest, -large])):
+        rows = spark.createDataFrame([("a", 1, x, "x") for x in order], "e string, year int, m double, l string").coalesce(1)
+        assert apy.clean(rows, ["e", "year"], ["m"], "l").first().m is None, k
+        assert rows.agg(stats.exact_mean(F.col("m"))).first()[0] == rest / 3
+    odd = spark.createDataFrame([(1, None), (2, 1e300), (2, 2.0), (3, float("nan")), (3, 1.0), (4, 0.1), (4, None), (4, -0.3), (5, 2.5)], "g int, x double")
+    got = {r[0]: r[1] for r in odd.groupBy("g").agg(stats.exact_mean(F.col("x"))).collect()}
+    assert got[1] is None and got[2] == 5e299 and math.isnan(got[3]) and got[4] == pytest.approx(-0.1, rel=1e-15) and got[5] == 2.5
+
+
 def brute_ward(x, k):
     groups = [[i] for i in range(len(x))]
     cost = lambda g: ((x[g] - x[g].mean(axis=0)) ** 2).sum()
