@@ -231,6 +231,10 @@ def dendrogram_k(tree: np.ndarray, last: int = 10) -> int:
     return int(np.clip(bend.argmax() + 2, 2, 10)) if len(bend) else 2
 
 
+#: Numbers in the vectors of a block, and distances, that a task holds at once.
+HELD = 1 << 21
+
+
 def _pairs_of_blocks(df: DataFrame, spread: Column, n: int, block: int) -> DataFrame:
     """df's rows, n in all, dealt into blocks by hash and repeated for each unordered pair (_i, _j) of blocks; _b is the row's."""
     p = max(1, math.ceil(n / block))
@@ -245,11 +249,54 @@ def _sides(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(one, two)] if i == j else [(one, two), (two, one)] if len(one) and len(two) else []
 
 
-def _squares(x: np.ndarray, y: np.ndarray, held: int = 2_000_000) -> Iterator[tuple[int, np.ndarray]]:
+def _vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors are there, without a null in them, and these as rows."""
+    lists = column.combine_chunks()
+    there, values = np.asarray(lists.is_valid()), lists.flatten()
+    owner = np.repeat(np.flatnonzero(there), pc.list_value_length(lists).drop_null().to_numpy(zero_copy_only=False))
+    known = there.copy()
+    known[owner[np.asarray(values.is_null())]] = False
+    x = np.asarray(values.to_numpy(zero_copy_only=False), dtype=float).reshape(int(there.sum()), -1 if there.any() else 0)
+    return known, x[known[there]]
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, squared distances of some rows of x to all of y)."""
-    step = max(1, held // max(1, y.size))
+    few = x.shape[1] <= 8
+    step = max(1, HELD // max(1, len(y) if few else y.size))
+    for a in range(0, len(x), step):
+        part = x[a : a + step]
+        if few:
+            yield a, sum((np.square(p[:, None] - q) for p, q in zip(part.T, y.T)), np.zeros((len(part), len(y))))
+        else:
+            yield a, ((part[:, None] - y) ** 2).sum(axis=2)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, distances of some rows of x to all of y): by products, where these lose nothing.
+
+    |x|^2 + |y|^2 - 2xy has an error of some last places of |x|^2 + |y|^2. What is not 1e-5 of that at least is computed
+    again by differences, so distances are right to ten digits; narrow vectors, and ones of huge or no numbers, all are.
+    """
+    if x.shape[1] <= 8 or not max(np.abs(x).max(initial=0), np.abs(y).max(initial=0)) < 1e100:
+        for a, d in _squares(x, y):
+            yield a, np.sqrt(d, out=d)
+        return
+    middle = y.mean(axis=0)
+    p, q = x - middle, y - middle
+    pp, qq = np.einsum("ij,ij->i", p, p), np.einsum("ij,ij->i", q, q)
+    step, some = max(1, HELD // len(y)), max(1, HELD // x.shape[1])
     for a in range(0, len(x), step):
-        yield a, ((x[a : a + step, None] - y[None]) ** 2).sum(axis=2)
+        least = pp[a : a + step, None] + qq
+        d = p[a : a + step] @ q.T
+        d *= -2
+        d += least
+        least *= 1e-5
+        near = np.flatnonzero(d < least)
+        for k in range(0, len(near), some):
+            r, c = np.divmod(near[k : k + some], len(y))
+            d[r, c] = ((x[a + r] - y[c]) ** 2).sum(axis=1)
+        yield a, np.sqrt(d, out=d)
 
 
 def _nearest(t: pa.Table) -> pa.Table:
@@ -341,41 +388,51 @@ def ward(df: DataFrame, key: str, vector: str, ks: list[int], most_rows: int | N
 
 def _summed(t: pa.Table) -> pa.Table:
     """Sums and counts of the distances of each row of a pair of blocks to the other rows' clusters; null vectors have no distances."""
-    known = np.array([v is not None and None not in v for v in t["_v"].to_pylist()])
-    x = np.array([v for v, k in zip(t["_v"].to_pylist(), known) if k], dtype=float)
+    known, x = _vectors(t["_v"])
     place = np.cumsum(known) - 1
     codes = t["_c"].combine_chunks().dictionary_encode(null_encoding="encode")
     code = codes.indices.to_numpy()
-    parts = []
-    for rows, met in _sides(t):
-        met = met[np.argsort(code[met], kind="stable")]
-        clusters, n = np.unique(code[met], return_counts=True)
-        with_v = met[known[met]]
-        some, begin = np.unique(code[with_v], return_index=True)
-        sums = np.full((len(rows), len(clusters)), np.nan)
-        asked = np.flatnonzero(known[rows])
-        if len(some) and len(asked):
-            for a, d in _squares(x[place[rows[asked]]], x[place[with_v]]):
-                sums[np.ix_(asked[a : a + len(d)], np.searchsorted(clusters, some))] = np.add.reduceat(np.sqrt(d), begin, axis=1)
-        each = pa.array(np.repeat(rows, len(clusters)))
-        far = sums.ravel()
-        kinds = codes.dictionary.take(pa.array(np.tile(clusters, len(rows))))
-        parts.append(pa.table([t["_k"].take(each), t["_c"].take(each), kinds, pa.array(far, mask=np.isnan(far)), pa.array(np.tile(n, len(rows)))], ["_k", "_c", "_c2", "d", "n"]))
-    return pa.concat_tables(parts) if parts else pa.table([t["_k"][:0], t["_c"][:0], t["_c"][:0], pa.array([], pa.float64()), pa.array([], pa.int64())], ["_k", "_c", "_c2", "d", "n"])
-
-
-def silhouettes(df: DataFrame, key: str, vector: str, cluster: str = "cluster", block: int = 2048, most_rows: int = 200_000) -> DataFrame:
+    b, i, j = t["_b"].to_numpy(), t["_i"][0].as_py(), t["_j"][0].as_py()
+    one, two = (rows[np.argsort(code[rows], kind="stable")] for rows in (np.flatnonzero(b == i), np.flatnonzero(b == j)))
+    kinds, n = zip(*(np.unique(code[rows], return_counts=True) for rows in (one, two)))
+    far = [np.full((len(one), len(kinds[1])), np.nan), np.full((len(two), len(kinds[0])), np.nan)]
+    left, right = one[known[one]], two[known[two]]
+    if len(left) and len(right):
+        of_left, of_right = np.unique(code[left]), np.unique(code[right])
+        begin = np.searchsorted(code[right], of_right)
+        rows, columns = np.zeros((len(left), len(of_right))), np.zeros((len(of_left), len(right)))
+        for a, d in _distances(x[place[left]], x[place[right]]):
+            rows[a : a + len(d)] = np.add.reduceat(d, begin, axis=1)
+            if i != j:
+                some, first = np.unique(code[left[a : a + len(d)]], return_index=True)
+                columns[np.searchsorted(of_left, some)] += np.add.reduceat(d, first, axis=0)
+        far[0][np.ix_(np.flatnonzero(known[one]), np.searchsorted(kinds[1], of_right))] = rows
+        far[1][np.ix_(np.flatnonzero(known[two]), np.searchsorted(kinds[0], of_left))] = columns.T
+    parts = [pa.table([t["_k"][:0], t["_c"][:0], t["_c"][:0], pa.array([], pa.float64()), pa.array([], pa.int64())], ["_k", "_c", "_c2", "d", "n"])]
+    for rows, side in ((one, 0), (two, 1))[: 1 if i == j else 2]:
+        met, often, sums = kinds[1 - side], n[1 - side], far[side].ravel()
+        each = pa.array(np.repeat(rows, len(met)))
+        other = codes.dictionary.take(pa.array(np.tile(met, len(rows))))
+        parts.append(pa.table([t["_k"].take(each), t["_c"].take(each), other, pa.array(sums, mask=np.isnan(sums)), pa.array(np.tile(often, len(rows)))], ["_k", "_c", "_c2", "d", "n"]))
+    return pa.concat_tables(parts)
+
+
+def silhouettes(df: DataFrame, key: str, vector: str, cluster: str = "cluster", block: int | None = None, most_rows: int | None = None) -> DataFrame:
     """key, cluster, silhouette by Euclidean distances (0 for a cluster of one).
 
-    All rows meet all rows, as the measure demands: in pairs of blocks of about `block` rows, whose distances are summed by
-    (row, cluster) before the shuffle. That is work by the square of the rows: more than most_rows, which are counted, are
-    an error rather than days of it.
+    All rows meet all rows, as the measure demands: in pairs of blocks of `block` rows, whose distances are summed by (row,
+    cluster) before the shuffle. That is work by the square of the rows, and a shuffle of the rows times the number of
+    blocks: unless given, a block is a twelfth of the rows, 2,048 at least, and HELD numbers at most. most_rows: refuse more
+    rows, if given.
     """
     n = df.count()
-    if n > most_rows:
+    if most_rows is not None and n > most_rows:
         raise ValueError(f"{n} rows are more than {most_rows}: silhouettes compare all pairs")
     rows = df.select(F.col(key).alias("_k"), F.col(vector).alias("_v"), F.col(cluster).alias("_c"))
     kinds = dict(rows.dtypes)
+    if block is None:
+        width = rows.agg(F.max(F.size("_v"))).first()[0] or 1
+        block = max(1, min(max(2048, math.ceil(n / 12)), HELD // max(1, width)))
     dealt = _pairs_of_blocks(rows, F.struct("_k", "_v"), n, block)
     part = dealt.groupBy("_i", "_j").applyInArrow(_summed, f"_k {kinds['_k']}, _c {kinds['_c']}, _c2 {kinds['_c']}, d double, n bigint")
     sums = part.groupBy("_k", "_c", "_c2").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))

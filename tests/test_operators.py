@@ -400,3 +400,24 @@ def test_quantiles_equal_numpy(spark):
     for k, (q1, n) in by.items():
         own = [r[1] for r in rows if r[0] == k and r[1] is not None]
         assert n == len(own) and math.isclose(q1, np.quantile(own, 0.25), abs_tol=1e-12)
+
+
+def test_silhouettes_of_many_and_wide_vectors(spark):
+    """No number of rows is refused unless asked; distances by products are those by differences, for copies, near copies and far rows too."""
+    rnd = np.random.RandomState(4)
+    x = np.concatenate([rnd.normal(c, 0.5, size=(40, 12)) for c in (0, 3, 1000)])
+    x[5], x[6], x[7] = x[4], x[4] + 1e-7, x[4] * (1 + 1e-15)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for a, got in cluster._distances(x, x[:90]):
+        assert got == pytest.approx(d[a : a + len(got), :90], rel=1e-10) and got[4, 5] == 0
+    v = spark.createDataFrame([(i, i // 40, p.tolist()) for i, p in enumerate(x)], "id int, cluster int, v array<double>")
+    many = v.sparkSession.range(200_001).select(F.col("id").cast("int"), F.lit(0).alias("cluster"), F.array(F.lit(0.0)).alias("v"))
+    assert cluster.silhouettes(many, "id", "v").columns == ["id", "cluster", "silhouette"]
+    with pytest.raises(ValueError):
+        cluster.silhouettes(v, "id", "v", most_rows=119)
+    label = np.arange(120) // 40
+    for block in (None, 13):
+        for r in cluster.silhouettes(v, "id", "v", block=block).collect():
+            a = d[r.id, (label == label[r.id]) & (np.arange(120) != r.id)].mean()
+            b = min(d[r.id, label == c].mean() for c in set(range(3)) - {r.cluster})
+            assert r.silhouette == pytest.approx((b - a) / max(a, b), rel=1e-9)
