@@ -421,3 +421,17 @@ def test_silhouettes_of_many_and_wide_vectors(spark):
             a = d[r.id, (label == label[r.id]) & (np.arange(120) != r.id)].mean()
             b = min(d[r.id, label == c].mean() for c in set(range(3)) - {r.cluster})
             assert r.silhouette == pytest.approx((b - a) / max(a, b), rel=1e-9)
+
+
+def test_ward_with_ties(spark, monkeypatch):
+    """Copies of a vector and equal distances do not cost a round each, and give the clusters of one array."""
+    rounds, pairs = [], cluster._pairs_of_blocks
+    monkeypatch.setattr(cluster, "_pairs_of_blocks", lambda df, spread, n, block: rounds.append(n) or pairs(df, spread, n, block))
+    x = [[10.0 * (i % 3), 0.0] for i in range(60)]
+    copies = spark.createDataFrame(list(enumerate(x)), "id int, v array<double>")
+    got = cluster.ward(copies, "id", "v", [2, 3], local=7, block=16).collect()
+    assert not rounds and [r.cluster for r in sorted(got) if r.k == 3] == [i % 3 + 1 for i in range(60)]
+    assert {len({r.cluster for r in got if r.k == 2 and r.id % 3 == i}) for i in range(3)} == {1}
+    line = spark.createDataFrame([(i, [float(i + 1000 * (i // 100))]) for i in range(200)], "id int, v array<double>")
+    got = cluster.ward(line, "id", "v", [2], local=7, block=64).collect()
+    assert len(rounds) < 25 and [r.cluster for r in sorted(got)] == [1 + i // 100 for i in range(200)]
