@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelkit import resolve
+from panelkit import queries, resolve
 from panelkit.functions import dates, numbers, stats
 from panelkit.functions.rates import INFLATION
 from panelkit.operators import audit, breaks, dedupe, gaps, geo, lookup, quantiles, series, spi, validate
@@ -435,3 +435,10 @@ def test_ward_with_ties(spark, monkeypatch):
     line = spark.createDataFrame([(i, [float(i + 1000 * (i // 100))]) for i in range(200)], "id int, v array<double>")
     got = cluster.ward(line, "id", "v", [2], local=7, block=64).collect()
     assert len(rounds) < 25 and [r.cluster for r in sorted(got)] == [1 + i // 100 for i in range(200)]
+
+
+def test_ward_input_is_made_once(spark):
+    """What linkage and silhouettes read again and again is a table of one row an entity, not a plan over all of lineitem."""
+    made = queries.centres(spark, "/root/testdata/sf0.001")
+    assert made.count() > 0 and "parquet" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in queries.supplier_metrics(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
